@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import sep_deg
-from tidewatch.operators.ordered import latest_before
+from tidewatch.operators.ordered import bucket_number, latest_before
 
 SMALL_GRID = 10_000
 
@@ -34,11 +34,11 @@ def reindex(df: DataFrame, order: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def only_keys(df: DataFrame, keys_df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(keys_df.select(*keys), list(keys), "left_semi")
+    return df.join(keys_df.select(*keys).distinct(), list(keys), "left_semi")
 
 
 def without_keys(df: DataFrame, keys_df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(keys_df.select(*keys), list(keys), "left_anti")
+    return df.join(keys_df.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def flag_join(left: DataFrame, right: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
@@ -83,18 +83,31 @@ def cone_join(left: DataFrame, right: DataFrame, tol: float, left_tol: str | Non
     return j.where(F.col("sep") <= limit).drop("_b", "_b0", "_c")
 
 
-def nearest(left: DataFrame, right: DataFrame, tol: float, left_tol: str | None = None) -> DataFrame:
-    """The nearest right row of every left row within its tolerance; ties go to the smaller id."""
-    j = cone_join(left, right, tol, left_tol)
-    rest = [c for c in j.columns if c != "l_id"]
-    g = j.groupBy("l_id").agg(F.min_by(F.struct(*rest), F.struct("sep", "r_id")).alias("_m"))
-    return g.select("l_id", "_m.*")
+def nearest(left: DataFrame, right: DataFrame, tol: float, left_tol: str | None = None, fine: int = 16) -> DataFrame:
+    """The nearest right row of every left row within its tolerance; ties go to the smaller id.
+
+    Right rows at one position are reduced to the smallest id. Crowded places are settled by a search of a fraction of the
+    tolerance; only the rows left over search the full tolerance.
+    """
+    rest = [c for c in right.columns if c not in ("ra", "dec")]
+    spots = right.groupBy("ra", "dec").agg(F.min_by(F.struct(*rest), "id").alias("_b")).select("ra", "dec", "_b.*")
+
+    def best(rows, width):
+        j = cone_join(rows, spots, width, None).where(F.col("sep") <= (F.col(f"l_{left_tol}") if left_tol else F.lit(float(tol))))
+        cols = [c for c in j.columns if c != "l_id"]
+        return j.groupBy("l_id").agg(F.min_by(F.struct(*cols), F.struct("sep", "r_id")).alias("_m")).select("l_id", "_m.*")
+
+    near = best(left, tol / fine)
+    far = best(left.join(near.select(F.col("l_id").alias("id")), "id", "left_anti"), tol)
+    return near.unionByName(far)
 
 
 def neighbour_counts(df: DataFrame, tol: float) -> DataFrame:
-    """Number of other rows within the tolerance, 0 included."""
-    near = cone_join(df, df, tol).where("l_id <> r_id").groupBy(F.col("l_id").alias("id")).agg(F.count(F.lit(1)).alias("n_near"))
-    return df.join(near, "id", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("long")))
+    """Number of other rows within the tolerance, 0 included. Rows at one position are counted as one weighted spot."""
+    spots = df.groupBy("ra", "dec").agg(F.count(F.lit(1)).alias("w"), F.min("id").alias("id"))
+    pairs = cone_join(spots, spots, tol)
+    near = pairs.groupBy(F.col("l_ra").alias("ra"), F.col("l_dec").alias("dec")).agg((F.sum("r_w") - 1).alias("n_near"))
+    return df.join(near, ["ra", "dec"], "left").withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("long")))
 
 
 def ambiguous(matches: DataFrame, key: str, cls: str, ra: str, dec: str, spread: float, salt: str, n_salts: int = 16) -> DataFrame:
@@ -156,9 +169,8 @@ def interp_join(df: DataFrame, x: str, grid: DataFrame, gx: str, gy: Sequence[st
     points = g.orderBy("_gx").limit(SMALL_GRID + 1).collect()
     if len(points) <= SMALL_GRID:
         gxs = F.array(*[F.lit(p["_gx"]) for p in points])
-        n = len(points)
-        lo = F.greatest(F.lit(1), F.least(F.lit(n - 1), _count_at_most(F.col(x), [p["_gx"] for p in points])))
-        out = df.withColumn("_i", lo.cast("int"))
+        cuts = [p["_gx"] for p in points]
+        out = bucket_number(df, F.col(x).cast("double"), cuts[1:-1], "_i").withColumn("_i", F.col("_i").cast("int") + 1)
         x0, x1 = F.element_at(gxs, F.col("_i")), F.element_at(gxs, F.col("_i") + 1)
         frac = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(x) - x0) / (x1 - x0)))
         out = out.withColumn("_f", frac)
@@ -177,15 +189,6 @@ def interp_join(df: DataFrame, x: str, grid: DataFrame, gx: str, gy: Sequence[st
     return d.withColumns({c: a[c] + (b[c] - a[c]) * F.col("_f") for c in gy}).drop("_k", "_nx", "_a", "_b", "_f")
 
 
-def _count_at_most(c: Column, values: Sequence[float]) -> Column:
-    """How many of the sorted values are <= c, by a balanced tree of comparisons."""
-    if not values:
-        return F.lit(0)
-    mid = len(values) // 2
-    low, high = _count_at_most(c, values[:mid]), _count_at_most(c, values[mid + 1:])
-    return F.when(c < F.lit(values[mid]), low).otherwise(F.lit(mid + 1) + high)
-
-
 def fractional_rebin(df: DataFrame, keys: Sequence[str], lo: str, hi: str, value: str, err: str, edges: Sequence[float]) -> DataFrame:
     """Move channel values to new bins by overlap share: sum(w v), error sqrt(sum(w^2 e^2))."""
     bins = F.array(*[F.struct(F.lit(i).alias("bin"), F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b"))

@@ -1,9 +1,10 @@
 """Ordered computations over groups of any size.
 
 A window over PARTITION BY key sorts a whole key in one task, which fails when one key holds a large part of the table.
-Here the order axis is first cut into cells that hold about the same number of rows. Every (key, cell) is summarised
-with map-side aggregation, the summaries of the earlier cells become one carry row per cell, and the window then runs
-over (key, cell) only. The cuts change the speed, never the result.
+The size of the largest key is therefore counted first (one map-side aggregation over the key columns). While it stays below
+the limit, a plain window is used. Beyond it the order axis is cut into cells that hold about the same number of rows, every
+(key, cell) is summarised with map-side aggregation, the summaries of the earlier cells become one carry row per cell, and the
+window runs over (key, cell) only. Both ways give the same result.
 """
 
 from __future__ import annotations
@@ -15,8 +16,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import col
+from tidewatch.session import cut
 
 MAX_CELLS = 8192
+MAX_GROUP_ROWS = 2_000_000
+LIMIT_CONF = "spark.tidewatch.maxGroupRows"
+
+
+def cells_for(df: DataFrame, keys: Sequence[str]) -> int:
+    """0 when every key fits a plain window, else the number of cells to use."""
+    limit = int(df.sparkSession.conf.get(LIMIT_CONF, str(MAX_GROUP_ROWS)))
+    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    largest = g.agg(F.max("n")).first()[0] or 0
+    return 0 if largest <= limit else default_cells(df)
 
 
 def default_cells(df: DataFrame) -> int:
@@ -39,19 +51,20 @@ def with_cells(df: DataFrame, order: str, tie: str | None = None, n_cells: int |
         return df.withColumn(out, F.lit(0).cast("long"))
     heavy = sorted({v for v in first if cuts[0].count(v) > 1}) if tie else []
     at, c = f"{out}_at", F.col(order).cast("double")
-    cell = _bucket(df, c, first, at)
+    cell = bucket_number(df, c, first, at)
     on_cut = F.element_at(F.array(*[F.lit(v) for v in first]), F.greatest(F.col(at), F.lit(1)).cast("int")) == c
     number = F.col(at) * 2 - F.when((F.col(at) > 0) & on_cut, 1).otherwise(0)
     if heavy:
         second = sorted(set(cuts[1]))
         sub = f"{out}_sub"
-        cell = _bucket(cell, F.when(c.isin(heavy), F.col(tie).cast("double")), second, sub)
+        cell = bucket_number(cell, F.when(c.isin(heavy), F.col(tie).cast("double")), second, sub)
         number = number * (len(second) + 2) + F.coalesce(F.col(sub) + 1, F.lit(0))
         return cell.withColumn(out, F.coalesce(number, F.lit(-1)).cast("long")).drop(at, sub)
     return cell.withColumn(out, F.coalesce(number, F.lit(-1)).cast("long")).drop(at)
 
 
-def _bucket(df: DataFrame, c: Column, cuts: Sequence[float], out: str) -> DataFrame:
+def bucket_number(df: DataFrame, c: Column, cuts: Sequence[float], out: str) -> DataFrame:
+    """How many of the sorted cut points are at or below c (binary search)."""
     src = f"{out}_in"
     splits = [float("-inf"), *cuts, float("inf")]
     b = Bucketizer(splits=splits, inputCol=src, outputCol=out, handleInvalid="keep")
@@ -80,6 +93,11 @@ def scan(
     cell: a monotone cell expression when the axis is known to be uniform, else cut points are estimated.
     """
     running, totals, keys, tie = dict(running or {}), dict(totals or {}), list(keys), list(tie)
+    if n_cells is None:
+        n_cells = cells_for(df, keys)
+    if n_cells == 0:
+        return _plain_scan(df, keys, [order, *tie], running, totals, descending)
+    df = cut(df)
     if cell is None:
         base = with_cells(df, order, tie[0] if tie else None, n_cells)
     else:
@@ -132,6 +150,22 @@ def scan(
     return both.select(*kept, *new, "_row").where("_row = 1").drop("_row")
 
 
+def _plain_scan(df, keys, seq, running, totals, descending) -> DataFrame:
+    """The same as scan for keys that fit one task."""
+    part = keys or [F.lit(0)]
+    w = Window.partitionBy(*part).orderBy(*[F.col(c).desc() if descending else F.col(c).asc() for c in seq])
+    new = {}
+    for name, (kind, value, inclusive) in running.items():
+        frame = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        c = F.last(value, ignorenulls=True) if kind == "last" else _AGG[kind](value)
+        c = c.over(frame)
+        new[name] = F.coalesce(c, F.lit(0)) if kind == "sum" else c
+    for name, (kind, value) in totals.items():
+        new[name] = _AGG[kind](value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    kept = [F.col(c) for c in df.columns if c not in new]
+    return df.select(*kept, *[c.alias(n) for n, c in new.items()])
+
+
 def row_index(df, keys, order, tie=(), out="rn", total=None, **kw) -> DataFrame:
     """1-based position in the key, and optionally the size of the key."""
     one = F.lit(1).cast("long")
@@ -156,6 +190,10 @@ def value_counts(df, keys, value, weight: Column | None = None) -> DataFrame:
 
 def percentiles(df, keys, value, probs: Mapping[str, float], n_cells: int | None = None) -> DataFrame:
     """Exact percentiles with linear interpolation per key: one row per key, one column per probability."""
+    n_cells = cells_for(df, keys) if n_cells is None else n_cells
+    if n_cells == 0:
+        p = df.groupBy(*keys).agg(F.percentile(col(value).cast("double"), F.array(*[F.lit(float(x)) for x in probs.values()])).alias("_p"))
+        return p.where("_p is not null").select(*keys, *[F.col("_p")[i].alias(name) for i, name in enumerate(probs)])
     c = value_counts(df, keys, value).withColumn("_v", F.col("_v").cast("double"))
     s = scan(c, keys, "_v", running={"_hi": ("sum", F.col("_w"), True)}, totals={"_n": ("sum", F.col("_w"))}, n_cells=n_cells)
     s = s.withColumn("_lo", F.col("_hi") - F.col("_w"))
@@ -179,15 +217,16 @@ def average_ranks(df, keys, value, out="rank", n_cells=None) -> DataFrame:
     return s.select(*keys, F.col("_v"), F.col("_w"), F.col("_n"), (F.col("_hi") - (F.col("_w") - 1) / 2.0).alias(out))
 
 
-def spearman(df, keys, x, y, out="rho") -> DataFrame:
+def spearman(df, keys, x, y, out="rho", n_cells=None) -> DataFrame:
     """Rank correlation per key over rows where both values are present.
 
     Rows are first reduced to distinct (x, y) pairs; ranks are centred so that the sums stay accurate for long tables.
     """
     d = df.where(col(x).isNotNull() & col(y).isNotNull())
+    n_cells = cells_for(d, keys) if n_cells is None else n_cells
     pairs = d.groupBy(*keys, col(x).cast("double").alias("_x"), col(y).cast("double").alias("_y")).agg(F.count(F.lit(1)).alias("_c"))
-    rx = average_ranks(d, keys, x, "_rx").select(*keys, F.col("_v").alias("_x"), (F.col("_rx") - (F.col("_n") + 1) / 2.0).alias("_dx"))
-    ry = average_ranks(d, keys, y, "_ry").select(*keys, F.col("_v").alias("_y"), (F.col("_ry") - (F.col("_n") + 1) / 2.0).alias("_dy"))
+    rx = average_ranks(d, keys, x, "_rx", n_cells).select(*keys, F.col("_v").alias("_x"), (F.col("_rx") - (F.col("_n") + 1) / 2.0).alias("_dx"))
+    ry = average_ranks(d, keys, y, "_ry", n_cells).select(*keys, F.col("_v").alias("_y"), (F.col("_ry") - (F.col("_n") + 1) / 2.0).alias("_dy"))
     j = pairs.join(rx, [*keys, "_x"]).join(ry, [*keys, "_y"])
     c = F.col("_c")
     g = j.groupBy(*keys).agg(

@@ -69,7 +69,7 @@ def pending(work: DataFrame, done: DataFrame, key: Sequence[str], at: str | None
         log = done.groupBy(*key).agg(F.max_by(F.struct(*rest), at).alias("_b")).select(*key, "_b.*")
     if ok is not None:
         log = log.where(ok)
-    return work.join(log.select(*key), list(key), "left_anti")
+    return work.join(log.select(*key).distinct(), list(key), "left_anti")
 
 
 def write_vectors(df: DataFrame, path: str, partition: Sequence[str] = ()) -> str:
@@ -80,7 +80,7 @@ def write_vectors(df: DataFrame, path: str, partition: Sequence[str] = ()) -> st
 
 def found_only(df: DataFrame, lookup: DataFrame, key: str, flag: Column) -> DataFrame:
     """Rows whose key is flagged in a lookup table."""
-    return df.join(lookup.where(flag).select(key), key, "left_semi")
+    return df.join(lookup.where(flag).select(key).distinct(), key, "left_semi")
 
 
 def interval_text(point, low, high, digits: int = 3) -> Column:
