@@ -195,7 +195,12 @@ def percentiles(df, keys, value, probs: Mapping[str, float], n_cells: int | None
         p = df.groupBy(*keys).agg(F.percentile(col(value).cast("double"), F.array(*[F.lit(float(x)) for x in probs.values()])).alias("_p"))
         return p.where("_p is not null").select(*keys, *[F.col("_p")[i].alias(name) for i, name in enumerate(probs)])
     c = value_counts(df, keys, value).withColumn("_v", F.col("_v").cast("double"))
-    s = scan(c, keys, "_v", running={"_hi": ("sum", F.col("_w"), True)}, totals={"_n": ("sum", F.col("_w"))}, n_cells=n_cells)
+    return count_percentiles(c, keys, probs, n_cells)
+
+
+def count_percentiles(counts, keys, probs: Mapping[str, float], n_cells: int | None = None) -> DataFrame:
+    """The same from distinct values (_v) with whole-number weights (_w)."""
+    s = scan(counts, keys, "_v", running={"_hi": ("sum", F.col("_w"), True)}, totals={"_n": ("sum", F.col("_w"))}, n_cells=n_cells)
     s = s.withColumn("_lo", F.col("_hi") - F.col("_w"))
     aggs = []
     for i, p in enumerate(probs.values()):

@@ -18,19 +18,19 @@ def a1(spark, sf):
     return A.attrition(observations(spark, sf), ["source_id"], rules)
 
 
-@query("a2_group_summary", f"""WITH {OBS} SELECT source_id, count(rate) AS n, round(avg(rate), 4) AS mean, round(median(rate), 4) AS median,
+@query("a2_group_summary", f"""WITH {OBS} SELECT source_id, count(rate) AS n, round(avg(rate), 6) AS mean, round(median(rate), 6) AS median,
   max(c_mktsegment) AS segment, count(DISTINCT status) AS n_distinct FROM obs JOIN customer ON c_custkey = source_id GROUP BY 1""")
 def a2(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("source_id"), F.col("c_mktsegment").alias("segment"))
-    return round_all(A.group_summary(observations(spark, sf).join(c, "source_id"), ["source_id"], "rate", "segment", "status"), 4)
+    return round_all(A.group_summary(observations(spark, sf).join(c, "source_id"), ["source_id"], "rate", "segment", "status"), 6)
 
 
-@query("a3_percentile_band", """SELECT l_suppkey AS source_id, round(quantile_cont(l_extendedprice, 0.025), 4) AS p2_5, round(quantile_cont(l_extendedprice, 0.16), 4) AS p16,
-  round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.84), 4) AS p84, round(quantile_cont(l_extendedprice, 0.975), 4) AS p97_5
+@query("a3_percentile_band", """SELECT l_suppkey AS source_id, round(quantile_cont(l_extendedprice, 0.025), 6) AS p2_5, round(quantile_cont(l_extendedprice, 0.16), 6) AS p16,
+  round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.84), 6) AS p84, round(quantile_cont(l_extendedprice, 0.975), 6) AS p97_5
   FROM lineitem GROUP BY 1""")
 def a3(spark, sf):
     li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("source_id"), "l_extendedprice")
-    return round_all(O.percentiles(li, ["source_id"], "l_extendedprice", {"p2_5": 0.025, "p16": 0.16, "p50": 0.5, "p84": 0.84, "p97_5": 0.975}), 4)
+    return round_all(O.percentiles(li, ["source_id"], "l_extendedprice", {"p2_5": 0.025, "p16": 0.16, "p50": 0.5, "p84": 0.84, "p97_5": 0.975}), 6)
 
 
 @query("a4_value_shares", """SELECT source, lang, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY source), 9) AS share FROM documents GROUP BY 1, 2""")
