@@ -106,7 +106,7 @@ def e7(spark, sf):
 
 
 def ci(src, keys):
-    return f"SELECT {keys}, round(quantile_cont(value, 0.025), 9) AS low, round(quantile_cont(value, 0.975), 9) AS high, count(value) AS n_valid_draws FROM {src} GROUP BY ALL"
+    return f"SELECT {keys}, round(quantile_cont(value, 0.025), 11) AS low, round(quantile_cont(value, 0.975), 11) AS high, count(value) AS n_valid_draws FROM {src} GROUP BY ALL"
 
 
 def verdict(t="c"):
@@ -117,18 +117,18 @@ PL = "pl AS (SELECT model, 'source_ba' AS metric, source_ba AS point FROM pm UNI
 
 
 @query("e8_interval_summary", f"""WITH {POINT}, {BOOT.removeprefix(ST + ", ")}, {PL}, c AS ({ci('bl', 'model, metric')})
-  SELECT model, metric, round(point, 9) AS point, low, high, n_valid_draws, {verdict()} FROM pl JOIN c USING (model, metric)""")
+  SELECT model, metric, round(point, 11) AS point, low, high, n_valid_draws, {verdict()} FROM pl JOIN c USING (model, metric)""")
 def e8(spark, sf):
-    return round_all(R.interval_summary(boot(spark, sf), points(spark, sf), ["model", "metric"]), 9)
+    return round_all(R.interval_summary(boot(spark, sf), points(spark, sf), ["model", "metric"]), 11)
 
 
 @query("e9_paired_difference", f"""WITH {BOOT}, d AS (SELECT b.model, b.metric, b.draw, b.value - a.value AS value FROM bl b JOIN bl a ON a.model = 'A' AND b.model = 'B' AND a.draw = b.draw AND a.metric = b.metric)
-  SELECT model, metric, round(quantile_cont(value, 0.025), 9) AS low, round(quantile_cont(value, 0.975), 9) AS high, round(avg(CASE WHEN value > 1e-12 THEN 1e0 ELSE 0e0 END), 9) AS frac_first_better FROM d GROUP BY ALL""")
+  SELECT model, metric, round(quantile_cont(value, 0.025), 11) AS low, round(quantile_cont(value, 0.975), 11) AS high, round(avg(CASE WHEN value > 1e-12 THEN 1e0 ELSE 0e0 END), 11) AS frac_first_better FROM d GROUP BY ALL""")
 def e9(spark, sf):
     d = R.paired_differences(boot(spark, sf), "model", "A", ["metric", "draw"]).withColumn("value", F.when(F.abs("value") < 1e-12, 0.0).otherwise(F.col("value")))
     g = d.groupBy("model", "metric").agg(F.percentile("value", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
     g = g.select("model", "metric", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
-    return round_all(g.join(R.better_share(d, ["model", "metric"]), ["model", "metric"]), 9)
+    return round_all(g.join(R.better_share(d, ["model", "metric"]), ["model", "metric"]), 11)
 
 
 STRAT = LONG_SCORES + f""", {draws_sql(40)}, c0 AS (SELECT model, stratum, source_id, positive, score, count(*) AS c FROM lng GROUP BY ALL),
@@ -146,12 +146,12 @@ def e10(spark, sf):
 
 @query("e11_difference_in_differences", f"""WITH {STRAT}, g AS (SELECT model, draw, max(CASE WHEN stratum = 'A' THEN auc END) - max(CASE WHEN stratum = 'R' THEN auc END) AS gap FROM sb GROUP BY ALL),
   d AS (SELECT b.draw, b.gap - a.gap AS value FROM g a JOIN g b ON a.model = 'A' AND b.model = 'B' AND a.draw = b.draw)
-  SELECT 'B' AS model, round(quantile_cont(value, 0.025), 9) AS low, round(quantile_cont(value, 0.975), 9) AS high, count(value) AS n_valid_draws FROM d""")
+  SELECT 'B' AS model, round(quantile_cont(value, 0.025), 11) AS low, round(quantile_cont(value, 0.975), 11) AS high, count(value) AS n_valid_draws FROM d""")
 def e11(spark, sf):
     gap = R.stratum_gap(strat(spark, sf), "stratum", "A", "R", ["model", "draw"])
     d = R.paired_differences(gap, "model", "A", ["draw"])
     g = d.groupBy("model").agg(F.percentile("value", F.array(F.lit(0.025), F.lit(0.975))).alias("p"), F.count("value").alias("n_valid_draws"))
-    return round_all(g.select("model", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"), "n_valid_draws"), 9)
+    return round_all(g.select("model", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"), "n_valid_draws"), 11)
 
 
 @query("e12_stored_draw_table", f"WITH {BOOT} SELECT model, metric, count(*) AS n, round(avg(value), 9) AS mean FROM bl GROUP BY ALL")
@@ -177,12 +177,12 @@ def e13(spark, sf):
   bd AS (SELECT model, draw, (sum(CASE WHEN positive THEN logloss * m END) / sum(CASE WHEN positive THEN m END) + sum(CASE WHEN NOT positive THEN logloss * m END) / sum(CASE WHEN NOT positive THEN m END)) / 2 AS logloss,
   (sum(CASE WHEN positive THEN brier * m END) / sum(CASE WHEN positive THEN m END) + sum(CASE WHEN NOT positive THEN brier * m END) / sum(CASE WHEN NOT positive THEN m END)) / 2 AS brier FROM pv JOIN dr USING (source_id) GROUP BY ALL),
   bl AS (SELECT model, draw, 'logloss' AS metric, logloss AS value FROM bd UNION ALL SELECT model, draw, 'brier', brier FROM bd)
-  SELECT model, metric, round(quantile_cont(value, 0.025), 9) AS low, round(median(value), 9) AS mid, round(quantile_cont(value, 0.975), 9) AS high FROM bl GROUP BY ALL""")
+  SELECT model, metric, round(quantile_cont(value, 0.025), 11) AS low, round(median(value), 11) AS mid, round(quantile_cont(value, 0.975), 11) AS high FROM bl GROUP BY ALL""")
 def e14(spark, sf):
     p = R.proper_scores(tables(spark, sf), ["model"]).join(draws(spark, sf), "source_id")
     b = R.melt(R.class_mean(p, ["model", "draw"], ["logloss", "brier"], F.col("m")), ["model", "draw"], ["logloss", "brier"])
     g = b.groupBy("model", "metric").agg(F.percentile("value", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("p"))
-    return round_all(g.select("model", "metric", *[F.col("p")[i].alias(n) for i, n in enumerate(("low", "mid", "high"))]), 9)
+    return round_all(g.select("model", "metric", *[F.col("p")[i].alias(n) for i, n in enumerate(("low", "mid", "high"))]), 11)
 
 
 RES = SCORES + """, rs AS (SELECT source_id, bool_or(positive) AS positive, avg(score_b - score_a) AS residual FROM oof GROUP BY 1)"""
@@ -260,10 +260,10 @@ BUDGET = SCORES + """, px AS (SELECT source_id, positive, score_b AS score, row_
 
 @query("e21_budget_curve", f"""WITH {BUDGET}, {auc_sql('bu', 'me', 'k, draw', 'score')}, b AS (SELECT k, draw, (avg(CASE WHEN positive THEN (score >= 0.5)::INTEGER END) + avg(CASE WHEN NOT positive THEN (score < 0.5)::INTEGER END)) / 2 AS v FROM me GROUP BY ALL),
   l AS (SELECT k, draw, 'source_ba' AS metric, v FROM b UNION ALL SELECT k, draw, 'source_auc', auc FROM bu)
-  SELECT k, metric, round(median(v), 9) AS median, round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high FROM l GROUP BY ALL""")
+  SELECT k, metric, round(median(v), 11) AS median, round(quantile_cont(v, 0.025), 11) AS low, round(quantile_cont(v, 0.975), 11) AS high FROM l GROUP BY ALL""")
 def e21(spark, sf):
     s = O.row_index(scores(spark, sf).select("source_id", "positive", "obs_id", F.col("score_b").alias("score")), ["source_id"], "score", ["obs_id"], out="idx", total="n")
-    return round_all(R.budget_curve(cut(s.withColumn("idx", F.col("idx") - 1)), 30, [1, 2, 3, 5, 8, 13, 21], 13), 9)
+    return round_all(R.budget_curve(cut(s.withColumn("idx", F.col("idx") - 1)), 30, [1, 2, 3, 5, 8, 13, 21], 13), 11)
 
 
 @query("e22_score_agreement", f"""WITH {SCORES}, r AS (SELECT score_a, score_b, rank() OVER (ORDER BY score_a) + (count(*) OVER (PARTITION BY score_a) - 1) / 2e0 AS ra, rank() OVER (ORDER BY score_b) + (count(*) OVER (PARTITION BY score_b) - 1) / 2e0 AS rb FROM oof)
