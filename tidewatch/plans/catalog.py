@@ -6,7 +6,7 @@ import importlib
 
 from tidewatch.plans.registry import ORACLE, QUERIES
 
-FAMILIES = ["io", "project", "joins", "intervals", "aggregate", "select", "timing", "evaluate", "models"]
+FAMILIES = ["io", "project", "joins", "intervals", "aggregate", "select", "timing", "evaluate", "models", "streams"]
 for _family in FAMILIES:
     importlib.import_module(f"tidewatch.plans.{_family}")
 
