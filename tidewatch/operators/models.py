@@ -346,7 +346,7 @@ def perceptron(layers: Sequence[int], seeds: Sequence[int], max_iter: int = 100)
     return fit
 
 
-def kernel_margin(features: Sequence[str], n_random: int = 64, gamma_factor: float = 1.0, reg: float = 0.01, seed: int = 42):
+def kernel_margin(features: Sequence[str], n_random: int = 64, gamma_factor: float = 1.0, reg: float = 0.01, seed: int = 42, max_iter: int = 50):
     """Margin classifier in random Fourier features of an RBF kernel; score = sigmoid of the margin. gamma = factor / (d x variance)."""
     d = len(features)
     rng = np.random.default_rng(seed)
@@ -363,7 +363,7 @@ def kernel_margin(features: Sequence[str], n_random: int = 64, gamma_factor: flo
             cols = {f"_c{k}": F.cos(sum((z[i] * float(w[k, i]) for i in range(d)), F.lit(float(b0[k])))) * math.sqrt(2.0 / n_random) for k in range(n_random)}
             return VectorAssembler(inputCols=list(cols), outputCol="_rf").transform(df.withColumns(cols)).drop(*cols)
 
-        model = LinearSVC(featuresCol="_rf", labelCol="_y", weightCol="weight", regParam=reg, maxIter=50).fit(lift(train))
+        model = LinearSVC(featuresCol="_rf", labelCol="_y", weightCol="weight", regParam=reg, maxIter=max_iter).fit(lift(train))
         return lambda df: model.transform(lift(df)).withColumn("score", expit(vector_to_array("rawPrediction")[1]))
 
     return fit

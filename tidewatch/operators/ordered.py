@@ -39,12 +39,13 @@ def default_cells(df: DataFrame) -> int:
 def with_cells(df: DataFrame, order: str, tie: str | None = None, n_cells: int | None = None, out: str = "_cell") -> DataFrame:
     """Add a cell number that is monotone in (order, tie).
 
-    ``order`` and ``tie`` are numeric. A value that alone fills more than one cell gets cells of its own,
-    divided by ``tie``. Only the (bounded) list of cut points comes to the driver.
+    ``order`` is numeric (a double or an integer below 2**53), ``tie`` numeric or text. A value that alone fills more than one cell
+    gets cells of its own, divided by ``tie``. Only the (bounded) list of cut points comes to the driver.
     """
     n = n_cells or default_cells(df)
     probs = [i / n for i in range(1, n)]
-    cols = [order] + ([tie] if tie else [])
+    text_tie = tie is not None and dict(df.dtypes)[tie] == "string"
+    cols = [order] + ([tie] if tie and not text_tie else [])
     cuts = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).approxQuantile(cols, probs, 0.5 / n)
     first = sorted(set(cuts[0]))
     if not first:
@@ -55,14 +56,26 @@ def with_cells(df: DataFrame, order: str, tie: str | None = None, n_cells: int |
     on_cut = F.element_at(F.array(*[F.lit(v) for v in first]), F.greatest(F.col(at), F.lit(1)).cast("int")) == c
     number = F.col(at) * 2 - F.when((F.col(at) > 0) & on_cut, 1).otherwise(0)
     if heavy:
-        second = sorted(set(cuts[1]))
         sub = f"{out}_sub"
-        cell = bucket_number(cell, F.when(c.isin(heavy), F.col(tie).cast("double")), second, sub)
+        if text_tie:
+            second = _text_cuts(df.where(c.isin(heavy)), tie, n)
+            below = F.size(F.filter(F.array(*[F.lit(x) for x in second]), lambda x: x <= F.col(tie)))
+            cell = cell.withColumn(sub, F.when(c.isin(heavy), below))
+        else:
+            second = sorted(set(cuts[1]))
+            cell = bucket_number(cell, F.when(c.isin(heavy), F.col(tie).cast("double")), second, sub)
         number = number * (len(second) + 2) + F.coalesce(F.col(sub) + 1, F.lit(0))
         return cell.withColumn(out, F.coalesce(number, F.lit(-1)).cast("long")).drop(at, sub)
     return cell.withColumn(out, F.coalesce(number, F.lit(-1)).cast("long")).drop(at)
 
 
+def _text_cuts(df: DataFrame, c: str, n: int) -> list[str]:
+    """Cut points of a text column: every fourth of a bounded sample, the rows with the smallest hashes."""
+    rows = df.select(F.col(c).alias("c")).where("c is not null").orderBy(F.xxhash64("c"), "c").limit(4 * n).collect()
+    values = sorted(r["c"] for r in rows)
+    return sorted(set(values[3::4]))
+
+
 def bucket_number(df: DataFrame, c: Column, cuts: Sequence[float], out: str) -> DataFrame:
     """How many of the sorted cut points are at or below c (binary search)."""
     src = f"{out}_in"
@@ -235,7 +248,7 @@ def spearman(df, keys, x, y, out="rho", n_cells=None) -> DataFrame:
     j = pairs.join(rx, [*keys, "_x"]).join(ry, [*keys, "_y"])
     c = F.col("_c")
     g = j.groupBy(*keys).agg(
-        F.sum(c).alias("n"),
+        F.coalesce(F.sum(c), F.lit(0)).alias("n"),
         F.sum(c * F.col("_dx") * F.col("_dy")).alias("_xy"),
         F.sum(c * F.col("_dx") * F.col("_dx")).alias("_xx"),
         F.sum(c * F.col("_dy") * F.col("_dy")).alias("_yy"),

@@ -338,7 +338,7 @@ def e28(spark, sf):
 
 
 SETS = LONG_SCORES + """, ex AS (SELECT 'none' AS set_id, -1 AS source_id UNION ALL SELECT DISTINCT 'odd nations', s_suppkey FROM supplier WHERE s_nationkey % 2 = 1 UNION ALL SELECT 'debtors', s_suppkey FROM supplier WHERE s_acctbal < 0),
-  si AS (SELECT DISTINCT set_id FROM ex), kp AS (SELECT si.set_id, lng.* FROM lng, si WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.set_id = si.set_id AND ex.source_id = lng.source_id))"""
+  si AS (SELECT unnest(['none', 'odd nations', 'debtors']) AS set_id), kp AS (SELECT si.set_id, lng.* FROM lng, si WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.set_id = si.set_id AND ex.source_id = lng.source_id))"""
 
 
 @query("e29_exclusion_sensitivity", f"""WITH {SETS}, {auc_sql('xa', 'kp', 'set_id, model', 'score')}, n AS (SELECT set_id, model, count(DISTINCT CASE WHEN positive THEN source_id END) AS n_pos, count(DISTINCT CASE WHEN NOT positive THEN source_id END) AS n_neg FROM kp GROUP BY ALL)

@@ -39,12 +39,12 @@ def scores(spark, sf):
     li = table(spark, sf, "lineitem")
     a = F.col("l_quantity") / 51.0
     return li.select(F.col("l_suppkey").alias("source_id"),
-                     F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("obs_id"),
+                     F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.unix_date(F.to_date("l_shipdate"))).alias("obs_id"),
                      (F.col("l_suppkey") % 5 == 0).alias("positive"), F.col("l_returnflag").alias("stratum"),
                      a.alias("score_a"), ((a + F.col("l_discount") * 10.0) / 2.0).alias("score_b"))
 
 
-SCORES = """oof AS (SELECT l_suppkey AS source_id, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS obs_id,
+SCORES = """oof AS (SELECT l_suppkey AS source_id, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, (epoch_us(l_shipdate) // 86400000000)::BIGINT) AS obs_id,
   l_suppkey % 5 = 0 AS positive, l_returnflag AS stratum, l_quantity / 51e0 AS score_a,
   (l_quantity / 51e0 + l_discount * 10e0) / 2e0 AS score_b FROM lineitem)"""
 
