@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.ordered import scan, spearman
+from tidewatch.operators.ordered import attach_row, scan, spearman
 
 
 def source_table(oof: DataFrame, keys: Sequence[str], score: str = "score", cut: float = 0.5, digits: int | None = None) -> DataFrame:
@@ -86,7 +86,7 @@ def influence(df: DataFrame, keys: Sequence[str], score: str, n_cells: int | Non
     u = base.where("positive").join(below, [*keys, "_v"]).groupBy(*keys, "source_id").agg(
         F.sum(F.col("c") * (F.col("_below") + 0.5 * F.col("wn"))).alias("_u"), F.sum("c").alias("_p"), F.max("_N").alias("_neg"))
     tot = u.groupBy(*keys).agg(F.sum("_u").alias("_u_all"), F.sum("_p").alias("_p_all"))
-    j = u.join(tot, list(keys)) if keys else u.withColumn("_k", F.lit(0)).join(tot.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    j = u.join(tot, list(keys)) if keys else attach_row(u, tot)
     left = F.try_divide(F.col("_u_all") - F.col("_u"), (F.col("_p_all") - F.col("_p")) * F.col("_neg"))
     return j.select(*keys, F.col("source_id").alias("left_out"), left.alias("auc"), F.try_divide(F.col("_u_all"), F.col("_p_all") * F.col("_neg")).alias("auc_all"))
 

@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.columns import clip, hash_int, hash_text
+from tidewatch.functions.columns import clip, hash_cell, hash_int, hash_text
 from tidewatch.operators.evaluate import auc
-from tidewatch.operators.ordered import row_index
+from tidewatch.operators.ordered import attach_row, cells_for, row_index
 from tidewatch.operators.select import sample_k
+from tidewatch.session import cut, spread
 
 VERDICT_NO = "not detected"
 
@@ -25,6 +26,7 @@ def boot_draws(sources: DataFrame, n_boot: int, seed: int) -> DataFrame:
     hash(seed, draw, class, slot) mod class size.
     """
     s = row_index(sources.select("source_id", "positive"), ["positive"], "source_id", out="_i", total="_n").withColumn("_i", F.col("_i") - 1)
+    s = spread(s, "source_id")
     cls = F.col("positive").cast("int")
     d = s.select("positive", "_n", "_i", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("draw"))
     d = d.select("draw", "positive", (hash_int(seed, F.col("draw"), cls, F.col("_i")) % F.col("_n")).alias("_i"))
@@ -34,6 +36,8 @@ def boot_draws(sources: DataFrame, n_boot: int, seed: int) -> DataFrame:
 
 def boot_metrics(table: DataFrame, draws: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Source balanced accuracy, source AUC and observation balanced accuracy per draw, long: (keys, draw, metric, value)."""
+    table = cut(table)
+    n_cells = cells_for(table, keys)
     j = table.join(draws, "source_id")
     p, m = F.col("positive"), F.col("m")
 
@@ -44,7 +48,7 @@ def boot_metrics(table: DataFrame, draws: DataFrame, keys: Sequence[str]) -> Dat
         return (part(p) + part(~p)) / 2.0
 
     g = j.groupBy(*keys, "draw").agg(share(F.col("correct") * m, m).alias("source_ba"), share(F.col("n_correct") * m, F.col("n") * m).alias("obs_ba"))
-    a = auc(j, [*keys, "draw"], weight=m.cast("double"), n_cells=0, out="source_auc")
+    a = auc(j, [*keys, "draw"], weight=m.cast("double"), n_cells=n_cells, out="source_auc")
     w = g.join(a, [*keys, "draw"])
     return melt(w, [*keys, "draw"], ["source_ba", "source_auc", "obs_ba"])
 
@@ -77,9 +81,11 @@ def better_share(diff: DataFrame, keys: Sequence[str], value: str = "value") ->
 
 def stratified_boot(oof: DataFrame, draws: DataFrame, keys: Sequence[str], stratum: str, score: str = "score") -> DataFrame:
     """Observation-level AUC within strata for draws over the whole sample: (keys, stratum, draw, value)."""
-    rows = oof.groupBy(*keys, stratum, "source_id", "positive", score).agg(F.count(F.lit(1)).alias("c"))
-    j = rows.join(draws, "source_id")
-    return auc(j, [*keys, stratum, "draw"], score, F.col("c") * F.col("m").cast("double"), out="value")
+    rows = cut(oof.groupBy(*keys, stratum, "source_id", "positive", score).agg(F.count(F.lit(1)).alias("c")))
+    # a draw has no more distinct scores than its stratum
+    n_cells = cells_for(rows.select(*keys, stratum, score).distinct(), [*keys, stratum])
+    j = rows.join(spread(draws, "draw"), "source_id")
+    return auc(j, [*keys, stratum, "draw"], score, F.col("c") * F.col("m").cast("double"), n_cells=n_cells, out="value")
 
 
 def stratum_gap(boot: DataFrame, stratum: str, first: str, second: str, keys: Sequence[str], value: str = "value") -> DataFrame:
@@ -120,16 +126,15 @@ def class_mean(df: DataFrame, keys: Sequence[str], columns: Sequence[str], weigh
 
 
 def permuted(sources: DataFrame, strata: Sequence[str], n_perm: int, seed: int) -> DataFrame:
-    """Label permutations: (perm, source_id, as_positive) with the number of positives per stratum kept.
-
-    A (perm, stratum) group holds one row per source.
-    """
+    """Label permutations: (perm, source_id, as_positive) with the number of positives per stratum kept."""
+    sources = cut(sources)
+    n_cells = cells_for(sources, strata)
     n = sources.groupBy(*strata).agg(F.sum(F.col("positive").cast("int")).alias("_nb"))
-    s = sources.join(n, list(strata)) if strata else sources.withColumn("_k", F.lit(0)).join(n.withColumn("_k", F.lit(0)), "_k").drop("_k")
-    d = s.select("source_id", *strata, "_nb", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
+    s = sources.join(n, list(strata)) if strata else attach_row(sources, n)
+    d = spread(s, "source_id").select("source_id", *strata, "_nb", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
     d = d.withColumn("_h", hash_text(seed, F.col("perm"), F.col("source_id")))
-    w = Window.partitionBy("perm", *strata).orderBy("_h", "source_id")
-    return d.withColumn("as_positive", F.row_number().over(w) <= F.col("_nb")).select("perm", "source_id", "as_positive")
+    d = row_index(d, ["perm", *strata], "_h", ["source_id"], out="_i", cell=hash_cell("_h", 3), n_cells=n_cells)
+    return d.withColumn("as_positive", F.col("_i") <= F.col("_nb")).select("perm", "source_id", "as_positive")
 
 
 def mean_difference(df: DataFrame, keys: Sequence[str], positive: str, value: str) -> DataFrame:
@@ -150,8 +155,7 @@ def _p_value(obs: DataFrame, null: DataFrame, n_perm: int) -> DataFrame:
     d0 = obs.first()["d"]
     g = null.agg(F.sum((F.abs("d") >= abs(d0) - 1e-15).cast("int")).alias("_c"), F.stddev_pop("d").alias("null_sd")) if d0 is not None else null.agg(
         F.lit(None).cast("long").alias("_c"), F.lit(None).cast("double").alias("null_sd"))
-    j = obs.withColumn("_k", F.lit(0)).join(g.withColumn("_k", F.lit(0)), "_k").drop("_k")
-    return j.withColumn("p", (1 + F.col("_c")) / F.lit(1.0 + n_perm)).drop("_c")
+    return attach_row(obs, g).withColumn("p", (1 + F.col("_c")) / F.lit(1.0 + n_perm)).drop("_c")
 
 
 def pooled_permutation(residuals: DataFrame, instrument: str, n_perm: int, seed: int, value: str = "residual") -> DataFrame:
@@ -174,7 +178,7 @@ def window_contrast(df: DataFrame, covariate: str, value: str, n_perm: int, seed
     return permutation_test(d, n_perm, seed)
 
 
-def budget_curve(indexed: DataFrame, draws: int, ks: Sequence[int], seed: int, cut: float = 0.5, digits: int = 9) -> DataFrame:
+def budget_curve(indexed: DataFrame, draws: int, ks: Sequence[int], seed: int, threshold: float = 0.5, digits: int = 9) -> DataFrame:
     """Accuracy and AUC of source means from k random observations per source: median and 95 % range over draws.
 
     indexed: source_id, positive, idx (from 0), n, score.
@@ -182,9 +186,11 @@ def budget_curve(indexed: DataFrame, draws: int, ks: Sequence[int], seed: int, c
     pick = sample_k(indexed.select("source_id", "idx", "n"), "source_id", "idx", "n", draws, ks, seed)
     m = pick.join(indexed.select("source_id", "idx", "positive", "score"), ["source_id", "idx"]).groupBy("k", "draw", "source_id").agg(
         F.max("positive").alias("positive"), F.round(F.avg("score"), digits).alias("score"))
-    p, hit = F.col("positive"), (F.col("score") >= cut) == F.col("positive")
+    m = cut(m)
+    p, hit = F.col("positive"), (F.col("score") >= threshold) == F.col("positive")
     ba = m.groupBy("k", "draw").agg(((F.avg(F.when(p, hit.cast("double"))) + F.avg(F.when(~p, hit.cast("double")))) / 2.0).alias("source_ba"))
-    both = ba.join(auc(m, ["k", "draw"], n_cells=0, out="source_auc"), ["k", "draw"])
+    n_cells = cells_for(indexed.select("source_id").distinct(), [])
+    both = ba.join(auc(m, ["k", "draw"], n_cells=n_cells, out="source_auc"), ["k", "draw"])
     g = melt(both, ["k", "draw"], ["source_ba", "source_auc"]).groupBy("k", "metric").agg(
         F.percentile("value", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("_p"))
     return g.select("k", "metric", F.col("_p")[1].alias("median"), F.col("_p")[0].alias("low"), F.col("_p")[2].alias("high"))

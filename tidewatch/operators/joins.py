@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,17 +111,23 @@ def neighbour_counts(df: DataFrame, tol: float) -> DataFrame:
     return df.join(near, ["ra", "dec"], "left").withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("long")))
 
 
-def ambiguous(matches: DataFrame, key: str, cls: str, ra: str, dec: str, spread: float, salt: str, n_salts: int = 16) -> DataFrame:
+def ambiguous(matches: DataFrame, key: str, cls: str, ra: str, dec: str, spread: float, salt: str, n_salts: int | None = None) -> DataFrame:
     """Matches per key: number of classes, largest separation of two matches, and whether the key is rejected.
 
-    The two farthest points are corners of the convex hull, so each (key, salt) part is reduced to its hull before the few
-    corners are paired. Positions of one key must lie within a hemisphere.
+    The two farthest points are corners of the convex hull. Every batch is reduced to the hulls of its keys inside the map stage, then
+    every (key, salt), then every key, before the few corners are paired. Positions of one key must lie within a hemisphere.
     """
+    n_salts = n_salts or int(matches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = matches.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(cls).alias("n_cls"), F.first(F.struct(ra, dec)).alias("_o"))
     pts = matches.select(key, ra, dec, F.pmod(F.xxhash64(salt), F.lit(n_salts)).alias("_s")).join(counts.select(key, "_o"), key)
     plane = _gnomonic(pts, ra, dec)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plane.schema.fields)
-    corners = plane.groupBy(key, "_s").applyInPandas(_hull, schema)
+
+    def by_batch(parts):
+        for part in parts:
+            yield pd.concat([_hull(g) for _, g in part.groupby(key)]) if len(part) else part
+
+    corners = plane.mapInPandas(by_batch, schema).groupBy(key, "_s").applyInPandas(_hull, schema)
     corners = corners.withColumn("_s", F.lit(0).cast("long")).groupBy(key, "_s").applyInPandas(_hull, schema).select(key, ra, dec)
     other = corners.select(key, F.col(ra).alias("_ra2"), F.col(dec).alias("_dec2"))
     far = corners.join(other, key).groupBy(key).agg(F.max(sep_deg(ra, dec, "_ra2", "_dec2")).alias("extent"))

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import expit, hash_cell, hash_text
 from tidewatch.operators.knn import knn_join
-from tidewatch.operators.ordered import count_percentiles, row_index, scan
-from tidewatch.session import cut
+from tidewatch.operators.ordered import attach_row, count_percentiles, row_index, scan
+from tidewatch.session import cut, spread
 
 MAX_TASKS = 5000
 
@@ -37,8 +37,8 @@ def group_folds(df: DataFrame, group: str) -> DataFrame:
 def fold_checks(df: DataFrame, group: str) -> DataFrame:
     """Per fold: test rows, train rows per class, and whether the train side has both classes and no row of the test group."""
     g = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_test"), F.sum(F.col("positive").cast("int")).alias("_p")).join(group_folds(df, group), group)
-    t = g.agg(F.sum("n_test").alias("_n"), F.sum("_p").alias("_P_all")).withColumn("_k", F.lit(0))
-    j = g.withColumn("_k", F.lit(0)).join(t, "_k")
+    t = g.agg(F.sum("n_test").alias("_n"), F.sum("_p").alias("_P_all"))
+    j = attach_row(g, t)
     pos, n = F.col("_P_all") - F.col("_p"), F.col("_n") - F.col("n_test")
     return j.select("fold", group, "n_test", n.alias("n_train"), pos.alias("train_pos"), (n - pos).alias("train_neg"), ((pos > 0) & (n - pos > 0)).alias("both_classes"))
 
@@ -61,17 +61,16 @@ def balanced_group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
 
 def balanced_weights(df: DataFrame) -> DataFrame:
     """n / (2 n_class)."""
-    c = df.groupBy("positive").agg(F.count(F.lit(1)).alias("_c")).withColumn("_k", F.lit(0))
-    t = c.groupBy("_k").agg(F.sum("_c").alias("_n"))
-    w = c.join(t, "_k").select("positive", (F.col("_n") / (2.0 * F.col("_c"))).alias("weight"))
+    c = df.groupBy("positive").agg(F.count(F.lit(1)).alias("_c"))
+    w = attach_row(c, c.agg(F.sum("_c").alias("_n"))).select("positive", (F.col("_n") / (2.0 * F.col("_c"))).alias("weight"))
     return df.join(w, "positive")
 
 
 def source_equal_weights(df: DataFrame, group: str, within_class: bool = False) -> DataFrame:
     """Every source of a class weighs the same: n / (2 S_class n_source), or 1 / (S_class n_source)."""
     s = df.groupBy(group, "positive").agg(F.count(F.lit(1)).alias("_ns"))
-    c = s.groupBy("positive").agg(F.count(F.lit(1)).alias("_S"), F.sum("_ns").alias("_nc")).withColumn("_k", F.lit(0))
-    c = c.join(c.groupBy("_k").agg(F.sum("_nc").alias("_n")), "_k")
+    c = s.groupBy("positive").agg(F.count(F.lit(1)).alias("_S"), F.sum("_ns").alias("_nc"))
+    c = attach_row(c, c.agg(F.sum("_nc").alias("_n")))
     top = F.lit(1.0) if within_class else F.col("_n") / 2.0
     w = s.join(c, "positive").select(group, "positive", (top / (F.col("_S") * F.col("_ns"))).alias("weight"))
     return df.join(w, [group, "positive"])
@@ -96,9 +95,9 @@ def median_fill(df: DataFrame, fold: str, columns: Sequence[str], n_folds: int)
 
 def prior_scores(df: DataFrame, group: str) -> DataFrame:
     """Class frequency of the training side of each leave-one-group-out fold."""
-    g = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("positive").cast("int")).alias("_p")).withColumn("_k", F.lit(0))
-    t = g.groupBy("_k").agg(F.sum("_n").alias("_N_all"), F.sum("_p").alias("_P_all"))
-    return g.join(t, "_k").select(group, F.try_divide(F.col("_P_all") - F.col("_p"), F.col("_N_all") - F.col("_n")).alias("score"))
+    g = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("positive").cast("int")).alias("_p"))
+    t = g.agg(F.sum("_n").alias("_N_all"), F.sum("_p").alias("_P_all"))
+    return attach_row(g, t).select(group, F.try_divide(F.col("_P_all") - F.col("_p"), F.col("_N_all") - F.col("_n")).alias("score"))
 
 
 def knn_scores(df: DataFrame, features: Sequence[str], k: int, group: str, row_id: str) -> DataFrame:
@@ -118,10 +117,10 @@ def quadratic_scores(df: DataFrame, x: str, y: str, group: str, shrink: float =
     X, Y = F.col(x), F.col(y)
     parts = {"n": F.lit(1.0), "x": X, "y": Y, "xx": X * X, "xy": X * Y, "yy": Y * Y}
     aggs = [F.sum(F.when(F.col("positive") == c, v).otherwise(0.0)).alias(f"{k}{int(c)}") for c in (True, False) for k, v in parts.items()]
-    g = df.groupBy(group).agg(*aggs).withColumn("_k", F.lit(0))
+    g = df.groupBy(group).agg(*aggs)
     names = [f"{k}{c}" for c in (1, 0) for k in parts]
-    t = g.groupBy("_k").agg(*[F.sum(n).alias(f"t_{n}") for n in names])
-    f = g.join(t, "_k").select(group, *[(F.col(f"t_{n}") - F.col(n)).alias(n) for n in names])
+    t = g.agg(*[F.sum(n).alias(f"t_{n}") for n in names])
+    f = attach_row(g, t).select(group, *[(F.col(f"t_{n}") - F.col(n)).alias(n) for n in names])
     j = df.join(f, group)
     logp = {}
     for c in (1, 0):
@@ -191,7 +190,7 @@ def fit_logits(df: DataFrame, fold: str, features: Sequence[str], tasks: Sequenc
     d = len(features)
     base = df.where(F.lit(True) if not features else sum((F.col(f).isNull().cast("int") for f in features), F.lit(0)) == 0)
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    base = cut(base.select(F.col(fold).cast("int").alias("_f"), F.col("positive").cast("double").alias("_y"), w.alias("_w"), *[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)]))
+    base = cut(spread(base.select(F.col(fold).cast("int").alias("_f"), F.col("positive").cast("double").alias("_y"), w.alias("_w"), *[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)])))
     sums = base.groupBy("_f", "_y").agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("w"), *[x for i in range(d) for x in (F.sum(f"_x{i}").alias(f"s{i}"), F.sum(F.col(f"_x{i}") * F.col(f"_x{i}")).alias(f"q{i}"))]).collect()
     state = {}
     for t in tasks:

@@ -179,6 +179,12 @@ def _plain_scan(df, keys, seq, running, totals, descending) -> DataFrame:
     return df.select(*kept, *[c.alias(n) for n, c in new.items()])
 
 
+def attach_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Add the columns of a one-row frame (an aggregate without keys) to every row; one row is what the hint broadcasts."""
+    key = F.lit(0)
+    return df.withColumn("_one", key).join(F.broadcast(one.withColumn("_one", key)), "_one").drop("_one")
+
+
 def row_index(df, keys, order, tie=(), out="rn", total=None, **kw) -> DataFrame:
     """1-based position in the key, and optionally the size of the key."""
     one = F.lit(1).cast("long")

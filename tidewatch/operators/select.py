@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import hash_cell, hash_int, hash_text
 from tidewatch.operators.joins import top_k
-from tidewatch.operators.ordered import percentiles, row_index, scan
+from tidewatch.operators.ordered import cells_for, equal_count_bins, row_index, scan
+from tidewatch.session import cut, spread
 
 
 def first_wins(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -19,10 +20,16 @@ def first_wins(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataF
     return g.select(*key, "_b.*")
 
 
-def random_rank(df: DataFrame, keys: Sequence[str], row_id: str, seed: int, out: str = "rank") -> DataFrame:
+def random_rank(df: DataFrame, keys: Sequence[str], row_id: str, seed: int, out: str = "rank", n_cells: int | None = None) -> DataFrame:
     """Reproducible random rank inside a group: position by the MD5 of seed and row id."""
     d = df.withColumn("_h", hash_text(seed, F.col(row_id)))
-    return row_index(d, keys, "_h", [row_id], out=out, cell=hash_cell("_h", 3)).withColumn(out, F.col(out).cast("int")).drop("_h")
+    return row_index(d, keys, "_h", [row_id], out=out, cell=hash_cell("_h", 3), n_cells=n_cells).withColumn(out, F.col(out).cast("int")).drop("_h")
+
+
+def stratified_candidates(df: DataFrame, group: str, t: str, row_id: str, bins: int, seed: int) -> DataFrame:
+    """Equal-count time bins per group (``bin``) and a random rank inside every bin (``rank``)."""
+    n = cells_for(df, [group])
+    return random_rank(equal_count_bins(df, [group], t, [row_id], k=bins, n_cells=n), [group, "bin"], row_id, seed, n_cells=n)
 
 
 def capped(df: DataFrame, keys: Sequence[str], cap: int, row_id: str, seed: int) -> DataFrame:
@@ -67,9 +74,9 @@ def sample_k(rows: DataFrame, group: str, index: str, size: str, draws: int, ks:
     large, small = groups.where(F.col("_n") > 4 * top), groups.where(F.col("_n") <= 4 * top)
     m = 2 * top + 20
     while True:
-        seq = large.select(group, "_n", draw).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+        seq = spread(large.select(group, "_n", draw), group, "draw").withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
         seq = seq.withColumn(index, hash_int(seed, F.col("draw"), F.col(group), F.col("_i")) % F.col("_n"))
-        first = seq.groupBy("draw", group, index).agg(F.min("_i").alias("_i"))
+        first = cut(seq.groupBy("draw", group, index).agg(F.min("_i").alias("_i")))
         short = first.groupBy("draw", group).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") < top)
         if short.limit(1).count() == 0:
             break
@@ -126,6 +133,3 @@ def report_order(df: DataFrame, block: str, order: Sequence[Column], header: Dat
     both = header.withColumn("_body", F.lit(0)).unionByName(df.withColumn("_body", F.lit(1)), allowMissingColumns=True)
     return both.withColumn("line", F.row_number().over(w)).drop("_body")
 
-
-def median_cut(df: DataFrame, value: str) -> float:
-    return percentiles(df, [], value, {"m": 0.5}).first()["m"]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.columns import ratio, signed_sqrt, sinc_squared
 from tidewatch.operators.intervals import good_intervals
 from tidewatch.operators.ordered import cells_for, latest_before, percentiles, scan
-from tidewatch.session import cut
+from tidewatch.session import cut, spread
 
 
 # ---- light curves ----
@@ -350,7 +350,7 @@ def fit_lorentzians(obs: DataFrame, keys: Sequence[str], values: Sequence[str],
     shapes = [[2.0 / math.pi * (math.atan(hi / d) - math.atan(lo / d)) for lo, hi in edges] for d in widths]
     m = F.array(*[F.array(*[F.lit(x) for x in row]) for row in shapes])
     grid = [F.struct(F.lit(i).alias("i"), F.lit(k).alias("k")) for i in range(len(widths)) for k in range(i, len(widths))]
-    d = base.withColumn("_c", F.explode(F.array(*grid)))
+    d = spread(base, *keys).withColumn("_c", F.explode(F.array(*grid)))
     d = d.withColumns({"_a": F.element_at(m, F.col("_c.i") + 1), "_b": F.element_at(m, F.col("_c.k") + 1)})
 
     def dot(x, y):

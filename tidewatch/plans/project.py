@@ -15,9 +15,12 @@ BANDS = [(5.0, 7.0), (7.0, 10.0), (10.0, 16.0), (16.0, 25.1)]
 @query("p1_eligibility_filter", f"""WITH {OBS} SELECT obs_id, source_id FROM obs WHERE rate >= 50000 AND mjd >= 50000 AND mjd < 51677
   AND CASE WHEN status = 'P' THEN NULL ELSE rate END <= 400000""")
 def p1(spark, sf):
-    rate = F.when(F.col("status") != "P", F.col("rate"))
-    return P.eligible(observations(spark, sf), [F.col("rate") >= 50000, F.col("mjd") >= 50000, F.col("mjd") < 51677, rate <= 400000]).select(
-        "obs_id", "source_id")
+    # rules on the stored columns, so that they reach the Parquet scan; MJD 50000 and 51677 are these dates
+    o = table(spark, sf, "orders")
+    first, last = (F.lit(d).cast("timestamp_ntz") for d in ("1995-10-10", "2000-05-13"))
+    rate = F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice"))
+    rules = [F.col("o_totalprice") >= 50000.0, F.col("o_orderdate") >= first, F.col("o_orderdate") < last, rate <= 400000.0]
+    return P.eligible(o, rules).select(F.col("o_orderkey").alias("obs_id"), F.col("o_custkey").alias("source_id"))
 
 
 @query("p2_threshold_or_missing", f"""WITH {OBS}, o AS (SELECT obs_id, CASE WHEN status <> 'O' THEN rate END AS rate FROM obs)

@@ -15,8 +15,7 @@ BINS = f"""{OBS}, binned AS (SELECT *, ntile(5) OVER (PARTITION BY source_id ORD
 
 
 def candidates(spark, sf, k=5):
-    b = O.equal_count_bins(observations(spark, sf), ["source_id"], "mjd", ["obs_id"], k=k)
-    return S.random_rank(b, ["source_id", "bin"], "obs_id", 42)
+    return S.stratified_candidates(observations(spark, sf), "source_id", "mjd", "obs_id", k, 42)
 
 
 @query("w1_first_wins", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
@@ -50,7 +49,7 @@ def w4(spark, sf):
   SELECT source_id, bin, old_rank, new_rank, CASE WHEN n IS NULL THEN 'no candidate' WHEN new_rank IS NULL THEN 'not clean' ELSE 'replaced' END AS status FROM a LEFT JOIN g USING (source_id, bin)""")
 def w5(spark, sf):
     o = observations(spark, sf).withColumn("source_id", F.floor(F.col("source_id") / 10))
-    c = S.random_rank(O.equal_count_bins(o, ["source_id"], "mjd", ["obs_id"], k=5), ["source_id", "bin"], "obs_id", 42)
+    c = S.stratified_candidates(o, "source_id", "mjd", "obs_id", 5, 42)
     good = F.col("rate") > 250000
     acc = c.where(good).groupBy("source_id", "bin").agg(F.min("rank").alias("rank"))
     return S.replacements(acc, c, ["source_id", "bin"], "rank", good, F.col("status") == "F")

@@ -334,7 +334,7 @@ def t31(spark, sf):
     rho = O.spearman(j, [], "a", "b").withColumn("reliability", reliability("rho"))
     state = [C.two_threshold_state(c, 0.075, 0.10) for c in "ab"]
     changed = j.agg(F.count(F.when(state[0] != state[1], 1)).alias("n_changed"))
-    return round_all(rho.withColumn("_k", F.lit(1)).join(changed.withColumn("_k", F.lit(1)), "_k").drop("_k"), 9)
+    return round_all(O.attach_row(rho, changed), 9)
 
 
 WIDTHS = [0.25 * 2.0 ** i for i in range(9)]

@@ -37,3 +37,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so that a lost executor costs no recomputation."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Spread rows over all shuffle partitions before a step that multiplies them.
+
+    A small table that was coalesced to a few partitions would otherwise do the multiplied work in a few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
