@@ -40,7 +40,7 @@ def capped(df: DataFrame, keys: Sequence[str], cap: int, row_id: str, seed: int)
 
 def first_acceptable(cands: DataFrame, keys: Sequence[str], rank: str, ok: Column, max_tries: int) -> DataFrame:
     """Audit of the tried candidates: those up to the first acceptable one, at most max_tries, with ``accepted``."""
-    c = cands.where(F.col(rank) <= max_tries)
+    c = cut(cands.where(F.col(rank) <= max_tries))
     best = c.where(ok).groupBy(*keys).agg(F.min(rank).alias("_best"))
     j = c.join(best, list(keys), "left")
     tried = j.where(F.col(rank) <= F.coalesce(F.col("_best"), F.lit(max_tries)))

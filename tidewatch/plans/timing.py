@@ -10,6 +10,7 @@ from tidewatch.operators import timing as T
 from tidewatch.operators.select import reliability
 from tidewatch.plans.registry import query
 from tidewatch.plans.views import EDGES, EVENTS, VECTORS, events, round_all, vectors
+from tidewatch.session import cut
 
 DT, N = 3600.0, 64
 LEN = N * DT
@@ -29,13 +30,14 @@ def obs_intervals(spark, sf):
 
 
 def cube(spark, sf):
+    """Counts per segment, detector and bin, stored once because coefficients, detector flags and means all read them."""
     segs = I.segments(obs_intervals(spark, sf), LEN)
-    return T.count_cube(obs_events(spark, sf), segs, ["obs"], "t", "det", DT, N, (0, 4))
+    return cut(T.count_cube(obs_events(spark, sf), segs, ["obs"], "t", "det", DT, N, (0, 4)))
 
 
 def pair_segments(spark, sf):
     c = cube(spark, sf)
-    return T.pair_segments(T.dft_sums(c, ["obs"], N, JS), T.detectors_on(c, ["obs"], N, 8), ["obs"], ALL, N)
+    return cut(T.pair_segments(T.dft_sums(c, ["obs"], N, JS), T.detectors_on(c, ["obs"], N, 8), ["obs"], ALL, N))
 
 
 OBSEV = EVENTS + """, oe AS (SELECT user_id % 6 AS obs, * FROM ev),
