@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,15 +27,27 @@ def session(cpus: str | int = "*", partitions: int = 8, app: str = "tidewatch")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster, or a fresh local one when none is named."""
+    """The shared folder named by spark.checkpoint.dir.
+
+    Where none is named, a local session gets a fresh folder of its own, removed at its end; on a cluster executors would write to
+    their own disks, so that is refused.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
-        current = configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        current = configured or own_folder(spark.sparkContext.master)
         spark.sparkContext.setCheckpointDir(current)
     return configured or current
 
 
+def own_folder(master: str) -> str:
+    if not re.match(r"local(\[|$)", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so that a lost executor costs no recomputation."""
     checkpoint_dir(df.sparkSession)
