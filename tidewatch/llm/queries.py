@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import pii
+from tidewatch.llm import decontaminate, pii
 from tidewatch.sources.tables import table
 
 QUERIES: dict = {}
@@ -24,3 +24,29 @@ def query(name: str, sql: str | None = None):
 @query("op7_pii")
 def op7_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.digest(table(spark, sf, "documents"))
+
+
+OP4_SQL = r"""
+with w as (
+  select 'd' kind, doc_id id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents
+  union all
+  select 'i', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark
+), wi as (
+  select distinct item_id, len(win) k, array_to_string(win, ' ') win from (
+    select id item_id, ws[i:i + 12] win from (select id, ws, unnest(range(1, greatest(1, len(ws) - 12) + 1)) i from w where kind = 'i' and len(ws) > 0))
+), ks as (select distinct k from wi), first_words as (select distinct split_part(win, ' ', 1) f, k from wi),
+starts as (
+  select id doc_id, i, k, array_to_string(ws[i:i + k - 1], ' ') win from (select id, ws, unnest(range(1, len(ws) + 1)) i from w where kind = 'd') p join first_words f on f.f = p.ws[p.i]
+  where i + k - 1 <= len(ws)
+), hits as (select doc_id, i, s.k, item_id from starts s join wi using (win)),
+words as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(i, i + k)) p from (select distinct doc_id, i, k from hits)) group by 1),
+its as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) items from (select distinct doc_id, item_id::varchar item from hits) group by 1)
+select d.id doc_id, len(ws) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(items, '')) items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) contaminated
+from w d left join words on d.id = words.doc_id left join its on d.id = its.doc_id where kind = 'd'
+"""
+
+
+@query("op4_decontaminate", OP4_SQL)
+def op4_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.digest(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
