@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import decontaminate, pii
+from tidewatch.llm import decontaminate, pii, toxicity
 from tidewatch.sources.tables import table
 
 QUERIES: dict = {}
@@ -50,3 +50,8 @@ from w d left join words on d.id = words.doc_id left join its on d.id = its.doc_
 @query("op4_decontaminate", OP4_SQL)
 def op4_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf, "documents"), table(spark, sf, "labels"))
