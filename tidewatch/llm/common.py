@@ -55,17 +55,20 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
     each node's neighbours are hung on the smallest of them, until nothing changes. A node's neighbours are never gathered, only their minimum.
     """
     links = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
-    done = False
+    mark = lambda x: tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    before, done = mark(links), False
     for _ in range(rounds):
+        if not before[0]:
+            done = True
+            break
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(down.select("u", F.col("m").alias("v"))).distinct()
-        new = stored(small)
-        moved = new.exceptAll(links).limit(1).count()
-        done = moved == 0 and new.count() == links.count()
-        links = new
+        links = stored(small)
+        after = mark(links)
+        done, before = after == before, after
         if done:
             break
     if not done:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import decontaminate, pii, toxicity
+from tidewatch.llm import decontaminate, neardup, pii, toxicity
 from tidewatch.sources.tables import table
 
 QUERIES: dict = {}
@@ -55,3 +55,8 @@ def op4_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_toxicity")
 def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.digest(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op2_neardup")
+def op2_neardup(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.digest(table(spark, sf, "documents"))
