@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import decontaminate, neardup, pii, toxicity
+from tidewatch.llm import decontaminate, neardup, packing, pii, toxicity
 from tidewatch.sources.tables import table
 
 QUERIES: dict = {}
@@ -60,3 +61,13 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 @query("op2_neardup")
 def op2_neardup(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.digest(table(spark, sf, "documents"))
+
+
+@query("op9_packing")
+def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.packed(table(spark, sf, "documents"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)
