@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import decontaminate, neardup, packing, pii, toxicity
+from tidewatch.llm import decontaminate, neardup, packing, pii, sharding, toxicity, urlfilter
 from tidewatch.sources.tables import table
 
 QUERIES: dict = {}
@@ -71,3 +71,17 @@ def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
+
+
+@query("op6_sharding")
+def op6_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf, "documents"))
+
+
+#: The contract's rules.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@query("op8_url_templates")
+def op8_url_templates(spark: SparkSession, sf: str) -> DataFrame:
+    return urlfilter.judged(table(spark, sf, "pages"), URL_RULES)
