@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import decontaminate, neardup, packing, pii, sharding, toxicity, urlfilter
+from tidewatch.llm import decontaminate, neardup, packing, pii, sharding, toxicity, urlfilter, warc
 from tidewatch.sources.tables import table
 
 QUERIES: dict = {}
@@ -85,3 +85,17 @@ URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 @query("op8_url_templates")
 def op8_url_templates(spark: SparkSession, sf: str) -> DataFrame:
     return urlfilter.judged(table(spark, sf, "pages"), URL_RULES)
+
+
+OP5_SQL = """
+with p as (select page_id, coalesce(html, '') h from pages), d as (select page_id, strlen(h) payload_bytes, sha1(h) payload_digest from p),
+g as (select *, max(page_id) over (partition by payload_digest) top from d)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 1000 and page_id < top then 'revisit' else 'response' end record_type,
+  case when payload_bytes >= 1000 and page_id < top then top end refers_to,
+  case when payload_bytes >= 1000 and page_id < top then 1 else greatest(1, cast(ceil(payload_bytes / 65536.0) as bigint)) end n_chunks from g
+"""
+
+
+@query("op5_warc", OP5_SQL)
+def op5_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.digest(table(spark, sf, "pages"))
