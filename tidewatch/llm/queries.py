@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import decontaminate, neardup, packing, pii, sharding, toxicity, urlfilter, warc
+from tidewatch.llm import decontaminate, neardup, packing, pii, sharding, toxicity, urlfilter, vectorjoin, warc
 from tidewatch.sources.tables import table
 
 QUERIES: dict = {}
@@ -99,3 +99,8 @@ select page_id, payload_bytes, payload_digest, case when payload_bytes >= 1000 a
 @query("op5_warc", OP5_SQL)
 def op5_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.digest(table(spark, sf, "pages"))
+
+
+@query("op1_vectorjoin")
+def op1_vectorjoin(spark: SparkSession, sf: str) -> DataFrame:
+    return vectorjoin.digest(table(spark, sf, "embeddings"))
