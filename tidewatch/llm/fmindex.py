@@ -43,6 +43,11 @@ class Wavelet:
             self.ones.append(np.concatenate(([0], np.cumsum(bit))).astype(np.int32))
             self.zeros.append(int(len(seq) - bit.sum()))
             seq = np.concatenate((seq[bit == 0], seq[bit == 1]))
+        # after the last level the symbols stand in runs; where each begins
+        self.run = np.zeros(1 << bits, np.int64)
+        if len(seq):
+            begins = np.flatnonzero(np.concatenate(([True], seq[1:] != seq[:-1])))
+            self.run[seq[begins]] = begins
 
     def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         """How often `symbol` occurs before position i."""

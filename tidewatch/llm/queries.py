@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import decontaminate, neardup, packing, pii, sharding, toxicity, urlfilter, vectorjoin, warc
+from tidewatch.llm import decontaminate, neardup, packing, pii, sharding, suffixdedup, toxicity, urlfilter, vectorjoin, warc
 from tidewatch.sources.tables import table
 
 QUERIES: dict = {}
@@ -104,3 +104,8 @@ def op5_warc(spark: SparkSession, sf: str) -> DataFrame:
 @query("op1_vectorjoin")
 def op1_vectorjoin(spark: SparkSession, sf: str) -> DataFrame:
     return vectorjoin.digest(table(spark, sf, "embeddings"))
+
+
+@query("op3_suffixdedup")
+def op3_suffixdedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffixdedup.digest(table(spark, sf, "documents"))
