@@ -90,14 +90,10 @@ class Shard:
                     spans[d][-1][1] = max(z, spans[d][-1][1])
                 else:
                     spans[d].append([a, z])
-        return pd.DataFrame(
-            {
-                "doc_id": pd.array([r[0] for r in self.rows], dtype="Int64"),
-                "n_words": [r[1] for r in self.rows],
-                "spans": [[{"start": a, "end": z} for a, z in s] for s in spans],
-                "items": [sorted({self.phrases.ids[i] for i in x}) for x in items],
-            }
-        )
+        out = pd.DataFrame({"doc_id": pd.array([r[0] for r in self.rows], dtype="Int64"), "n_words": [r[1] for r in self.rows]})
+        out["spans"] = pd.Series([[{"start": a, "end": z} for a, z in s] for s in spans], dtype=object)
+        out["items"] = pd.Series([sorted({self.phrases.ids[i] for i in x}) for x in items], dtype=object)
+        return out
 
 
 def search_block(docs: DataFrame, phrases) -> DataFrame:
