@@ -258,9 +258,11 @@ def shard_repeats(regions: list[tuple[int, int, bytes]]) -> list[tuple[int, int,
 
 def ranges(doc: np.ndarray, start: np.ndarray) -> list[tuple[int, int, int]]:
     """Runs of following starts of a document as (doc, first, number)."""
+    if not len(doc):
+        return []
     by = np.lexsort((start, doc))
     doc, start = doc[by], start[by]
-    new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)))) if len(doc) else np.zeros(0, np.int64)
+    new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1))))
     last = np.append(new[1:], len(doc)) - 1
     return [(int(d), int(a), int(z - a + 1)) for d, a, z in zip(doc[new], start[new], start[last], strict=True)]
 
