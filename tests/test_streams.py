@@ -1,5 +1,8 @@
 """Stateful streams against a plain loop over the same rows."""
 
+import glob
+import os
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -47,6 +50,21 @@ def test_ingest_twice_adds_nothing(spark):
     assert got.count() == 15 and got.distinct().count() == 15
 
 
+def test_ingest_survives_a_lost_commit_and_a_new_checkpoint(spark):
+    src, out, progress = scratch(spark, "in"), scratch(spark, "out"), scratch(spark, "progress")
+    stream = lambda: spark.readStream.schema("id bigint").parquet(src)
+    spark.range(10).write.parquet(src)
+    S.ingest(stream(), ["id"], out, progress)
+    spark.range(5, 20).write.mode("append").parquet(src)
+    assert S.ingest(stream(), ["id"], out, progress).count() == 20
+    os.remove(f"{progress}/commits/1")
+    for crc in glob.glob(f"{progress}/commits/.1.crc"):
+        os.remove(crc)
+    assert sorted(r.id for r in S.ingest(stream(), ["id"], out, progress).collect()) == list(range(20))
+    spark.range(18, 25).write.mode("append").parquet(src)
+    assert sorted(r.id for r in S.ingest(stream(), ["id"], out, scratch(spark, "progress")).collect()) == list(range(25))
+
+
 def test_late_rows_are_dropped_and_copies_removed(spark):
     src, out, progress = scratch(spark, "in"), scratch(spark, "out"), scratch(spark, "progress")
     for rows in ([(1, "2024-01-01 10:00:00"), (1, "2024-01-01 10:00:00"), (2, "2024-01-01 12:00:00")], [(3, "2024-01-01 08:00:00"), (4, "2024-01-01 11:45:00")]):

@@ -32,6 +32,11 @@ def hash_int(*parts) -> Column:
     return F.conv(F.substring(hash_text(*parts), 1, 8), 16, 10).cast("long")
 
 
+def hash_long(*parts) -> Column:
+    """The first fifteen hex digits of hash_text as an integer below 2**60: its remainder by any row count is nearly uniform."""
+    return F.conv(F.substring(hash_text(*parts), 1, 15), 16, 10).cast("long")
+
+
 def hash_cell(hash_column, digits: int = 2) -> Column:
     """Monotone, uniform cell number of a hash text, used to split hot groups."""
     return F.conv(F.substring(col(hash_column), 1, digits), 16, 10).cast("long")

@@ -10,17 +10,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import sep_deg
-from tidewatch.operators.ordered import bucket_number, latest_before
-
-SMALL_GRID = 10_000
+from tidewatch.operators.ordered import latest_before
 
 
 def join_unique(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Many-to-one join; a key repeated on the right raises instead of multiplying rows."""
     rest = [c for c in right.columns if c not in keys]
     one = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*rest)).alias("_b"))
-    ok = F.when(F.col("_n") == 1, F.col("_b")).otherwise(F.raise_error(F.lit("duplicate key on the right side")))
-    return left.join(one.withColumn("_b", ok).drop("_n"), list(keys), how).select(*left.columns, "_b.*")
+    # the check stands in the join key, so that it holds whatever columns are used later
+    ok = F.when(F.col("_n") == 1, F.col(keys[0])).otherwise(F.raise_error(F.lit("duplicate key on the right side")))
+    return left.join(one.withColumn(keys[0], ok).drop("_n"), list(keys), how).select(*left.columns, "_b.*")
 
 
 def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], defaults: Mapping[str, object]) -> DataFrame:
@@ -170,29 +169,17 @@ def _hull(part):
 def interp_join(df: DataFrame, x: str, grid: DataFrame, gx: str, gy: Sequence[str]) -> DataFrame:
     """Piecewise-linear interpolation in a grid, clamped at its ends.
 
-    A grid of up to SMALL_GRID points is compiled into the expression; a longer one is bracketed by two ordered scans.
+    The grid may have any length: two ordered scans bracket each x. A null x gives null; at a grid point that is repeated one of its rows decides.
     """
-    g = grid.select(F.col(gx).cast("double").alias("_gx"), *[F.col(c).cast("double").alias(c) for c in gy])
-    points = g.orderBy("_gx").limit(SMALL_GRID + 1).collect()
-    if len(points) <= SMALL_GRID:
-        gxs = F.array(*[F.lit(p["_gx"]) for p in points])
-        cuts = [p["_gx"] for p in points]
-        out = bucket_number(df, F.col(x).cast("double"), cuts[1:-1], "_i").withColumn("_i", F.col("_i").cast("int") + 1)
-        x0, x1 = F.element_at(gxs, F.col("_i")), F.element_at(gxs, F.col("_i") + 1)
-        frac = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(x) - x0) / (x1 - x0)))
-        out = out.withColumn("_f", frac)
-        for c in gy:
-            ys = F.array(*[F.lit(p[c]) for p in points])
-            y0, y1 = F.element_at(ys, F.col("_i")), F.element_at(ys, F.col("_i") + 1)
-            out = out.withColumn(c, y0 + (y1 - y0) * F.col("_f"))
-        return out.drop("_i", "_f")
+    g = grid.select(F.col(gx).cast("double").alias("_gx"), *[F.col(c).cast("double").alias(c) for c in gy]).where("_gx is not null")
+    g = g.groupBy("_gx").agg(F.min(F.struct(*gy)).alias("_v")).select("_gx", "_v.*")
     packed = g.withColumn("_k", F.lit(0)).withColumn("_p", F.struct("_gx", *gy)).withColumn("_neg", -F.col("_gx"))
     d = df.withColumn("_k", F.lit(0)).withColumn("_nx", -F.col(x))
     d = latest_before(d, packed.select("_k", "_gx", "_p"), ["_k"], x, "_gx", {"_a": ("last", "_p")}, strict=False)
     d = latest_before(d, packed.select("_k", "_neg", "_p"), ["_k"], "_nx", "_neg", {"_b": ("last", "_p")}, strict=False)
     a, b = F.coalesce("_a", "_b"), F.coalesce("_b", "_a")
     frac = F.coalesce(F.try_divide(F.col(x) - a["_gx"], b["_gx"] - a["_gx"]), F.lit(0.0))
-    d = d.withColumn("_f", frac)
+    d = d.withColumn("_f", F.when(F.col(x).isNotNull(), frac))
     return d.withColumns({c: a[c] + (b[c] - a[c]) * F.col("_f") for c in gy}).drop("_k", "_nx", "_a", "_b", "_f")
 
 

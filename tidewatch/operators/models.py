@@ -23,7 +23,8 @@ from tidewatch.operators.knn import knn_join
 from tidewatch.operators.ordered import attach_row, count_percentiles, row_index, scan
 from tidewatch.session import cut, spread
 
-MAX_TASKS = 5000
+#: Fits whose sums one job gathers.
+TASKS_AT_ONCE = 2000
 
 
 # ---- folds and weights ----
@@ -185,8 +186,6 @@ def fit_logits(df: DataFrame, fold: str, features: Sequence[str], tasks: Sequenc
     Newton steps: each is one aggregation by task of gradient and Hessian sums. Rows are not copied through the shuffle, because the tasks are
     expanded inside the map stage and summed there. Objective: |w|^2 / 2 + C sum(weight x log loss), intercept free.
     """
-    if len(tasks) > MAX_TASKS:
-        raise ValueError("too many tasks for one batch")
     d = len(features)
     base = df.where(F.lit(True) if not features else sum((F.col(f).isNull().cast("int") for f in features), F.lit(0)) == 0)
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
@@ -205,13 +204,17 @@ def fit_logits(df: DataFrame, fold: str, features: Sequence[str], tasks: Sequenc
         live = [s for s in state.values() if not s["done"]]
         if not live:
             break
-        for s, (grad, hess) in zip(live, _newton_sums(base, live, d)):
+        sums_now = [x for at in range(0, len(live), TASKS_AT_ONCE) for x in _newton_sums(base, live[at:at + TASKS_AT_ONCE], d)]
+        for s, (grad, hess) in zip(live, sums_now):
             pen = np.r_[0.0, np.ones(d)]
             g = s["task"].c * grad - pen * s["beta"]
             h = s["task"].c * hess + np.diag(pen) + 1e-12 * np.eye(d + 1)
             step = np.linalg.solve(h, g)
             s["beta"] = s["beta"] + step
             s["done"] = bool(np.max(np.abs(step)) < tol)
+    late = [k for k, s in state.items() if not s["done"]]
+    if late:
+        raise RuntimeError(f"{len(late)} fits have not converged in {max_iter} steps, such as {late[0]}")
     return {k: dict(mean=s["mean"], scale=s["scale"], beta=s["beta"], without=s["task"].without) for k, s in state.items()}
 
 

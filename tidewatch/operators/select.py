@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.columns import hash_cell, hash_int, hash_text
+from tidewatch.functions.columns import hash_cell, hash_long, hash_text
 from tidewatch.operators.joins import top_k
 from tidewatch.operators.ordered import cells_for, equal_count_bins, row_index, scan
 from tidewatch.session import cut, spread
@@ -48,45 +48,51 @@ def first_acceptable(cands: DataFrame, keys: Sequence[str], rank: str, ok: Colum
 
 
 def replacements(accepted: DataFrame, cands: DataFrame, keys: Sequence[str], rank: str, good: Column, clean: Column, rounds: int = 3, scan_ranks: int = 6) -> DataFrame:
-    """For every bin whose accepted row must be replaced: the first clean one of the next ``rounds`` good candidates.
+    """For every bin whose accepted row must be replaced, ``rounds`` rounds over the candidates not tried yet.
 
-    Output per bin: status (replaced, not clean, no candidate) and the rank of the replacement.
+    A round tries up to ``scan_ranks`` candidates and ends at the first good one. If that one is clean it replaces the accepted row, else the next round begins behind it.
+    Output per bin: status (replaced; not clean: all rounds used; no candidate: none left to try) and the rank of the replacement.
     """
     a = accepted.select(*keys, F.col(rank).alias("_from"))
-    c = cands.withColumns({"_clean": clean, "_good": good}).join(a, list(keys))
-    nxt = c.where((F.col(rank) > F.col("_from")) & (F.col(rank) <= F.col("_from") + scan_ranks * rounds) & F.col("_good"))
-    nxt = top_k(nxt, keys, [F.col(rank)], rounds, "_i")
-    g = nxt.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(F.when(F.col("_clean"), F.col(rank))).alias("new_rank"))
-    j = a.join(g, list(keys), "left")
-    status = F.when(F.col("_n").isNull(), "no candidate").when(F.col("new_rank").isNull(), "not clean").otherwise("replaced")
-    return j.select(*keys, F.col("_from").alias("old_rank"), "new_rank", status.alias("status"))
+    c = cands.withColumns({"_clean": F.coalesce(clean, F.lit(False)), "_good": F.coalesce(good, F.lit(False))}).join(a, list(keys)).where(F.col(rank) > F.col("_from"))
+    nxt = top_k(c, keys, [F.col(rank)], rounds * scan_ranks, "_i")
+    tries = nxt.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", rank, "_good", "_clean"))).alias("_t"))
+    start = F.struct(F.lit(1).alias("turn"), F.lit(0).alias("n"), F.lit(None).cast(dict(cands.dtypes)[rank]).alias("new"))
+
+    def step(state, x):
+        stop = state["new"].isNotNull() | (state["turn"] > rounds)
+        last = x["_good"] | (state["n"] + 1 >= scan_ranks)
+        turn = F.when(last, state["turn"] + 1).otherwise(state["turn"])
+        n = F.when(last, 0).otherwise(state["n"] + 1)
+        new = F.when(x["_good"] & x["_clean"], x[rank])
+        after = F.struct(turn.alias("turn"), n.alias("n"), new.alias("new"))
+        return F.when(stop, state).otherwise(after)
+
+    j = a.join(tries, list(keys), "left").withColumn("_s", F.aggregate(F.coalesce("_t", F.array().cast(dict(tries.dtypes)["_t"])), start, step))
+    status = F.when(F.col("_s.new").isNotNull(), "replaced").when(F.col("_s.turn") > rounds, "not clean").otherwise("no candidate")
+    return j.select(*keys, F.col("_from").alias("old_rank"), F.col("_s.new").alias("new_rank"), status.alias("status"))
 
 
 def sample_k(rows: DataFrame, group: str, index: str, size: str, draws: int, ks: Sequence[int], seed: int) -> DataFrame:
     """k rows per (draw, group) without replacement, for several k at once: (draw, k, group, index).
 
-    rows: one row per (group, index 0..size-1). A group larger than four times the largest k draws positions from a hash sequence and keeps
-    the first distinct ones, so the work grows with draws x groups x k and not with the table. A smaller group ranks all its rows.
+    rows: one row per (group, index 0..size-1). Positions come from a hash sequence, of which the first k distinct ones are kept: the same for groups of any size and
+    whatever other k are asked for. The work grows with draws x groups x k and not with the table; a group of fewer than k rows gives all of them.
     """
     top = max(ks)
     groups = rows.groupBy(group).agg(F.max(size).alias("_n"))
     draw = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
-    large, small = groups.where(F.col("_n") > 4 * top), groups.where(F.col("_n") <= 4 * top)
     m = 2 * top + 20
     while True:
-        seq = spread(large.select(group, "_n", draw), group, "draw").withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-        seq = seq.withColumn(index, hash_int(seed, F.col("draw"), F.col(group), F.col("_i")) % F.col("_n"))
-        first = cut(seq.groupBy("draw", group, index).agg(F.min("_i").alias("_i")))
-        short = first.groupBy("draw", group).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") < top)
+        seq = spread(groups.select(group, "_n", draw), group, "draw").withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+        seq = seq.withColumn(index, hash_long(seed, F.col("draw"), F.col(group), F.col("_i")) % F.col("_n"))
+        first = cut(seq.groupBy("draw", group, index).agg(F.min("_i").alias("_i"), F.max("_n").alias("_n")))
+        short = first.groupBy("draw", group).agg(F.count(F.lit(1)).alias("c"), F.max("_n").alias("_n")).where(F.col("c") < F.least(F.lit(top), F.col("_n")))
         if short.limit(1).count() == 0:
             break
         m *= 2
     picked = top_k(first, ["draw", group], [F.col("_i")], top, "_rn")
-    every = rows.join(small.select(group), group, "left_semi").select(group, index, draw)
-    every = every.withColumn("_h", hash_text(seed, F.col("draw"), F.col(group), F.col(index)))
-    every = top_k(every, ["draw", group], [F.col("_h"), F.col(index)], top, "_rn")
-    both = picked.select("draw", group, index, "_rn").unionByName(every.select("draw", group, index, "_rn"))
-    return both.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where(F.col("_rn") <= F.col("k")).select("draw", "k", group, index)
+    return picked.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where(F.col("_rn") <= F.col("k")).select("draw", "k", group, index)
 
 
 def holm(df: DataFrame, family: Sequence[str], test: str, p: str) -> DataFrame:

@@ -253,7 +253,7 @@ def e20(spark, sf):
 
 
 BUDGET = SCORES + """, px AS (SELECT source_id, positive, score_b AS score, row_number() OVER (PARTITION BY source_id ORDER BY score_b, obs_id) - 1 AS idx, count(*) OVER (PARTITION BY source_id) AS n FROM oof),
-  sq AS (SELECT draw, source_id, i, ('0x' || substr(md5(concat_ws(':', 13, draw, source_id, i)), 1, 8))::BIGINT % n AS idx FROM (SELECT DISTINCT source_id, n FROM px), (SELECT unnest(range(0, 30)) AS draw), (SELECT unnest(range(0, 62)) AS i)),
+  sq AS (SELECT draw, source_id, i, ('0x' || substr(md5(concat_ws(':', 13, draw, source_id, i)), 1, 15))::BIGINT % n AS idx FROM (SELECT DISTINCT source_id, n FROM px), (SELECT unnest(range(0, 30)) AS draw), (SELECT unnest(range(0, 248)) AS i)),
   fi AS (SELECT draw, source_id, idx, min(i) AS i FROM sq GROUP BY 1, 2, 3), g AS (SELECT *, row_number() OVER (PARTITION BY draw, source_id ORDER BY i) AS rn FROM fi),
   me AS (SELECT k::INTEGER AS k, draw, source_id, bool_or(positive) AS positive, round(avg(score), 9) AS score FROM g JOIN px USING (source_id, idx), (SELECT unnest([1, 2, 3, 5, 8, 13, 21]) AS k) WHERE rn <= k GROUP BY ALL)"""
 

@@ -44,9 +44,14 @@ def w4(spark, sf):
 @query("w5_replacements", f"""WITH {OBS.replace('o_custkey', 'o_custkey // 10')}, binned AS (SELECT *, ntile(5) OVER (PARTITION BY source_id ORDER BY mjd, obs_id)::INTEGER AS bin FROM obs),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY source_id, bin ORDER BY md5(concat_ws(':', 42, obs_id)), obs_id)::INTEGER AS rank FROM binned),
   a AS (SELECT source_id, bin, min(rank) AS old_rank FROM ranked WHERE rate > 250000 GROUP BY 1, 2),
-  n AS (SELECT r.*, old_rank, row_number() OVER (PARTITION BY r.source_id, r.bin ORDER BY rank) AS i FROM ranked r JOIN a USING (source_id, bin) WHERE rank > old_rank AND rank <= old_rank + 18 AND rate > 250000),
-  g AS (SELECT source_id, bin, count(*) AS n, min(CASE WHEN status = 'F' THEN rank END) AS new_rank FROM n WHERE i <= 3 GROUP BY 1, 2)
-  SELECT source_id, bin, old_rank, new_rank, CASE WHEN n IS NULL THEN 'no candidate' WHEN new_rank IS NULL THEN 'not clean' ELSE 'replaced' END AS status FROM a LEFT JOIN g USING (source_id, bin)""")
+  n AS (SELECT r.*, old_rank, row_number() OVER (PARTITION BY r.source_id, r.bin ORDER BY rank) AS i, rate > 250000 AS good, status = 'F' AS clean FROM ranked r JOIN a USING (source_id, bin) WHERE rank > old_rank),
+  l AS (SELECT a.*, coalesce(max(i), 0) AS n FROM a LEFT JOIN n USING (source_id, bin) GROUP BY ALL),
+  p1 AS (SELECT l.source_id, l.bin, l.old_rank, n, min(CASE WHEN good AND i <= 6 THEN i END) AS p, coalesce(min(CASE WHEN good AND i <= 6 THEN i END), 6) AS e FROM l LEFT JOIN n USING (source_id, bin) GROUP BY ALL),
+  p2 AS (SELECT p1.*, min(CASE WHEN good AND i > e AND i <= e + 6 THEN i END) AS q, coalesce(min(CASE WHEN good AND i > e AND i <= e + 6 THEN i END), any_value(e) + 6) AS f FROM p1 LEFT JOIN n USING (source_id, bin) GROUP BY ALL),
+  p3 AS (SELECT p2.*, min(CASE WHEN good AND i > f AND i <= f + 6 THEN i END) AS r, coalesce(min(CASE WHEN good AND i > f AND i <= f + 6 THEN i END), any_value(f) + 6) AS g FROM p2 LEFT JOIN n USING (source_id, bin) GROUP BY ALL),
+  c AS (SELECT p3.*, (SELECT rank FROM n x WHERE x.source_id = p3.source_id AND x.bin = p3.bin AND x.i = p AND clean) AS r1, (SELECT rank FROM n x WHERE x.source_id = p3.source_id AND x.bin = p3.bin AND x.i = q AND clean) AS r2,
+    (SELECT rank FROM n x WHERE x.source_id = p3.source_id AND x.bin = p3.bin AND x.i = r AND clean) AS r3 FROM p3)
+  SELECT source_id, bin, old_rank, coalesce(r1, r2, r3) AS new_rank, CASE WHEN coalesce(r1, r2, r3) IS NOT NULL THEN 'replaced' WHEN n <= e OR n <= f OR n < g THEN 'no candidate' ELSE 'not clean' END AS status FROM c""")
 def w5(spark, sf):
     o = observations(spark, sf).withColumn("source_id", F.floor(F.col("source_id") / 10))
     c = S.stratified_candidates(o, "source_id", "mjd", "obs_id", 5, 42)
@@ -67,8 +72,8 @@ def w7(spark, sf):
 
 
 SEQ = """pos AS (SELECT source_id, obs_id, row_number() OVER (PARTITION BY source_id ORDER BY obs_id) - 1 AS idx, count(*) OVER (PARTITION BY source_id) AS n FROM oof),
-  sq AS (SELECT draw, source_id, i, ('0x' || substr(md5(concat_ws(':', 11, draw, source_id, i)), 1, 8))::BIGINT % n AS idx FROM
-  (SELECT DISTINCT source_id, n FROM pos), (SELECT unnest(range(0, 20)) AS draw), (SELECT unnest(range(0, 62)) AS i)),
+  sq AS (SELECT draw, source_id, i, ('0x' || substr(md5(concat_ws(':', 11, draw, source_id, i)), 1, 15))::BIGINT % n AS idx FROM
+  (SELECT DISTINCT source_id, n FROM pos), (SELECT unnest(range(0, 20)) AS draw), (SELECT unnest(range(0, 248)) AS i)),
   f AS (SELECT draw, source_id, idx, min(i) AS i FROM sq GROUP BY 1, 2, 3), g AS (SELECT *, row_number() OVER (PARTITION BY draw, source_id ORDER BY i) AS rn FROM f)"""
 
 

@@ -25,9 +25,9 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str, boolean
 
 
 def read_spaced(spark: SparkSession, path: str, columns: Mapping[str, str]) -> DataFrame:
-    """Text columns divided by white space, named and typed by position."""
+    """Text columns divided by white space, named and typed by position; a short line has nulls at its end."""
     parts = F.split(F.trim("value"), r"\s+")
-    return spark.read.text(path).select(*[parts.getItem(i).cast(t).alias(c) for i, (c, t) in enumerate(columns.items())])
+    return spark.read.text(path).select(*[F.get(parts, F.lit(i)).cast(t).alias(c) for i, (c, t) in enumerate(columns.items())])
 
 
 def append_json(df: DataFrame, path: str) -> str:

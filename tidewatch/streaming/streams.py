@@ -6,12 +6,14 @@ without loss or repetition. Windows are emitted once their watermark has passed.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tidewatch.sources.files import scratch
 
@@ -150,19 +152,27 @@ def stateful(events: DataFrame, key: str, processor: StatefulProcessor, schema:
 
 
 def ingest(stream: DataFrame, key: Sequence[str], out: str, checkpoint: str) -> DataFrame:
-    """Append only rows whose key is not in the table yet; a repeated batch adds nothing."""
+    """Append only rows whose key is not in the table yet.
+
+    A batch has a folder of its own, named by the stream's identity (kept in its checkpoint) and the batch number. It is compared with all other folders and then replaces
+    its own, so that a batch repeated after a failure neither loses nor repeats rows, and a stream with a new checkpoint leaves what is there alone.
+    """
     spark, schema = stream.sparkSession, stream.schema
+    keep = StructType([*schema.fields, StructField("query", StringType()), StructField("epoch", LongType())])
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{out}/query=none/epoch=-1")
+
+    def stored(session: SparkSession) -> DataFrame:
+        return session.read.schema(keep).option("basePath", out).parquet(f"{out}/query=*")
 
     def add(batch: DataFrame, epoch: int) -> None:
-        fresh = batch.dropDuplicates(list(key))
-        if epoch > 0:
-            done = batch.sparkSession.read.schema(schema).parquet(f"{out}/epoch=*")
-            done = done.select(*key).distinct()
-            fresh = fresh.join(done, list(key), "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        session = batch.sparkSession
+        mine = json.loads(session.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        others = stored(session).where((F.col("query") != mine) | (F.col("epoch") != epoch))
+        fresh = batch.dropDuplicates(list(key)).join(others.select(*key).distinct(), list(key), "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{out}/query={mine}/epoch={epoch}")
 
     q = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    return spark.read.schema(schema).parquet(f"{out}/epoch=*")
+    return stored(spark).drop("query", "epoch")
