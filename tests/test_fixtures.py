@@ -16,6 +16,8 @@ from tidewatch.operators import models as M
 from tidewatch.operators import project as P
 from tidewatch.operators import select as S
 from tidewatch.operators import timing as T
+from tidewatch.session import own_folder
+from tidewatch.sources.files import read_spaced
 
 
 def test_threshold_choice(spark):
@@ -144,14 +146,12 @@ def test_net_spectrum_and_rebin(spark):
     assert out[0] == pytest.approx((2.0, 0.5)) and out[1] == pytest.approx((6.0, math.sqrt(0.25 + 1.0)))
 
 
-def test_interpolation_both_ways(spark, monkeypatch):
+def test_interpolation(spark):
     grid = spark.createDataFrame([(0.0, 1.0), (2.0, 5.0), (3.0, 0.0)], "gx double, y double")
     df = spark.createDataFrame([(float(x),) for x in (-1, 0, 0.5, 2, 2.5, 3, 9)], "x double")
     want = np.interp([-1, 0, 0.5, 2, 2.5, 3, 9], [0, 2, 3], [1, 5, 0])
-    for limit in (100, 1):
-        monkeypatch.setattr(J, "SMALL_GRID", limit)
-        got = J.interp_join(df, "x", grid, "gx", ["y"]).orderBy("x").toPandas()
-        assert np.allclose(got.y, want)
+    got = J.interp_join(df, "x", grid, "gx", ["y"]).orderBy("x").toPandas()
+    assert np.allclose(got.y, want)
 
 
 def test_ambiguous_extent(spark):
@@ -192,3 +192,48 @@ def test_small_groups_are_sampled_whole(spark):
 def test_angles_and_states(spark):
     r = spark.range(1).select(C.sep_deg(F.lit(10.0), F.lit(0.0), F.lit(10.0), F.lit(90.0)).alias("a"), C.two_threshold_state(F.lit(None).cast("double"), 0.1, 0.2).alias("s")).first()
     assert r.a == pytest.approx(90.0) and r.s == "unknown"
+
+
+def test_sample_does_not_depend_on_other_sizes(spark):
+    rows = spark.range(50).select(F.lit("g").alias("g"), F.col("id").alias("idx"), F.lit(50).cast("long").alias("n"))
+    few = rows.unionByName(spark.range(3).select(F.lit("h").alias("g"), F.col("id").alias("idx"), F.lit(3).cast("long").alias("n")))
+    one = {(r.draw, r.g): r.idx for r in S.sample_k(few, "g", "idx", "n", 8, [1], 3).collect()}
+    more = S.sample_k(few, "g", "idx", "n", 8, [1, 20], 3).collect()
+    assert {(r.draw, r.g): r.idx for r in more if r.k == 1} == one
+    assert all(len({r.idx for r in more if (r.draw, r.g, r.k) == (d, "h", 20)}) == 3 for d in range(8))
+
+
+def test_interpolation_of_null_and_repeated_points(spark):
+    grid = spark.createDataFrame([(0.0, 0.0), (1.0, 10.0), (1.0, 10.0), (2.0, 20.0)], "gx double, y double")
+    d = spark.createDataFrame([(0, None), (1, 0.5), (2, 1.0), (3, 1.5), (4, -1.0), (5, 9.0)], "id long, x double")
+    got = {r.id: r.y for r in J.interp_join(d, "x", grid, "gx", ["y"]).collect()}
+    assert got == {0: None, 1: 5.0, 2: 10.0, 3: 15.0, 4: 0.0, 5: 20.0}
+
+
+def test_replacement_rounds(spark):
+    ranks = {1: ([1, 2, 16], [1, 16]), 2: ([1, 2], [1]), 3: ([1, 2, 5, 11], [1, 11]), 4: ([1, 2, 3, 4], [1])}
+    last = {1: 30, 2: 2, 3: 30, 4: 30}
+    rows = [(k, r, r in g, r in c) for k, (g, c) in ranks.items() for r in range(1, last[k] + 1)]
+    cands = spark.createDataFrame(rows, "bin int, rank int, g boolean, c boolean")
+    acc = cands.where("rank = 1").select("bin", "rank")
+    got = {r.bin: (r.status, r.new_rank) for r in S.replacements(acc, cands, ["bin"], "rank", F.col("g"), F.col("c")).collect()}
+    assert got == {1: ("not clean", None), 2: ("no candidate", None), 3: ("replaced", 11), 4: ("not clean", None)}
+
+
+def test_a_repeated_key_raises_whatever_is_read(spark):
+    left, right = spark.range(3), spark.createDataFrame([(1, "a"), (1, "b")], "id long, v string")
+    for columns in (["id"], ["id", "v"]):
+        with pytest.raises(Exception, match="duplicate key"):
+            J.join_unique(left, right, ["id"]).select(*columns).collect()
+
+
+def test_short_lines_and_nan(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("1 2.5 x\n2\n3 nan y\n")
+    got = [tuple(r) for r in read_spaced(spark, str(tmp_path), {"a": "int", "b": "double", "c": "string"}).orderBy("a").collect()]
+    assert got == [(1, 2.5, "x"), (2, None, None), (3, None, "y")]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        own_folder("spark://host:7077")
+    assert own_folder("local[2]").startswith("/tmp/")

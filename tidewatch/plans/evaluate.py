@@ -12,7 +12,8 @@ from tidewatch.session import cut
 from tidewatch.sources import files
 from tidewatch.sources.tables import table
 
-B, PERM = 100, 200
+#: Draws of the bootstrap, of the permutation tests and of the observation budget.
+B, PERM, BUDGETS = 2000, 20_000, 500
 
 ST = LONG_SCORES + """, st AS (SELECT model, source_id, bool_or(positive) AS positive, count(*) AS n, sum(CASE WHEN (score >= 0.5) = positive THEN 1 ELSE 0 END)::BIGINT AS n_correct,
   round(avg(score), 9) AS score FROM lng GROUP BY ALL), tb AS (SELECT *, score >= 0.5 AS predicted, ((score >= 0.5) = positive)::INTEGER AS correct FROM st)"""
@@ -253,7 +254,7 @@ def e20(spark, sf):
 
 
 BUDGET = SCORES + """, px AS (SELECT source_id, positive, score_b AS score, row_number() OVER (PARTITION BY source_id ORDER BY score_b, obs_id) - 1 AS idx, count(*) OVER (PARTITION BY source_id) AS n FROM oof),
-  sq AS (SELECT draw, source_id, i, ('0x' || substr(md5(concat_ws(':', 13, draw, source_id, i)), 1, 15))::BIGINT % n AS idx FROM (SELECT DISTINCT source_id, n FROM px), (SELECT unnest(range(0, 30)) AS draw), (SELECT unnest(range(0, 248)) AS i)),
+  sq AS (SELECT draw, source_id, i, ('0x' || substr(md5(concat_ws(':', 13, draw, source_id, i)), 1, 15))::BIGINT % n AS idx FROM (SELECT DISTINCT source_id, n FROM px), (SELECT unnest(range(0, 500)) AS draw), (SELECT unnest(range(0, 248)) AS i)),
   fi AS (SELECT draw, source_id, idx, min(i) AS i FROM sq GROUP BY 1, 2, 3), g AS (SELECT *, row_number() OVER (PARTITION BY draw, source_id ORDER BY i) AS rn FROM fi),
   me AS (SELECT k::INTEGER AS k, draw, source_id, bool_or(positive) AS positive, round(avg(score), 9) AS score FROM g JOIN px USING (source_id, idx), (SELECT unnest([1, 2, 3, 5, 8, 13, 21]) AS k) WHERE rn <= k GROUP BY ALL)"""
 
@@ -263,7 +264,7 @@ BUDGET = SCORES + """, px AS (SELECT source_id, positive, score_b AS score, row_
   SELECT k, metric, round(median(v), 11) AS median, round(quantile_cont(v, 0.025), 11) AS low, round(quantile_cont(v, 0.975), 11) AS high FROM l GROUP BY ALL""")
 def e21(spark, sf):
     s = O.row_index(scores(spark, sf).select("source_id", "positive", "obs_id", F.col("score_b").alias("score")), ["source_id"], "score", ["obs_id"], out="idx", total="n")
-    return round_all(R.budget_curve(cut(s.withColumn("idx", F.col("idx") - 1)), 30, [1, 2, 3, 5, 8, 13, 21], 13), 11)
+    return round_all(R.budget_curve(cut(s.withColumn("idx", F.col("idx") - 1)), BUDGETS, [1, 2, 3, 5, 8, 13, 21], 13), 11)
 
 
 @query("e22_score_agreement", f"""WITH {SCORES}, r AS (SELECT score_a, score_b, rank() OVER (ORDER BY score_a) + (count(*) OVER (PARTITION BY score_a) - 1) / 2e0 AS ra, rank() OVER (ORDER BY score_b) + (count(*) OVER (PARTITION BY score_b) - 1) / 2e0 AS rb FROM oof)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidewatch.functions.columns import fixed_text
+from tidewatch.functions.columns import fixed_text, null_if_nan
 from tidewatch.session import checkpoint_dir
 
 
@@ -18,16 +18,21 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{checkpoint_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+def without_nan(df: DataFrame) -> DataFrame:
+    """NaN becomes null, so that it neither ranks largest nor spoils sums."""
+    return df.withColumns({c: null_if_nan(c) for c, t in df.dtypes if t in ("float", "double")})
+
+
 def read_table(spark: SparkSession, path: str, schema: StructType | str, booleans: Sequence[str] = ()) -> DataFrame:
-    """CSV with a declared schema; identifiers stay text and boolean text is repaired."""
-    df = spark.read.csv(path, schema=schema, header=True)
+    """CSV with a declared schema; identifiers stay text, boolean text is repaired, and a number that is none is null."""
+    df = without_nan(spark.read.csv(path, schema=schema, header=True))
     return df.withColumns({b: F.lower(F.trim(b)) == "true" for b in booleans}) if booleans else df
 
 
 def read_spaced(spark: SparkSession, path: str, columns: Mapping[str, str]) -> DataFrame:
     """Text columns divided by white space, named and typed by position; a short line has nulls at its end."""
     parts = F.split(F.trim("value"), r"\s+")
-    return spark.read.text(path).select(*[F.get(parts, F.lit(i)).cast(t).alias(c) for i, (c, t) in enumerate(columns.items())])
+    return without_nan(spark.read.text(path).select(*[F.get(parts, F.lit(i)).cast(t).alias(c) for i, (c, t) in enumerate(columns.items())]))
 
 
 def append_json(df: DataFrame, path: str) -> str:
