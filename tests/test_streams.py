@@ -71,5 +71,5 @@ def test_late_rows_are_dropped_and_copies_removed(spark):
         d = spark.createDataFrame(rows, "id long, ts string").select("id", F.col("ts").cast("timestamp_ntz").alias("ts"))
         d.coalesce(1).write.mode("append").parquet(src)
         e = S.read_events(spark, src, "id bigint, ts timestamp_ntz")
-        got = S.drain(S.in_time(e, ["id"], "ts", "1 hour"), checkpoint=progress, out=out)
-    assert sorted(r.id for r in got.collect()) == [1, 2, 4]
+        got, dropped = S.drain_counted(S.in_time(e, ["id"], "ts", "1 hour"), checkpoint=progress, out=out)
+    assert sorted(r.id for r in got.collect()) == [1, 2, 4] and dropped == 1

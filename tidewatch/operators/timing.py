@@ -244,9 +244,11 @@ def two_group_segments(coef: DataFrame, on: DataFrame, keys: Sequence[str], band
 
 def median_variance(segs: DataFrame, keys: Sequence[str], bands: Sequence[str], min_rows: int = 3) -> DataFrame:
     """Median over segments of the fractional variance per band as signed root, with a status."""
-    g = segs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-    for b in bands:
-        g = g.join(percentiles(segs.withColumn("_q", ratio(f"num_{b}", "den")), keys, "_q", {f"v_{b}": 0.5}), list(keys), "left")
+    # one grouped median over (key, band), not one per band
+    each = segs.select(*keys, F.explode(F.array(*[F.struct(F.lit(b).alias("band"), ratio(f"num_{b}", "den").alias("_q")) for b in bands])).alias("_e")).select(*keys, "_e.*")
+    mid = percentiles(each, [*keys, "band"], "_q", {"_v": 0.5})
+    wide = mid.groupBy(*keys).agg(*[F.max(F.when(F.col("band") == b, F.col("_v"))).alias(f"v_{b}") for b in bands])
+    g = segs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).join(wide, list(keys), "left")
     ok = F.col("n_rows") >= min_rows
     out = [F.when(ok, signed_sqrt(f"v_{b}")).alias(b) for b in bands]
     return g.select(*keys, "n_rows", *out, F.when(ok, "ok").otherwise(f"missing (< {min_rows} valid rows)").alias("status"))

@@ -33,6 +33,11 @@ def read_events(spark: SparkSession, path: str, schema: str = EVENT_SCHEMA, time
 
 def drain(stream: DataFrame, schema: str | None = None, checkpoint: str | None = None, out: str | None = None) -> DataFrame:
     """Run a stream over all files present and read what it wrote."""
+    return drain_counted(stream, schema, checkpoint, out)[0]
+
+
+def drain_counted(stream: DataFrame, schema: str | None = None, checkpoint: str | None = None, out: str | None = None) -> tuple[DataFrame, int]:
+    """What drain() gives, and how many rows this run dropped because they came after the watermark."""
     spark = stream.sparkSession
     out = out or scratch(spark, "stream")
     checkpoint = checkpoint or scratch(spark, "progress")
@@ -40,7 +45,8 @@ def drain(stream: DataFrame, schema: str | None = None, checkpoint: str | None =
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    return spark.read.schema(stream.schema if schema is None else schema).parquet(out)
+    dropped = sum(o["numRowsDroppedByWatermark"] for p in q.recentProgress for o in p["stateOperators"])
+    return spark.read.schema(stream.schema if schema is None else schema).parquet(out), dropped
 
 
 def tumbling_counts(events: DataFrame, keys: Sequence[str], time: str, width: str, delay: str) -> DataFrame:
