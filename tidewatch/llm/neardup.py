@@ -1,7 +1,7 @@
 """Near duplicates by Order MinHash, verified by banded alignment.
 
 A text is its sequence of five-word shingles, each labelled by how often it has occurred before, so that repeats count. A sketch takes the
-ELEMENTS labelled shingles of the smallest hashes and keeps them in text order: two texts agree in it if they share these shingles in the same
+ELEMENTS labelled shingles of the smallest hashes and keeps them in text order (several minima for each of SKETCHES orders): two texts agree in it if they share these shingles in the same
 order, which a small edit distance makes likely and a reordering unlikely. Texts that agree in one of SKETCHES sketches are candidates. They are
 verified exactly: of shingle sequences of n and m with a common subsequence of c the similarity is c / (n + m - c), the Jaccard index if nothing
 is moved, and it can reach THRESHOLD only inside a band around the diagonal.
@@ -20,11 +20,17 @@ from tidewatch.llm.bytehash import mix, word_hashes
 from tidewatch.llm.common import components, stored, text_or_empty
 
 WORDS, THRESHOLD = 5, 0.8
-#: A pair of similarity s in order agrees in a sketch with a chance of about s ** ELEMENTS; at 0.8 it is missed in all with a chance below 0.0001.
-SKETCHES, ELEMENTS = 14, 3
-SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64))
-#: Rounds in which each bucket compares its members with one of them, before all that are still apart are compared.
-LEADER_ROUNDS = 2
+#: A pair of similarity s in order agrees in a sketch with a chance of about s ** ELEMENTS; at 0.8 it is missed in all with a chance below 0.0001, and texts that
+#: share no more than a common passage hardly ever meet.
+SKETCHES, ELEMENTS = 32, 6
+#: Texts of so few shingles, too few to choose from, have further sketches of fewer elements.
+SHORT, SHORT_SKETCHES, SHORT_ELEMENTS = 30, 14, 2
+SEEDS = mix(np.arange(1, SKETCHES + SHORT_SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
+#: Places of a signature, a byte each: for each part of the hash space what its smallest labelled shingle is, 0 for none. Of pairs that similarity 0.8 links a share
+#: of 0.8 of the places that are not empty in both agree, with a deviation of 0.0125 for long texts and less for short ones; PROBABLE is 4 deviations below.
+PLACES, PROBABLE = 1024, 0.75
+#: Members of a bucket that a task compares by signature with so many others.
+CHUNK = 1500
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -51,17 +57,40 @@ def labelled(shingle: np.ndarray) -> np.ndarray:
     return mix(shingle + times * np.uint64(0x9E3779B97F4A7C15))
 
 
+def ordered_minima(base: np.ndarray, seeds: np.ndarray, elements: int) -> np.ndarray:
+    """For each seed a hash of the `elements` labelled shingles that come first in the seed's order of hashes, taken in text order."""
+    n, out = len(base), []
+    least = min(elements, n)
+    at_once = max(1, (1 << 22) // n)
+    for lo in range(0, len(seeds), at_once):
+        some = seeds[lo : lo + at_once]
+        value = base[None, :] * some[:, None]
+        top = np.partition(value, least - 1, axis=1)[:, least - 1]
+        row, place = np.nonzero(value <= top[:, None])
+        if len(row) != least * len(some):  # equal hashes of different shingles
+            place = np.sort(np.argsort(value, axis=1, kind="stable")[:, :least], axis=1)
+        chosen = base[place.reshape(len(some), least)]
+        h = some.copy()
+        for i in range(least):
+            h = mix(h + chosen[:, i])
+        out.append(h)
+    return np.concatenate(out)
+
+
 def sketches(shingle: np.ndarray) -> np.ndarray:
-    """SKETCHES hashes, each of ELEMENTS labelled shingles in text order."""
     base = labelled(shingle)
-    out = np.empty(SKETCHES, np.uint64)
-    for k, seed in enumerate(SEEDS):
-        order = mix(base ^ seed)
-        least = np.sort(np.argpartition(order, ELEMENTS - 1)[:ELEMENTS]) if len(base) > ELEMENTS else np.arange(len(base))
-        h = np.array([seed])
-        for x in base[least]:
-            h = mix(h + x)
-        out[k] = h[0]
+    out = ordered_minima(base, SEEDS[:SKETCHES], ELEMENTS)
+    if len(base) <= SHORT:
+        out = np.concatenate((out, ordered_minima(base, SEEDS[SKETCHES:], SHORT_ELEMENTS)))
+    return out
+
+
+def signature(shingle: np.ndarray) -> np.ndarray:
+    h = np.sort(labelled(shingle))
+    place = (h >> np.uint64(54)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+    out = np.zeros(PLACES, np.uint8)
+    out[place[first]] = (h[first] >> np.uint64(40)) % np.uint64(255) + np.uint64(1)
     return out
 
 
@@ -115,15 +144,15 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, text_id (the smallest doc_id of an equal text), n (shingles), sketches; null texts count as empty."""
+    """doc_id, digest (of the text), n (shingles), sketches, signature; null texts count as empty."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).select("doc_id", "text", F.sha2("text", 256).alias("digest"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             held = [shingles(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": batch["digest"], "n": [len(s) for s in held], "sketches": [sketches(s).view(np.int64).tolist() if len(s) else [] for s in held]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": batch["digest"], "n": [len(s) for s in held], "sketches": [sketches(s).view(np.int64).tolist() if len(s) else [] for s in held], "signature": [signature(s).tobytes() if len(s) else b"" for s in held]})
 
-    return stored(rows.mapInPandas(run, "doc_id long, digest string, n int, sketches array<long>"))
+    return stored(rows.mapInPandas(run, "doc_id long, digest string, n int, sketches array<long>, signature binary"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -148,46 +177,66 @@ def close(n: str, m: str):
     return F.least(n, m) >= THRESHOLD * F.greatest(n, m)
 
 
+def probable(rows: DataFrame) -> DataFrame:
+    """Pairs a, b of a bucket's members in different components whose signatures agree enough. rows: bucket, id, n, component, signature.
+
+    Only ids of probable pairs leave the task. A large bucket is cut into chunks; each chunk meets each other in a task of its own.
+    """
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("_chunks"))
+    dealt = rows.join(sizes, "bucket").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("_chunks")).cast("int"))
+    met = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).withColumn("_i", F.least("chunk", "_o")).withColumn("_j", F.greatest("chunk", "_o"))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(group["_i"].iloc[0]), int(group["_j"].iloc[0])
+        ids, n, part, chunk = (group[c].to_numpy() for c in ("id", "n", "component", "chunk"))
+        sig = np.frombuffer(b"".join(group["signature"]), np.uint8).reshape(len(group), PLACES)
+        filled = sig > 0
+        others = np.flatnonzero(chunk == j)
+        found = []
+        for x in np.flatnonzero(chunk == i):
+            y = others[(part[others] != part[x]) & (np.minimum(n[others], n[x]) >= THRESHOLD * np.maximum(n[others], n[x]))]
+            if i == j:
+                y = y[ids[y] > ids[x]]
+            for lo in range(0, len(y), 4096):
+                z = y[lo : lo + 4096]
+                same = ((sig[z] == sig[x]) & filled[x]).sum(1)
+                z = z[same >= PROBABLE * (filled[z] | filled[x]).sum(1)]
+                found.append(np.stack((np.minimum(ids[z], ids[x]), np.maximum(ids[z], ids[x])), 1))
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return met.groupBy("bucket", "_i", "_j").applyInPandas(run, "a long, b long")
+
+
 def grouped(docs: DataFrame) -> DataFrame:
-    """doc_id, text_id, component, n_words_shingled (n): component is the smallest doc_id of the near duplicates that links of similarity THRESHOLD connect.
+    """doc_id, text_id, component, n (shingles): component is the smallest doc_id of the near duplicates that links of similarity THRESHOLD connect.
 
     docs: doc_id (distinct), text. Exact copies are one text, whatever their number; null counts as empty, and texts without words link with equal texts alone.
-    A bucket (texts that agree in a sketch) is not compared pair by pair: its members are compared with its smallest, then those outside the largest part with the
-    smallest of them, and last every pair that is still not connected, so that no link between parts is lost.
+    The members of a bucket (texts that agree in a sketch) are first compared with its smallest, which connects nearly all of them. What is then still apart is compared by
+    signature inside tasks, and probable pairs again by alignment, so that no link between parts is lost.
     """
     all_rows = classes(docs)
     first = all_rows.groupBy("digest").agg(F.min("doc_id").alias("text_id"))
-    members = all_rows.join(first, "digest")
-    one = stored(members.where(F.col("doc_id").eqNullSafe(F.col("text_id"))).where("doc_id is not null").select(F.col("doc_id").alias("id"), "n", "sketches").dropDuplicates(["id"]))
+    members = all_rows.select("doc_id", "digest", "n").join(first, "digest")
+    firsts = first.where("text_id is not null").select(F.col("text_id").alias("id"), F.col("digest").alias("_d"))
+    one = all_rows.join(firsts, (F.col("doc_id") == F.col("id")) & (F.col("digest") == F.col("_d"))).select("id", "n", "sketches", "signature").dropDuplicates(["id"])
+    one = stored(one)
     buckets = one.where("n > 0").select("id", "n", F.posexplode("sketches").alias("k", "value")).withColumn("bucket", F.xxhash64("k", "value")).select("bucket", "id", "n")
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    entries = stored(buckets.join(shared, "bucket").select("bucket", "id", "n"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text"))
+    heads = buckets.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("h"), F.count("*").alias("size")).where("size > 1").select("bucket", "h")
+    entries = stored(buckets.join(heads, "bucket").select("bucket", "id", "n", F.col("h.id").alias("head"), F.col("h.n").alias("head_n")))
     wanted = entries.select("id").distinct()
-    texts = stored(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]))
+    all_texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text"))
+    texts = stored(all_texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]))
     nodes = one.select("id")
-    links = None
-    part = entries.select("bucket", "id", "n", F.col("id").alias("component"))
-    for turn in range(LEADER_ROUNDS + 1):
-        if turn < LEADER_ROUNDS:
-            # the first turn's leader is the bucket's smallest; the next one's is the smallest outside the leader's component
-            heads = part.groupBy("bucket").agg(F.min(F.struct("component", "id", "n")).alias("h"))
-            if turn:
-                inside = part.join(heads.select("bucket", F.col("h.component").alias("top")), "bucket")
-                heads = inside.where("component <> top").groupBy("bucket").agg(F.min(F.struct("component", "id", "n")).alias("h"))
-            pairs = part.join(heads, "bucket").where((F.col("component") != F.col("h.component")) & close("n", "h.n")).select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b"))
-        else:
-            apart = part.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-            left = part.join(apart, "bucket")
-            right = left.where("component > low").select("bucket", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("c2"))
-            pairs = left.join(right, "bucket").where((F.col("component") < F.col("c2")) & close("n", "n2")).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
-        pairs = stored(pairs.where("a <> b").distinct())
-        if turn and pairs.isEmpty():
-            continue
-        found = stored(verified(pairs, texts))
-        links = found if links is None else stored(links.union(found))
-        joined = stored(components(nodes, links))
-        part = entries.join(joined, "id").select("bucket", "id", "n", "component")
+    pairs = entries.where((F.col("id") != F.col("head")) & close("n", "head_n")).select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    links = stored(verified(pairs, texts))
+    joined = stored(components(nodes, links))
+    part = entries.select("bucket", "id", "n").join(joined, "id")
+    apart = part.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    rest = part.join(apart, "bucket").join(one.select("id", "signature"), "id")
+    more = stored(verified(stored(probable(rest).distinct()), texts))
+    if not more.isEmpty():
+        joined = stored(components(nodes, links.union(more)))
     return members.select("doc_id", "text_id", "n").join(joined.select(F.col("id").alias("text_id"), "component"), "text_id", "left").select("doc_id", "text_id", F.coalesce("component", "text_id").alias("component"), "n")
 
 
