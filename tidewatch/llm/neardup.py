@@ -178,9 +178,9 @@ def close(n: str, m: str):
 
 
 def probable(rows: DataFrame) -> DataFrame:
-    """Pairs a, b of a bucket's members in different components whose signatures agree enough. rows: bucket, id, n, component, signature.
+    """Pairs a, b of a bucket's members in different components whose signatures agree enough. rows: bucket, k, id, n, component, signature, sketches.
 
-    Only ids of probable pairs leave the task. A large bucket is cut into chunks; each chunk meets each other in a task of its own.
+    Only ids of probable pairs leave the task, and each from the bucket of the first sketch that it agrees in. A large bucket is cut into chunks; each chunk meets each other in a task of its own.
     """
     sizes = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("_chunks"))
     dealt = rows.join(sizes, "bucket").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("_chunks")).cast("int"))
@@ -191,12 +191,15 @@ def probable(rows: DataFrame) -> DataFrame:
         ids, n, part, chunk = (group[c].to_numpy() for c in ("id", "n", "component", "chunk"))
         sig = np.frombuffer(b"".join(group["signature"]), np.uint8).reshape(len(group), PLACES)
         filled = sig > 0
+        k = int(group["k"].iloc[0])
+        before = np.array([v[:k] for v in group["sketches"]], np.int64).reshape(len(group), k)
         others = np.flatnonzero(chunk == j)
         found = []
         for x in np.flatnonzero(chunk == i):
             y = others[(part[others] != part[x]) & (np.minimum(n[others], n[x]) >= THRESHOLD * np.maximum(n[others], n[x]))]
             if i == j:
                 y = y[ids[y] > ids[x]]
+            y = y[~(before[y] == before[x]).any(1)]
             for lo in range(0, len(y), 4096):
                 z = y[lo : lo + 4096]
                 same = ((sig[z] == sig[x]) & filled[x]).sum(1)
@@ -221,9 +224,9 @@ def grouped(docs: DataFrame) -> DataFrame:
     firsts = first.where("text_id is not null").select(F.col("text_id").alias("id"), F.col("digest").alias("_d"))
     one = all_rows.join(firsts, (F.col("doc_id") == F.col("id")) & (F.col("digest") == F.col("_d"))).select("id", "n", "sketches", "signature").dropDuplicates(["id"])
     one = stored(one)
-    buckets = one.where("n > 0").select("id", "n", F.posexplode("sketches").alias("k", "value")).withColumn("bucket", F.xxhash64("k", "value")).select("bucket", "id", "n")
+    buckets = one.where("n > 0").select("id", "n", F.posexplode("sketches").alias("k", "value")).withColumn("bucket", F.xxhash64("k", "value")).select("bucket", "k", "id", "n")
     heads = buckets.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("h"), F.count("*").alias("size")).where("size > 1").select("bucket", "h")
-    entries = stored(buckets.join(heads, "bucket").select("bucket", "id", "n", F.col("h.id").alias("head"), F.col("h.n").alias("head_n")))
+    entries = stored(buckets.join(heads, "bucket").select("bucket", "k", "id", "n", F.col("h.id").alias("head"), F.col("h.n").alias("head_n")))
     wanted = entries.select("id").distinct()
     all_texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text"))
     texts = stored(all_texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]))
@@ -231,9 +234,9 @@ def grouped(docs: DataFrame) -> DataFrame:
     pairs = entries.where((F.col("id") != F.col("head")) & close("n", "head_n")).select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     links = stored(verified(pairs, texts))
     joined = stored(components(nodes, links))
-    part = entries.select("bucket", "id", "n").join(joined, "id")
+    part = entries.select("bucket", "k", "id", "n").join(joined, "id")
     apart = part.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    rest = part.join(apart, "bucket").join(one.select("id", "signature"), "id")
+    rest = part.join(apart, "bucket").join(one.select("id", "signature", "sketches"), "id")
     more = stored(verified(stored(probable(rest).distinct()), texts))
     if not more.isEmpty():
         joined = stored(components(nodes, links.union(more)))
