@@ -50,7 +50,9 @@ def assigned(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Dat
     for _ in range(rounds):
         inside = now.where("hub is not null").groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("c"))
         best = inside.groupBy("hub").agg(F.max(F.struct("c", (-F.col("shard")).alias("s"))).alias("m")).select(F.col("hub").alias("_h"), (-F.col("m.s")).cast("int").alias("want"))
-        asked = now.join(best, now["hub"] == best["_h"], "left").drop("_h")
+        # rows without a group do not go through the join: they would all meet in the task of the null key
+        linked = now.where("hub is not null").join(best, F.col("hub") == F.col("_h")).drop("_h")
+        asked = linked.unionByName(now.where("hub is null").withColumn("want", F.lit(None).cast("int")))
         asked = stored(asked.withColumn("_to", F.when(F.col("hub").isNull(), F.lit(-1)).when(F.col("want") == F.col("shard"), F.lit(-2)).otherwise(F.col("want"))).drop("want"))
         counts = {(r[0], r[1]): r[2] for r in asked.groupBy("shard", "_to").count().collect()}
         moves, sent = quotas({k: v for k, v in counts.items() if k[1] >= 0}, {k[0]: v for k, v in counts.items() if k[1] == -1}, shards)
