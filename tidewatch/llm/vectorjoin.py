@@ -21,10 +21,10 @@ from tidewatch.llm.common import components, stored
 
 COSINE, BLOCKS = 0.9, 4
 #: Vectors at home in a cell on average, from which the number of axes that cut follows; so many at most meet so many visitors in one task.
-CELL, HOME_ROWS, VISIT_ROWS = 8192, 4096, 32_768
+CELL, HOME_ROWS, VISIT_ROWS = 8192, 16_384, 65_536
 #: Rounding of single-precision distances; candidates within it are verified like others.
 SLACK = 1e-4
-ASSIGNED = "block int, cell long, home boolean, id long, weight long, vector array<double>"
+ASSIGNED = "block int, cell long, home boolean, id long, weight long, vector {}"
 FOUND = "id long, links long, root long"
 
 
@@ -108,7 +108,7 @@ def assign(rows: DataFrame, plan) -> DataFrame:
                     take = pa.array(row)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), b, np.int32)), pa.array(cell), pa.array(home), part.column("id").take(take), part.column("weight").take(take), part.column("vector").take(take)], names=["block", "cell", "home", "id", "weight", "vector"])
 
-    return rows.select("id", "weight", "vector").mapInArrow(run, ASSIGNED)
+    return rows.select("id", "weight", "vector").mapInArrow(run, ASSIGNED.format(dict(rows.dtypes)["vector"]))
 
 
 def compare(plan):
@@ -120,15 +120,17 @@ def compare(plan):
         ids, weight = batch.column("id").to_numpy(), batch.column("weight").to_numpy()
         home, visit = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("home", "visit"))
         u = unit(vectors(batch, "vector"))
-        parts = p.parts(u)
-        single = [x.astype(np.float32) for x in parts]
-        norms = [(x * x).sum(1) for x in single]
+        single = u.astype(np.float32) @ p.axes[:, p.columns[b]].astype(np.float32)
+        norms = (single * single).sum(1)
+        facing, facing_norms = single[visit].T.copy(), norms[visit]
         order, others = np.flatnonzero(home), np.flatnonzero(visit)
         links, pairs = np.zeros(len(ids), np.int64), []
         for at in range(0, len(order), 512):
             rows = order[at : at + 512]
-            near = norms[b][rows, None] + norms[b][None, others] - 2 * (single[b][rows] @ single[b][others].T)
-            r, c = np.nonzero(near <= p.budget[b] + SLACK)
+            near = single[rows] @ facing
+            near *= -2
+            near += facing_norms
+            r, c = np.nonzero(near <= (p.budget[b] + SLACK - norms[rows])[:, None].astype(np.float32))
             r, c = rows[r], others[c]
             keep = ids[r] != ids[c]
             r, c = r[keep], c[keep]
@@ -136,13 +138,12 @@ def compare(plan):
                 x, y = r[lo : lo + 100_000], c[lo : lo + 100_000]
                 good = np.einsum("ij,ij->i", u[x], u[y]) >= p.cosine
                 x, y = x[good], y[good]
-                # only the first block within its budget counts a pair; the same sums in the same order decide on either side
-                first = np.ones(len(x), bool)
-                for e in range(b):
-                    d = parts[e][x] - parts[e][y]
-                    first &= (d * d).sum(1) > p.budget[e]
-                d = parts[b][x] - parts[b][y]
-                first &= ((d * d).sum(1) <= p.budget[b]) | (b == len(parts) - 1)
+                # only the first block within its budget counts a pair; either side gets the same squares
+                turned = (u[x] - u[y]) @ p.axes
+                turned *= turned
+                inside = np.stack([turned[:, k].sum(1) <= t for k, t in zip(p.columns, p.budget, strict=True)], 1)
+                inside[:, -1] = True
+                first = inside.argmax(1) == b
                 x, y = x[first], y[first]
                 np.add.at(links, x, weight[y])
                 pairs.append((x, y))
@@ -164,9 +165,11 @@ def compare(plan):
 def joined(rows: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vec_id, embedding; see digest()."""
     spark = rows.sparkSession
+    # single-precision components stay so until a task computes with them; others become double
+    rows = rows if dict(rows.dtypes)["embedding"] == "array<float>" else rows.withColumn("embedding", F.col("embedding").cast("array<double>"))
     size = rows.select(F.max(F.when(usable("embedding"), F.size("embedding")))).first()[0] or 0
     fits = usable("embedding") & (F.size("embedding") == size)
-    good = rows.where(fits).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector")).where("vec_id is not null")
+    good = rows.where(fits).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector")).where("vec_id is not null")
     # equal vectors are one, with their number
     same = stored(good.withColumn("_key", F.xxhash64("vector")).groupBy("_key", "vector").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight")))
     n = same.count()
@@ -190,7 +193,7 @@ def joined(rows: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS) -> Dat
     links = met.groupBy("id").agg(F.sum("links").alias("_links"))
     parts = components(same.select("id"), met.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     classes = same.join(parts, "id").join(links, "id", "left").select("_key", "vector", "weight", F.coalesce("_links", F.lit(0)).alias("_links"), "component")
-    base = rows.select(F.col("vec_id").alias("vec_id"), F.when(fits & F.col("vec_id").isNotNull(), F.col("embedding").cast("array<double>")).alias("vector")).withColumn("_key", F.when(F.col("vector").isNotNull(), F.xxhash64("vector")))
+    base = rows.select(F.col("vec_id").alias("vec_id"), F.when(fits & F.col("vec_id").isNotNull(), F.col("embedding")).alias("vector")).withColumn("_key", F.when(F.col("vector").isNotNull(), F.xxhash64("vector")))
     out = base.join(classes, ["_key", "vector"], "left")
     component = F.coalesce(F.col("component"), F.col("vec_id").cast("long"))
     return out.select("vec_id", F.coalesce(F.col("_links") + F.col("weight") - 1, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
