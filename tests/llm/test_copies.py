@@ -157,3 +157,8 @@ def test_archives_round_trip(spark, monkeypatch):
         revisit = len(raw) >= 1000 and i != top
         assert (got[i].payload_bytes, got[i].payload_digest, got[i].record_type, got[i].refers_to) == (len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if revisit else "response", top if revisit else None)
     assert warc.digest(pages.limit(0)).count() == 0
+    state = hashlib.sha1()
+    for r in warc.running(warc.chunk_rows(warc.decided(pages.where("page_id = 9")), 1000)).collect():
+        state.update(r.chunk)
+        assert r.running_sha1 == state.hexdigest() and len(r.chunk) <= 1000
+    assert state.hexdigest() == hashlib.sha1(big.encode()).hexdigest()

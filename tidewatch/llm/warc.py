@@ -45,26 +45,29 @@ def decided(pages: DataFrame) -> DataFrame:
 
 
 def chunk_rows(records: DataFrame, size: int = CHUNK) -> DataFrame:
-    """The chunk table of the records, in order inside each partition; a revisit and an empty payload have one empty chunk. running_sha1 is filled by running()."""
+    """The chunk table of the records, in order inside each partition; a revisit and an empty payload have one empty chunk. running() fills running_sha1."""
     body = F.when(F.col("record_type") == "response", F.col("html")).otherwise(F.lit("")).cast("binary")
     last = F.greatest(F.lit(0), F.ceil(F.octet_length(body) / size).cast("int") - 1)
     cut = records.withColumn("_body", body).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), last)))
     chunk = F.substring(F.col("_body"), F.col("chunk_no") * size + 1, F.lit(size))
-    plain = cut.select("record_id", "chunk_no", chunk.alias("chunk"), F.lit(None).cast("string").alias("running_sha1"), "record_type", "refers_to", F.col("url").alias("target_uri"), "payload_bytes", "payload_digest")
-    return plain.mapInPandas(running, CHUNKS)
+    return cut.select("record_id", "chunk_no", chunk.alias("chunk"), F.lit(None).cast("string").alias("running_sha1"), "record_type", "refers_to", F.col("url").alias("target_uri"), "payload_bytes", "payload_digest")
 
 
-def running(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Fills running_sha1 from chunk to chunk; only the digest's state is carried."""
-    state = hashlib.sha1()
-    for batch in batches:
-        out = []
-        for number, chunk in zip(batch["chunk_no"], batch["chunk"], strict=True):
-            if number == 0:
-                state = hashlib.sha1()
-            state.update(chunk)
-            out.append(state.hexdigest())
-        yield batch.assign(running_sha1=out)
+def running(chunks: DataFrame) -> DataFrame:
+    """The chunk rows with the digest of the payload up to each of them; only the digest's state is carried from chunk to chunk."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = hashlib.sha1()
+        for batch in batches:
+            out = []
+            for number, chunk in zip(batch["chunk_no"], batch["chunk"], strict=True):
+                if number == 0:
+                    state = hashlib.sha1()
+                state.update(chunk)
+                out.append(state.hexdigest())
+            yield batch.assign(running_sha1=out)
+
+    return chunks.mapInPandas(run, CHUNKS)
 
 
 def header(row) -> bytes:
@@ -84,10 +87,13 @@ def write(chunks: DataFrame, folder: str) -> DataFrame:
         files.create_dir(base, recursive=True)
         out = gz = None
         path, records, size, done = "", 0, 0, []
+        state, wanted = hashlib.sha1(), None
 
         def end() -> None:
             if gz:
                 out.write(gz.compress(b"\r\n\r\n") + gz.flush())
+                if wanted and state.hexdigest() != wanted:
+                    raise ValueError(f"{path}: the chunks of a record do not have its digest")
 
         for batch in batches:
             for row in batch.itertuples(index=False):
@@ -104,6 +110,8 @@ def write(chunks: DataFrame, folder: str) -> DataFrame:
                     gz = zlib.compressobj(6, zlib.DEFLATED, 31)
                     out.write(gz.compress(header(row)))
                     records += 1
+                    state, wanted = hashlib.sha1(), row.payload_digest if row.record_type == "response" else None
+                state.update(row.chunk)
                 out.write(gz.compress(row.chunk))
                 size += len(row.chunk)
         if out is not None:
