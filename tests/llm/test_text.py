@@ -171,6 +171,27 @@ def test_toxicity_learns_words_and_ignores_held_out_labels(spark):
     assert {r.score for r in toxicity.digest(docs(spark, ["a"]), spark.createDataFrame([], "doc_id long, toxic int")).collect()} == {0.0}
 
 
+def test_toxicity_knows_rare_words_of_a_large_corpus(spark, monkeypatch):
+    rng = random.Random(9)
+    # 1.5 million pairs of document and word: a share of 1 / 2 ** 18 of them is six documents, and the rare word stands in five
+    texts = [" ".join(f"w{j}" for j in rng.sample(range(3000), 1000)) for _ in range(1500)]
+    labels = [(i, int(i % 10 == 0)) for i in range(300)]
+    ids = [i for i, y in labels if y and zlib.crc32(str(i).encode()) % 5 > 1]
+    for i, y in labels:
+        if y:
+            texts[i] = " ".join(f"w{rng.randrange(3000)} slur" for _ in range(30))
+    for i in ids[:3]:
+        texts[i] = " ".join(f"w{rng.randrange(3000)} seldom" for _ in range(30))
+    texts += ["w1 seldom w2", "w1 unseen w2", "w1 seldom w2"]
+    d, table = docs(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.digest(d, table).collect()}
+    assert len(got) == len(texts) and got[1500] > got[1501] + 0.1 and got[1500] == got[1502]
+    monkeypatch.setattr(toxicity, "FILTER_KEYS", 0)
+    monkeypatch.setattr(toxicity, "BROADCAST_ROWS", 0)
+    again = {r.doc_id: r.score for r in toxicity.digest(d, table).collect()}
+    assert all(abs(again[i] - got[i]) < 1e-9 for i in got)
+
+
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
