@@ -96,6 +96,21 @@ def test_decontamination_equals_scan(spark, monkeypatch, blocks):
     assert decontaminate.digest(docs(spark, []), none).count() == 0
 
 
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_decontamination_judges_each_row(spark, monkeypatch, blocks):
+    items = [(1, "a b c d"), (2, "e f g"), (None, "h i"), (None, "j k")]
+    texts = ["a b c d", "x y", "e f g", "h i j k", "a b c d e f g", "x", "x y"]
+    ids = [None, None, 5, 5, 5, 5, 7]
+    if blocks > 1:
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2 * sum(len(t) for _, t in items) // blocks)
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.digest(docs(spark, texts, ids), table).select("doc_id", "n_words", "n_hit", "n_items").collect()
+    want = [(None, 4, 4, 1), (None, 2, 0, 0), (5, 3, 3, 1), (5, 4, 4, 1), (5, 7, 7, 2), (5, 1, 0, 0), (7, 2, 0, 0)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    kept = decontaminate.clean(docs(spark, texts, ids), table).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == [("5", "x"), ("7", "x y"), ("None", "x y")]
+
+
 def test_fm_index_counts_and_places():
     rng = np.random.default_rng(1)
     s = rng.integers(0, 4, 500)
