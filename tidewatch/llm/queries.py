@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import decontaminate, neardup, packing, pii, sharding, suffixdedup, toxicity, urlfilter, vectorjoin, warc
+from tidewatch.llm import decontaminate, neardup, packing, pii, sharding, squares, suffixdedup, toxicity, urlfilter, vectorjoin, warc
 from tidewatch.sources.tables import table
 
 QUERIES: dict = {}
@@ -109,3 +109,8 @@ def op1_vectorjoin(spark: SparkSession, sf: str) -> DataFrame:
 @query("op3_suffixdedup")
 def op3_suffixdedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffixdedup.digest(table(spark, sf, "documents"))
+
+
+@query("op12_bestfit")
+def op12_bestfit(spark: SparkSession, sf: str) -> DataFrame:
+    return squares.digest(table(spark, sf, "documents"))
