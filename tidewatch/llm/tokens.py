@@ -14,7 +14,9 @@ from collections.abc import Callable
 import numpy as np
 
 #: Parts that a worker remembers; beyond it the table starts anew. It changes no result.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
+#: Parts that are encoded in one call.
+TOGETHER = 500
 #: Letters that no tokenizer here joins with the ASCII signs next to them.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: ASCII other than letters and the apostrophe (contractions begin with it).
@@ -61,12 +63,27 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.coder.get_added_tokens_decoder().values()]
-        self.parts = Remembered(self.encoded)
+        added = self.coder.get_added_tokens_decoder()
+        self.special = [t.content for t in added.values()]
+        self.mark = next(((i, t.content) for i, t in added.items() if t.special and sum(map(bool, WORD_PARTS.findall(t.content))) > 1), None)
+        self.parts = Remembered(self.parts_encoded)
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def parts_encoded(self, parts: list[str]) -> list[bytes]:
+        """Parts are cut inside special tokens' strings too, so none holds one: many of them are encoded as one text with a special token in between."""
+        if not self.mark:
+            return self.encoded(parts)
+        mark, string = self.mark
+        blocks = [string.join(parts[i : i + TOGETHER]) for i in range(0, len(parts), TOGETHER)]
+        out: list[bytes] = []
+        for encoding in self.coder.encode_batch_fast(blocks, add_special_tokens=False):
+            ids = np.array(encoding.ids, "<u4")
+            whole, at = ids.tobytes(), 4 * np.flatnonzero(ids == mark)
+            out += [whole[a:z] for a, z in zip([0, *(at + 4).tolist()], [*at.tolist(), len(whole)], strict=True)]
+        return out
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of whole texts (unsigned 32 bits, little-endian), without special tokens being added; one that stands in a text keeps its id."""
         marked = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
