@@ -75,3 +75,18 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
         raise RuntimeError(f"components not found in {rounds} rounds")
     roots = links.groupBy("u").agg(F.min("v").alias("component"))
     return nodes.join(roots, nodes["id"] == roots["u"], "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+#: Keys that are frequent enough to be sent to all tasks: each has over one HOT_KEYS-th of all rows, so there are never more of them.
+HOT_KEYS = 65_536
+
+
+def known(rows: DataFrame, table: DataFrame, key: str, n: int, hot_keys: int = HOT_KEYS) -> DataFrame:
+    """The rows with the columns that the table has for their key (null where it has none); keys are distinct there, and its column _weight (dropped) says how many rows have the key.
+
+    n: how many rows there are. Keys with more than n / hot_keys rows, of which there are fewer than hot_keys, are broadcast, so their rows stay where they are;
+    the others are shuffled, and no key of the table then brings more than n / hot_keys rows to a task.
+    """
+    frequent = F.col("_weight") * hot_keys > n
+    hot, rest = table.where(frequent).drop("_weight"), table.where(~frequent).drop("_weight")
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, "left"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import decontaminate, neardup, packing, pii, sharding, squares, suffixdedup, toxicity, urlfilter, vectorjoin, warc
+from tidewatch.llm import audit, decontaminate, neardup, packing, pii, sharding, squares, suffixdedup, toxicity, urlfilter, vectorjoin, warc
 from tidewatch.sources.tables import table
 
 QUERIES: dict = {}
@@ -114,3 +114,28 @@ def op3_suffixdedup(spark: SparkSession, sf: str) -> DataFrame:
 @query("op12_bestfit")
 def op12_bestfit(spark: SparkSession, sf: str) -> DataFrame:
     return squares.digest(table(spark, sf, "documents"))
+
+
+#: In the SQL a document's failures are a string of its letters; p runs over the orders, k over their steps.
+OP11_SQL = r"""
+with t as (select doc_id, coalesce(source, '') part, coalesce(text, '') text from documents),
+w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') ws, min(doc_id) over (partition by text) low from t),
+f as (select doc_id, part, case when len(ws) < 50 then 'A' else '' end || case when 100 * len(list_distinct(ws)) < 65 * len(ws) then 'B' else '' end
+  || case when 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text) then 'C' else '' end
+  || case when regexp_matches(text, '[#$%&*|]') then 'D' else '' end || case when low < doc_id then 'E' else '' end fails from w),
+l as (select doc_id, bool_or(quality = 1) good, bool_or(toxic = 1) toxic from labels group by 1),
+c as (select part, fails, count(*) n, count(*) filter (good) g, count(*) filter (toxic) t from f left join l using (doc_id) group by all),
+x as (select unnest(['A', 'B', 'C', 'D', 'E']) x), p as (select a.x || b.x || c.x || d.x || e.x filter_order from x a, x b, x c, x d, x e
+  where a.x not in (b.x, c.x, d.x, e.x) and b.x not in (c.x, d.x, e.x) and c.x not in (d.x, e.x) and d.x <> e.x),
+s as (select filter_order, k::int step, filter_order[k] letter, filter_order[:k - 1] before from p, range(1, 6) r(k)),
+h as (select c.*, s.*, contains(fails, letter) fail, k.gone from c, s, lateral (select before <> '' and regexp_matches(fails, '[' || before || 'Z]') gone) k)
+select part, filter_order, step, coalesce(sum(n) filter (not gone and not fail), 0)::bigint kept, coalesce(sum(n) filter (not gone and fail), 0)::bigint removed,
+  coalesce(sum(n) filter (gone and fail), 0)::bigint redundant, coalesce(sum(n) filter (fails = letter), 0)::bigint unique_fails,
+  coalesce(sum(g) filter (not gone and fail), 0)::bigint good_lost, coalesce(sum(t) filter (not gone and fail), 0)::bigint toxic_lost,
+  coalesce(sum(n * 120 // greatest(len(fails), 1)) filter (fail), 0)::bigint shapley from h group by all
+"""
+
+
+@query("op11_filter_audit", OP11_SQL)
+def op11_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.digest(table(spark, sf, "documents"), table(spark, sf, "labels"))
