@@ -13,19 +13,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import known, numbered, stored, text_or_empty
+from tidewatch.llm.common import CELL_ROWS, known, stored, text_or_empty
 
 #: The filters' letters, and their limits.
 FILTERS, LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS, SIGNS = "ABCDE", 50, 65, 5, r"[#$%&*|]"
 #: Text bytes of a shard, at least; a longer document has a shard of its own.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 64 << 20
 
 
 def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """shard (name), the other columns of docs as arrays (one element a document), indptr, indices (places in words), counts, words (distinct, as they first occur).
+    """shard (number), the other columns of docs as arrays (one element a document), indptr, indices (places in words), counts, words (distinct, as they first occur).
 
     docs: text (not null) and any other columns. Words are the longest runs without the characters space and U+0009 to U+000D, in their own case.
     """
@@ -40,7 +40,7 @@ def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
         def shard() -> pa.RecordBatch:
             flat = [pa.array([np.concatenate(x).astype(np.int32)], pa.list_(pa.int32())) for x in (indices, counts)]
             lists = [pa.array([list(column)], pa.list_(kind)) for column, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
-            columns = [pa.array([f"{TaskContext.get().partitionId()}-{made}"]), *lists, pa.array([ends], pa.list_(pa.int64())), *flat, pa.array([[w.decode() for w in words]], pa.list_(pa.string()))]
+            columns = [pa.array([(TaskContext.get().partitionId() << 32) + made]), *lists, pa.array([ends], pa.list_(pa.int64())), *flat, pa.array([[w.decode() for w in words]], pa.list_(pa.string()))]
             return pa.RecordBatch.from_arrays(columns, names=["shard", *carried, "indptr", "indices", "counts", "words"])
 
         for batch in batches:
@@ -63,33 +63,32 @@ def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
             yield shard()
 
     lists = ", ".join(f"`{c}` array<{k}>" for c, k in docs.dtypes if c != "text")
-    return docs.select("text", *carried).mapInArrow(run, f"shard string, {lists}, indptr array<long>, indices array<int>, counts array<int>, words array<string>")
+    return docs.select("text", *carried).mapInArrow(run, f"shard long, {lists}, indptr array<long>, indices array<int>, counts array<int>, words array<string>")
 
 
 def matrix(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(dictionary, matrix): dictionary has word, word_id (gapless from 0); matrix is shards() without words and with indices by word_id.
+    """(dictionary, matrix): dictionary has word, word_id (distinct, from 0); matrix is shards() without words and with indices by word_id.
 
-    A document's row is its slice of indices (in the order of first use in its shard) and counts. No word is left out and none are hashed together.
+    A document's row is its slice of indices (in the order of first use in its shard) and counts. No word is left out and none are hashed together: a hash only deals the
+    words into cells, where they are ranked; word_id is rank times cells plus cell. Word lists are shuffled once to the cells and once, as numbers, to their shards.
     """
     local = stored(shards(docs, shard_bytes))
-    listed = local.select("shard", F.posexplode("words").alias("place", "word"))
-    distinct = stored(listed.select("word").distinct())
-    dictionary = stored(numbered(distinct, [], ["word"], "word_id", distinct.count()))
+    cells = max(1, -(-int(local.agg(F.sum(F.size("words").cast("long"))).first()[0] or 0) // CELL_ROWS))
+    listed = local.select("shard", F.posexplode("words").alias("place", "word")).withColumn("_cell", F.pmod(F.xxhash64("word"), F.lit(cells)))
     # a word stands once in a shard's list at most, so no word has more rows here than there are shards
-    pairs = listed.join(dictionary, "word").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("place", "word_id"))).alias("_m"))
-    joined = local.drop("words").join(pairs.select("shard", F.col("_m.word_id").alias("_ids")), "shard", "left")
+    rank = F.dense_rank().over(Window.partitionBy("_cell").orderBy("word")).cast("long") - 1
+    coded = listed.withColumn("word_id", rank * cells + F.col("_cell"))
 
-    def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            new = []
-            for index, ids in zip(batch.column("indices"), batch.column("_ids"), strict=True):
-                index = index.values.to_numpy()
-                new.append(ids.values.to_numpy()[index] if len(index) else np.zeros(0, np.int64))
-            kept = [c for c in batch.schema.names if c not in ("indices", "_ids")]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(new, pa.list_(pa.int64()))], names=[*kept, "indices"])
+    def renumber(pairs: pa.Table, rows: pa.Table) -> pa.Table:
+        ids = np.zeros(pairs.num_rows, np.int64)
+        ids[pairs.column("place").to_numpy()] = pairs.column("word_id").to_numpy()
+        index = rows.column("indices").combine_chunks().flatten().to_numpy()
+        new = pa.LargeListArray.from_arrays(pa.array([0, len(index)], pa.int64()), pa.array(ids[index] if len(index) else np.zeros(0, np.int64)))
+        return rows.drop(["indices"]).append_column("indices", new.cast(pa.list_(pa.int64())))
 
     kept = ", ".join(f"`{c}` {k}" for c, k in local.dtypes if c not in ("indices", "words"))
-    return dictionary, joined.mapInArrow(renumber, f"{kept}, indices array<long>")
+    joined = coded.select("shard", "place", "word_id").groupBy("shard").cogroup(local.drop("words").groupBy("shard")).applyInArrow(renumber, f"{kept}, indices array<long>")
+    return coded.select("word", "word_id").distinct(), joined
 
 
 def row_counts(csr: DataFrame) -> DataFrame:
