@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import audit, decontaminate, neardup, packing, pii, sharding, squares, suffixdedup, toxicity, urlfilter, vectorjoin, warc
+from tidewatch.llm import audit, crosstoken, decontaminate, neardup, packing, pii, sharding, squares, suffixdedup, toxicity, urlfilter, vectorjoin, warc
 from tidewatch.sources.tables import table
 
 QUERIES: dict = {}
@@ -139,3 +139,8 @@ select part, filter_order, step, coalesce(sum(n) filter (not gone and not fail),
 @query("op11_filter_audit", OP11_SQL)
 def op11_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
     return audit.digest(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op13_crosstoken")
+def op13_crosstoken(spark: SparkSession, sf: str) -> DataFrame:
+    return crosstoken.digest(table(spark, sf, "documents"))
