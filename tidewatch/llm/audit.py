@@ -21,11 +21,11 @@ from tidewatch.llm.common import CELL_ROWS, known, stored, text_or_empty
 #: The filters' letters, and their limits.
 FILTERS, LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS, SIGNS = "ABCDE", 50, 65, 5, r"[#$%&*|]"
 #: Text bytes of a shard, at least; a longer document has a shard of its own.
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 8 << 20
 
 
 def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """shard (number), the other columns of docs as arrays (one element a document), indptr, indices (places in words), counts, words (distinct, as they first occur).
+    """shard (number), the other columns of docs as arrays (one element a document), indptr, gaps (places in words, each less the one before it in its document), counts, words (distinct, as they first occur).
 
     docs: text (not null) and any other columns. Words are the longest runs without the characters space and U+0009 to U+000D, in their own case.
     """
@@ -35,13 +35,13 @@ def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
         from pyspark import TaskContext
 
         made, size, kinds = 0, 0, []
-        rows, ends, indices, counts, words = [], [0], [], [], {}
+        rows, ends, gaps, counts, words = [], [0], [], [], {}
 
         def shard() -> pa.RecordBatch:
-            flat = [pa.array([np.concatenate(x).astype(np.int32)], pa.list_(pa.int32())) for x in (indices, counts)]
+            flat = [pa.array([np.concatenate(x).astype(np.int32)], pa.list_(pa.int32())) for x in (gaps, counts)]
             lists = [pa.array([list(column)], pa.list_(kind)) for column, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
             columns = [pa.array([(TaskContext.get().partitionId() << 32) + made]), *lists, pa.array([ends], pa.list_(pa.int64())), *flat, pa.array([[w.decode() for w in words]], pa.list_(pa.string()))]
-            return pa.RecordBatch.from_arrays(columns, names=["shard", *carried, "indptr", "indices", "counts", "words"])
+            return pa.RecordBatch.from_arrays(columns, names=["shard", *carried, "indptr", "gaps", "counts", "words"])
 
         for batch in batches:
             kinds = [batch.schema.field(c).type for c in carried]
@@ -51,28 +51,28 @@ def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
                 number = words.setdefault
                 index, n = np.unique(np.array([number(w, len(words)) for w in data.split()], np.int64), return_counts=True)
                 rows.append(row)
-                indices.append(index)
+                gaps.append(np.diff(index, prepend=0))
                 counts.append(n)
                 ends.append(ends[-1] + len(index))
                 size += len(data) + 1
                 if size >= shard_bytes:
                     yield shard()
                     made, size = made + 1, 0
-                    rows, ends, indices, counts, words = [], [0], [], [], {}
+                    rows, ends, gaps, counts, words = [], [0], [], [], {}
         if rows:
             yield shard()
 
     lists = ", ".join(f"`{c}` array<{k}>" for c, k in docs.dtypes if c != "text")
-    return docs.select("text", *carried).mapInArrow(run, f"shard long, {lists}, indptr array<long>, indices array<int>, counts array<int>, words array<string>")
+    return docs.select("text", *carried).mapInArrow(run, f"shard long, {lists}, indptr array<long>, gaps array<int>, counts array<int>, words array<string>")
 
 
 def matrix(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(dictionary, matrix): dictionary has word, word_id (distinct, from 0); matrix is shards() without words and with indices by word_id.
+    """(dictionary, matrix): dictionary has word, word_id (distinct, from 0); matrix is shards() without words and with indices (word_ids) for gaps.
 
     A document's row is its slice of indices (in the order of first use in its shard) and counts. No word is left out and none are hashed together: a hash only deals the
     words into cells, where they are ranked; word_id is rank times cells plus cell. Word lists are shuffled once to the cells and once, as numbers, to their shards.
     """
-    local = stored(shards(docs, shard_bytes))
+    local = stored(shards(docs, shard_bytes), "zstd")
     cells = max(1, -(-int(local.agg(F.sum(F.size("words").cast("long"))).first()[0] or 0) // CELL_ROWS))
     listed = local.select("shard", F.posexplode("words").alias("place", "word")).withColumn("_cell", F.pmod(F.xxhash64("word"), F.lit(cells)))
     # a word stands once in a shard's list at most, so no word has more rows here than there are shards
@@ -82,11 +82,13 @@ def matrix(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame,
     def renumber(pairs: pa.Table, rows: pa.Table) -> pa.Table:
         ids = np.zeros(pairs.num_rows, np.int64)
         ids[pairs.column("place").to_numpy()] = pairs.column("word_id").to_numpy()
-        index = rows.column("indices").combine_chunks().flatten().to_numpy()
+        ends, gaps = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("indptr", "gaps"))
+        total = np.append(0, np.cumsum(gaps.astype(np.int64)))
+        index = total[1:] - np.repeat(total[ends[:-1]], np.diff(ends))
         new = pa.LargeListArray.from_arrays(pa.array([0, len(index)], pa.int64()), pa.array(ids[index] if len(index) else np.zeros(0, np.int64)))
-        return rows.drop(["indices"]).append_column("indices", new.cast(pa.list_(pa.int64())))
+        return rows.drop(["gaps"]).append_column("indices", new.cast(pa.list_(pa.int64())))
 
-    kept = ", ".join(f"`{c}` {k}" for c, k in local.dtypes if c not in ("indices", "words"))
+    kept = ", ".join(f"`{c}` {k}" for c, k in local.dtypes if c not in ("gaps", "words"))
     joined = coded.select("shard", "place", "word_id").groupBy("shard").cogroup(local.drop("words").groupBy("shard")).applyInArrow(renumber, f"{kept}, indices array<long>")
     return coded.select("word", "word_id").distinct(), joined
 

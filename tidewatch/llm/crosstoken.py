@@ -24,9 +24,9 @@ from tidewatch.llm.common import known, stored
 WORK, AT_ONCE = 16_384, 256
 VOCABULARIES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
-#: groups is null while pieces wait to be stitched; ids and ends of a waiting piece go with the one A and B token after it.
+#: groups is null while pieces wait to be stitched; a waiting piece has its ids, those of the one A and B token after it, and the bytes before its first A and B token.
 ALIGNED = "_row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, counts array<int>"
-WAITING = "piece int, first_b_cut boolean, own_a int, own_b int, a binary, a_end binary, b binary, b_end binary"
+WAITING = "piece int, first_b_cut boolean, own_a int, own_b int, start_a long, start_b long, a binary, b binary"
 PARTIAL = "_row long, doc_id long, piece int, n_a long, n_b long, n_cuts long, n_links long, head_a string, head_b string, middle string, tail_a string, tail_b string, pairs array<long>, counts array<int>"
 
 
@@ -117,6 +117,7 @@ def in_task(paths: tuple[str, str], work: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoders = tokens.two_encoders(*paths)
         names = Names(len(encoders.bytes_a), len(encoders.bytes_b))
+        narrow_a, narrow_b = narrow(names)
         schema = arrow_schema(f"{ALIGNED}, {WAITING}")
         for whole in batches:
             for at in range(0, whole.num_rows, AT_ONCE):
@@ -135,13 +136,18 @@ def in_task(paths: tuple[str, str], work: int):
                         j, next_j = piece * work - i, min((piece + 1) * work, len(a) + len(b)) - next_i
                         out.append(base | {
                             "piece": piece, "first_b_cut": bool(i and j < len(b) and a_end[i - 1] == b_end[j]), "own_a": next_i - i, "own_b": next_j - j,
-                            "a": a[i : next_i + 1].tobytes(), "a_end": a_end[i : next_i + 1].tobytes(), "b": b[j : next_j + 1].tobytes(), "b_end": b_end[j : next_j + 1].tobytes(),
+                            "start_a": int(a_end[i - 1]) if i else 0, "start_b": int(b_end[j - 1]) if j else 0, "a": a[i : next_i + 1].astype(narrow_a).tobytes(), "b": b[j : next_j + 1].astype(narrow_b).tobytes(),
                         })
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     return run
 
 
+def narrow(names: Names) -> list[str]:
+    """The kinds of number in which waiting pieces carry ids of A and of B."""
+    return ["<u2" if n <= 1 << 16 else "<u4" for n in (names.n_a, names.n_b)]
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
     return pa.schema([(name, kinds[kind]) for name, kind in (c.split(" ") for c in ddl.split(", "))])
@@ -159,7 +165,7 @@ def aligned(docs: DataFrame, paths: tuple[str, str] | None = None, work: int = W
     def shape(df: DataFrame) -> DataFrame:
         return df.withColumn("groups", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))) if hashed else df
 
-    first = stored(shape(rows.mapInArrow(in_task(paths, work), f"{ALIGNED}, {WAITING}")))
+    first = stored(shape(rows.mapInArrow(in_task(paths, work), f"{ALIGNED}, {WAITING}")), "zstd")
     columns = [c.split(" ")[0] for c in ALIGNED.split(", ")]
     waiting = first.where("piece is not null").select("_row", "doc_id", *[c.split(" ")[0] for c in WAITING.split(", ")])
     if waiting.isEmpty():
@@ -170,8 +176,8 @@ def aligned(docs: DataFrame, paths: tuple[str, str] | None = None, work: int = W
         names = Names(len(encoders.bytes_a), len(encoders.bytes_b))
         for batch in batches:
             for r in batch.to_pylist():
-                a, b = (np.frombuffer(r[c], "<u4") for c in ("a", "b"))
-                a_end, b_end = (np.frombuffer(r[c], np.int64) for c in ("a_end", "b_end"))
+                a, b = (np.frombuffer(r[c], kind) for c, kind in zip(("a", "b"), narrow(names), strict=True))
+                a_end, b_end = r["start_a"] + np.cumsum(encoders.length_a[a]), r["start_b"] + np.cumsum(encoders.length_b[b])
                 part = merged(names, a, b, a_end, b_end, r["own_a"], r["own_b"], r["first_b_cut"])
                 yield pa.RecordBatch.from_pylist([{c: r[c] for c in ("_row", "doc_id", "piece")} | part], schema=arrow_schema(PARTIAL))
 
