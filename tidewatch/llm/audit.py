@@ -9,6 +9,8 @@ number of five bits, and a table of counts by part and number answers every orde
 from __future__ import annotations
 
 import itertools
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,17 +21,30 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import CELL_ROWS, known, stored, text_or_empty
 
 #: The filters' letters, and their limits.
-FILTERS, LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS, SIGNS = "ABCDE", 50, 65, 5, r"[#$%&*|]"
+FILTERS, LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS, SIGNS, CAPITALS = "ABCDE", 50, 65, 5, rb"[#$%&*|]", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Bytes that only continue a code point.
+CONTINUING = bytes(range(0x80, 0xC0))
 #: Text bytes of a shard, at least; a longer document has a shard of its own.
 SHARD_BYTES = 8 << 20
 
 
+def bit(letter: str) -> int:
+    return 1 << FILTERS.index(letter)
+
+
+def marks(data: bytes) -> int:
+    """The bits of C and D for a text in UTF-8."""
+    capitals = len(data) - len(data.translate(None, CAPITALS))
+    length = len(data.translate(None, CONTINUING))
+    return bit("C") * (100 * capitals > MOST_CAPITALS * length) + bit("D") * bool(re.search(SIGNS, data))
+
+
 def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """shard (number), the other columns of docs as arrays (one element a document), indptr, gaps (places in words, each less the one before it in its document), counts, words (distinct, as they first occur).
+    """shard (number), the other columns of docs as arrays (one element a document), marks (bits of C and D), indptr, gaps (places in words, each less the one before it in its document), counts, words (distinct, as they first occur).
 
     docs: text (not null) and any other columns. Words are the longest runs without the characters space and U+0009 to U+000D, in their own case.
     """
-    carried = [c for c in docs.columns if c != "text"]
+    carried = [*[c for c in docs.columns if c != "text"], "marks"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -44,15 +59,17 @@ def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, names=["shard", *carried, "indptr", "gaps", "counts", "words"])
 
         for batch in batches:
-            kinds = [batch.schema.field(c).type for c in carried]
-            for text, *row in zip(batch.column("text"), *[batch.column(c).to_pylist() for c in carried], strict=True):
+            kinds = [*[batch.schema.field(c).type for c in carried[:-1]], pa.int32()]
+            for text, *row in zip(batch.column("text"), *[batch.column(c).to_pylist() for c in carried[:-1]], strict=True):
                 data = text.as_py().encode()
                 # bytes are split at exactly the six characters that end a word
+                used = Counter(data.split())
                 number = words.setdefault
-                index, n = np.unique(np.array([number(w, len(words)) for w in data.split()], np.int64), return_counts=True)
-                rows.append(row)
-                gaps.append(np.diff(index, prepend=0))
-                counts.append(n)
+                index = np.array([number(w, len(words)) for w in used], np.int64)
+                order = index.argsort()
+                rows.append([*row, marks(data)])
+                gaps.append(np.diff(index[order], prepend=0))
+                counts.append(np.fromiter(used.values(), np.int64, len(used))[order])
                 ends.append(ends[-1] + len(index))
                 size += len(data) + 1
                 if size >= shard_bytes:
@@ -63,7 +80,8 @@ def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
             yield shard()
 
     lists = ", ".join(f"`{c}` array<{k}>" for c, k in docs.dtypes if c != "text")
-    return docs.select("text", *carried).mapInArrow(run, f"shard long, {lists}, indptr array<long>, gaps array<int>, counts array<int>, words array<string>")
+    lists = f"{lists}, " if lists else ""
+    return docs.select("text", *carried[:-1]).mapInArrow(run, f"shard long, {lists}marks array<int>, indptr array<long>, gaps array<int>, counts array<int>, words array<string>")
 
 
 def matrix(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -108,10 +126,6 @@ def row_counts(csr: DataFrame) -> DataFrame:
     return csr.drop("shard", "indices").mapInArrow(run, f"{out}, words long, distinct_words long")
 
 
-def bit(letter: str) -> int:
-    return 1 << FILTERS.index(letter)
-
-
 def firsts(rows: DataFrame, n: int) -> DataFrame:
     """The rows with _first: where other rows have the same _text, the smallest doc_id of them all; else null. rows: doc_id, _text (a hash)."""
     repeated = rows.groupBy("_text").agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_weight")).where("_weight > 1")
@@ -126,15 +140,12 @@ def flags(docs: DataFrame, labels: DataFrame, shard_bytes: int = SHARD_BYTES) ->
     row of its doc_id has quality 1, and toxic likewise; null ids have no labels. Other columns of either table are not looked at.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), text_or_empty().alias("text"))
-    length = F.length("text").cast("long")
-    capitals = length - F.length(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    marked = F.when(100 * capitals > MOST_CAPITALS * length, bit("C")).otherwise(0) + F.when(F.col("text").rlike(SIGNS), bit("D")).otherwise(0)
-    _, csr = matrix(rows.select("*", F.sha2("text", 256).alias("_text"), marked.alias("_marked")), shard_bytes)
+    _, csr = matrix(rows.select("*", F.sha2("text", 256).alias("_text")), shard_bytes)
     counted = F.when(F.col("words") < LEAST_WORDS, bit("A")).otherwise(0) + F.when(100 * F.col("distinct_words") < LEAST_DISTINCT * F.col("words"), bit("B")).otherwise(0)
-    facts = stored(row_counts(csr).select("doc_id", "part", "_text", (F.col("_marked") + counted).alias("_marked")))
+    facts = stored(row_counts(csr).select("doc_id", "part", "_text", (F.col("marks") + counted).alias("marks")))
     marks = labels.groupBy(F.col("doc_id").cast("long").alias("_l")).agg(F.max((F.col("quality") == 1).cast("int")).alias("_good"), F.max((F.col("toxic") == 1).cast("int")).alias("_toxic"))
     joined = firsts(facts, facts.count()).join(marks, F.col("doc_id") == F.col("_l"), "left")
-    failed = F.col("_marked") + F.when(F.col("_first") < F.col("doc_id"), bit("E")).otherwise(0)
+    failed = F.col("marks") + F.when(F.col("_first") < F.col("doc_id"), bit("E")).otherwise(0)
     return joined.select("doc_id", "part", failed.cast("int").alias("failed"), (F.coalesce("_good", F.lit(0)) == 1).alias("good"), (F.coalesce("_toxic", F.lit(0)) == 1).alias("toxic"))
 
 
