@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.columns import expit
 from tidewatch.operators import aggregate as A
 from tidewatch.operators import evaluate as V
+from tidewatch.operators import gramian as G
 from tidewatch.operators import knn as K
 from tidewatch.operators import models as M
 from tidewatch.operators import ordered as O
@@ -160,16 +161,42 @@ def m23(spark, sf):
 
 # ---- iterative fits: rows-only checks here, brute force in the tests ----
 
+def whole(spark, sf):
+    """Whole vectors, one fold per source."""
+    v = vectors(spark, sf)
+    return v.select(F.col("vec_id").alias("id"), "source_id", "positive", "x", F.col("source_id").cast("int").alias("fold"))
+
+
+#: One row per fold: a fit that is at its optimum has no gradient.
+STATIONARY = """SELECT a.s::INTEGER AS fold, count(*) AS n_train, 0.0::DOUBLE AS gradient FROM (SELECT DISTINCT vec_id % 20 AS s FROM embeddings) a JOIN embeddings b ON b.vec_id % 20 <> a.s GROUP BY 1"""
+
+
+def stationary(train, params, weight=None):
+    flat = G.stationarity(train, params, "fold", "x", 1.0, weight)
+    return flat.select(F.col("model").cast("int").alias("fold"), "n_train", F.round("gradient", 6).alias("gradient"))
+
+
 @query("m2_held_out_logit")
 def m2(spark, sf):
-    d = rows(spark, sf, 20)
-    return M.held_out_logit(d, "fold", 20, FEATURES).select("id", "source_id", "positive", "score")
+    return G.held_out(whole(spark, sf), "fold", "x")[0].select("id", "source_id", "positive", "score")
+
+
+@query("m2_stationarity", STATIONARY)
+def m2_stationarity(spark, sf):
+    d = whole(spark, sf)
+    return stationary(d, G.held_out(d, "fold", "x")[1])
 
 
 @query("m7_logistic_weighted")
 def m7(spark, sf):
-    d = M.source_equal_weights(rows(spark, sf), "source_id", within_class=True)
-    return M.held_out_logit(d, "fold", 4, ["f1", "f2"], weight="weight").select("id", "source_id", "positive", "score")
+    d = M.source_equal_weights(whole(spark, sf), "source_id", within_class=True)
+    return G.held_out(d, "fold", "x", weight="weight")[0].select("id", "source_id", "positive", "score")
+
+
+@query("m7_stationarity", STATIONARY)
+def m7_stationarity(spark, sf):
+    d = cut(M.source_equal_weights(whole(spark, sf), "source_id", within_class=True))
+    return stationary(d, G.held_out(d, "fold", "x", weight="weight")[1], "weight")
 
 
 @query("m8_random_forest")
@@ -205,17 +232,26 @@ def m17(spark, sf):
     return M.score_frozen(r.where("source_id >= 10"), path).select("id", "source_id", "positive", "score")
 
 
+@query("m17_source_excluded")
+def m17_source_excluded(spark, sf):
+    """Frozen on ten sources; each of these is scored by the fit without it, all others by the fit of all ten."""
+    d = whole(spark, sf)
+    train = d.where("source_id < 10")
+    fits = G.fit_vectors(train, "fold", "x", [M.Task("all", ()), *[M.Task(str(k), (k,)) for k in range(10)]])
+    return G.scored(d, G.parameters(d, fits), F.when(F.col("source_id") < 10, F.col("fold").cast("string")).otherwise("all"), "x").select("id", "source_id", "positive", "score")
+
+
 @query("m18_augmented_training")
 def m18(spark, sf):
-    r = rows(spark, sf)
-    return M.held_out_logit(r.where("source_id < 12"), "fold", 4, FEATURES, extra=r.where("source_id >= 12")).select("id", "source_id", "positive", "score")
+    d = whole(spark, sf)
+    return G.held_out(d.where("source_id < 12"), "fold", "x", extra=d.where("source_id >= 12"))[0].select("id", "source_id", "positive", "score")
 
 
 @query("m19_candidate_table")
 def m19(spark, sf):
-    r = rows(spark, sf)
-    fits = M.fit_logits(r.where("source_id < 15"), "fold", FEATURES, [M.Task("all", ())])
-    c = r.where("source_id >= 15").withColumn("score", expit(M.logit_column(fits["all"], FEATURES)))
+    d = whole(spark, sf)
+    fits = G.fit_vectors(d.where("source_id < 15"), "fold", "x", [M.Task("all", ())])
+    c = G.scored(d.where("source_id >= 15"), G.parameters(d, fits), F.lit("all"), "x")
     g = c.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"))
     return g.join(O.percentiles(c, ["source_id"], "score", {"median": 0.5}), "source_id")
 
@@ -241,11 +277,11 @@ def m21b(spark, sf):
 
 @query("m24_ablation_set")
 def m24(spark, sf):
-    r = cut(rows(spark, sf))
-    sets = {"f1": (0,), "f2": (1,), "f3": (2,), "f1+f2": (0, 1), "all": (0, 1, 2)}
-    tasks = [M.Task(f"{n}.{k}", (k,), 1.0, u) for n, u in sets.items() for k in range(4)]
-    fits = M.fit_logits(r, "fold", FEATURES, tasks)
-    s = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), expit(M.fold_logit({k: fits[f"{n}.{k}"] for k in range(4)}, "fold", FEATURES)).alias("score")) for n in sets]))
-    oof = r.select("source_id", "positive", s.alias("s")).select("source_id", "positive", "s.*")
+    """Each element alone, each with the first one as nuisance, and all, each held out by source."""
+    d = cut(whole(spark, sf))
+    sets = {f"x{i}": (i,) for i in range(64)} | {f"x0+x{i}": (0, i) for i in range(1, 64)} | {"all": None}
+    folds = range(20)
+    params = cut(G.parameters(d, G.fit_vectors(d, "fold", "x", [M.Task(f"{n}.{k}", (k,), 1.0, u) for n, u in sets.items() for k in folds])))
+    p = params.select(F.substring_index("model", ".", 1).alias("model"), F.substring_index("model", ".", -1).cast("int").alias("fold"), "slopes", "intercept")
+    oof = d.join(p, "fold").select("source_id", "positive", "model", expit(G.predictor("x", F.col("slopes"), F.col("intercept"))).alias("score"))
     return V.point_metrics(oof, ["model"])
-
