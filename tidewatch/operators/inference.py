@@ -7,16 +7,22 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import clip, hash_cell, hash_int, hash_text
 from tidewatch.operators.evaluate import auc
-from tidewatch.operators.ordered import attach_row, cells_for, row_index
+from tidewatch.operators.ordered import MAX_CELLS, attach_row, cells_for, row_index, with_cells
 from tidewatch.operators.select import sample_k
 from tidewatch.session import cut, spread
 
 VERDICT_NO = "not detected"
+#: Draws whose weights go together as one array; rows expanded to weights at once; rows of a range of scores.
+BLOCK, MATRIX_ROWS, RANGE_ROWS = 500, 2048, 20_000
 
 
 def boot_draws(sources: DataFrame, n_boot: int, seed: int) -> DataFrame:
@@ -79,13 +85,87 @@ def better_share(diff: DataFrame, keys: Sequence[str], value: str = "value") ->
     return diff.groupBy(*keys).agg(F.avg((F.col(value) > 0).cast("double")).alias("frac_first_better"))
 
 
+def copies_by_block(draws: DataFrame) -> DataFrame:
+    """One row per source and block of BLOCK draws: source_id, block, d (draws inside the block that took the source) and m (copies)."""
+    d = draws.select("source_id", F.floor(F.col("draw") / BLOCK).cast("int").alias("block"), F.struct((F.col("draw") % BLOCK).cast("int").alias("d"), F.col("m").cast("int").alias("m")).alias("c"))
+    return d.groupBy("source_id", "block").agg(F.collect_list("c").alias("c")).select("source_id", "block", F.col("c.d").alias("d"), F.col("c.m").alias("m"))
+
+
+def ranked_sums(rows: pa.Table, sources: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By draw of a block, for rows of one range of scores: won pairs inside the range (ties count half), positive weight, negative weight.
+
+    rows: source_id, positive, _s, c; sources: source, d, m. The running sum over ascending scores is a vector over the draws; MATRIX_ROWS rows are expanded at once.
+    """
+    table = np.zeros((sources.num_rows + 1, BLOCK))  # the last row stands for sources that no draw took
+    lengths = pc.list_value_length(sources.column("d")).to_numpy()
+    table[np.repeat(np.arange(sources.num_rows), lengths), pc.list_flatten(sources.column("d")).to_numpy()] = pc.list_flatten(sources.column("m")).to_numpy()
+    at = pd.Index(sources.column("source").to_pandas()).get_indexer(rows.column("source_id").to_pandas())
+    score, weight, positive = rows.column("_s").to_numpy(), rows.column("c").to_numpy().astype(float), rows.column("positive").to_numpy().astype(bool)
+    order = np.argsort(score, kind="stable")
+    won, above, below = np.zeros(BLOCK), np.zeros(BLOCK), np.zeros(BLOCK)
+    tied, tied_at = np.zeros(BLOCK), np.nan  # negative weight of the score that the last rows had, already part of `below`
+    open_positive = np.zeros(BLOCK)
+    for lo in range(0, len(order), MATRIX_ROWS):
+        o = order[lo : lo + MATRIX_ROWS]
+        w = table[at[o]] * weight[o, None]
+        firsts = np.flatnonzero(np.append(True, score[o][1:] != score[o][:-1]))
+        p, n = (np.add.reduceat(np.where(side[:, None], w, 0.0), firsts, axis=0) for side in (positive[o], ~positive[o]))
+        if score[o[0]] == tied_at:
+            # a score that goes on: its earlier positives have half a pair with each new negative, its new positives with all its negatives
+            won += 0.5 * open_positive * n[0] + p[0] * (below - tied + 0.5 * (tied + n[0]))
+            below, above, tied, open_positive = below + n[0], above + p[0], tied + n[0], open_positive + p[0]
+            p, n = p[1:], n[1:]
+        if len(p):
+            before = below + np.cumsum(n, axis=0) - n
+            won += (p * (before + 0.5 * n)).sum(0)
+            below, above, tied, open_positive = below + n.sum(0), above + p.sum(0), n[-1], p[-1]
+        tied_at = score[o[-1]]
+    return won, above, below
+
+
 def stratified_boot(oof: DataFrame, draws: DataFrame, keys: Sequence[str], stratum: str, score: str = "score") -> DataFrame:
-    """Observation-level AUC within strata for draws over the whole sample: (keys, stratum, draw, value)."""
-    rows = cut(oof.groupBy(*keys, stratum, "source_id", "positive", score).agg(F.count(F.lit(1)).alias("c")))
-    # a draw has no more distinct scores than its stratum
-    n_cells = cells_for(rows.select(*keys, stratum, score).distinct(), [*keys, stratum])
-    j = rows.join(spread(draws, "draw"), "source_id")
-    return auc(j, [*keys, stratum, "draw"], score, F.col("c") * F.col("m").cast("double"), n_cells=n_cells, out="value")
+    """Observation-level AUC within strata for draws over the whole sample: (keys, stratum, draw, value).
+
+    Rows, reduced to distinct scores of a source, are dealt into ranges of scores; a source's copies in all draws come to a range as one array for each block of draws,
+    and the range gives three arrays back. So rows times blocks, ranges times draws and (range, source) pairs times draws are what moves, never rows times draws.
+    A draw without rows of the stratum has no row, one without a class there a null. Rows of null score or source are left out.
+    """
+    group = [*keys, stratum]
+    rows = oof.where(F.col(score).isNotNull() & F.col("source_id").isNotNull())
+    rows = cut(rows.groupBy(*group, "source_id", "positive", F.col(score).cast("double").alias("_s")).agg(F.count(F.lit(1)).alias("c")))
+    n_cells = min(MAX_CELLS, -(-rows.count() // RANGE_ROWS))
+    rows = with_cells(rows, "_s", n_cells=n_cells) if n_cells > 1 else rows.withColumn("_cell", F.lit(0).cast("long"))
+    copies = cut(copies_by_block(draws))
+    blocks = sorted(r[0] for r in copies.select("block").distinct().collect())
+    at = [*group, "_cell", "block"]
+    dealt = rows.withColumn("block", F.explode(F.array(*[F.lit(b) for b in blocks]).cast("array<int>")))
+    arrays = rows.select(*group, "_cell", "source_id").distinct().join(copies, "source_id").select(*[F.col(c).alias(f"_{c}") for c in at], F.col("source_id").alias("source"), "d", "m")
+    kinds = dict(rows.dtypes)
+    names = ", ".join(f"`{c}` {kinds[c]}" for c in group)
+
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        sums = ranked_sums(left, right)
+        out = left.select(at).slice(0, 1)
+        for name, v in zip(("won", "above", "below"), sums, strict=True):
+            out = out.append_column(name, pa.array([v], pa.list_(pa.float64())))
+        return out
+
+    def whole(parts: pa.Table) -> pa.Table:
+        parts = parts.take(pc.sort_indices(parts, [("_cell", "ascending")]))
+        won, above, below = (np.stack([x.values.to_numpy() for x in parts.column(c)]) for c in ("won", "above", "below"))
+        pairs = (won + above * (np.cumsum(below, axis=0) - below)).sum(0)
+        p, n = above.sum(0), below.sum(0)
+        drawn = np.flatnonzero(p + n)
+        both = (p * n)[drawn]
+        value = np.where(both > 0, pairs[drawn] / np.where(both > 0, both, 1.0), np.nan)
+        first = parts.slice(0, 1)
+        columns = {c: pa.array([first.column(c)[0].as_py()] * len(drawn), first.schema.field(c).type) for c in group}
+        columns |= {"draw": pa.array(drawn + BLOCK * first.column("block")[0].as_py(), pa.int32()), "value": pa.array(value, pa.float64(), mask=both == 0)}
+        return pa.table(columns)
+
+    ranged = dealt.groupBy(*at).cogroup(arrays.groupBy(*[f"_{c}" for c in at])).applyInArrow(one, f"{names}, _cell long, block int, won array<double>, above array<double>, below array<double>")
+    # a group has one row of three arrays for each range, of which there are MAX_CELLS times two at most
+    return ranged.groupBy(*group, "block").applyInArrow(whole, f"{names}, draw int, value double")
 
 
 def stratum_gap(boot: DataFrame, stratum: str, first: str, second: str, keys: Sequence[str], value: str = "value") -> DataFrame:

@@ -132,12 +132,12 @@ def e9(spark, sf):
     return round_all(g.join(R.better_share(d, ["model", "metric"]), ["model", "metric"]), 11)
 
 
-STRAT = LONG_SCORES + f""", {draws_sql(40)}, c0 AS (SELECT model, stratum, source_id, positive, score, count(*) AS c FROM lng GROUP BY ALL),
+STRAT = LONG_SCORES + f""", {draws_sql()}, c0 AS (SELECT model, stratum, source_id, positive, score, count(*) AS c FROM lng GROUP BY ALL),
   j AS (SELECT c0.*, draw, (c * m)::DOUBLE AS w FROM c0 JOIN dr USING (source_id)), {auc_sql('sb', 'j', 'model, stratum, draw', 'score', 'w')}"""
 
 
 def strat(spark, sf):
-    return R.stratified_boot(long_scores(spark, sf), draws(spark, sf, 40), ["model"], "stratum")
+    return R.stratified_boot(long_scores(spark, sf), draws(spark, sf), ["model"], "stratum")
 
 
 @query("e10_stratified_bootstrap", f"WITH {STRAT} SELECT model, stratum, draw, round(auc, 9) AS value FROM sb")
