@@ -91,6 +91,24 @@ def influence(df: DataFrame, keys: Sequence[str], score: str, n_cells: int | Non
     return j.select(*keys, F.col("source_id").alias("left_out"), left.alias("auc"), F.try_divide(F.col("_u_all"), F.col("_p_all") * F.col("_neg")).alias("auc_all"))
 
 
+def mean_influence(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Difference of the class means of source values without each source in turn: (keys, left_out, positive, difference, difference_all).
+
+    df: one row per source with positive; null values take no part. Sums and counts by class give every left-out mean. A class that is then empty gives null.
+    """
+    d = df.where(F.col(value).isNotNull()).select(*keys, "source_id", "positive", F.col(value).cast("double").alias("_v"))
+    p = F.col("positive")
+    tot = d.groupBy(*keys).agg(F.sum(F.when(p, F.col("_v"))).alias("_s1"), F.sum(F.when(~p, F.col("_v"))).alias("_s0"), F.count(F.when(p, 1)).alias("_n1"), F.count(F.when(~p, 1)).alias("_n0"))
+    j = d.join(tot, list(keys)) if keys else attach_row(d, tot)
+
+    def mean(own, s, n):
+        return F.when(own, F.try_divide(F.col(s) - F.col("_v"), F.col(n) - 1)).otherwise(F.try_divide(F.col(s), F.col(n)))
+
+    left = mean(p, "_s1", "_n1") - mean(~p, "_s0", "_n0")
+    every = F.try_divide(F.col("_s1"), F.col("_n1")) - F.try_divide(F.col("_s0"), F.col("_n0"))
+    return j.select(*keys, F.col("source_id").alias("left_out"), "positive", left.alias("difference"), every.alias("difference_all"))
+
+
 def conformal(calibration: DataFrame, test: DataFrame, eps: float, leave_out: bool = False) -> DataFrame:
     """Class-conditional conformal p-values and sets from (source_id, positive, score) and (source_id, score).
 

@@ -77,12 +77,14 @@ def source_equal_weights(df: DataFrame, group: str, within_class: bool = False)
     return df.join(w, [group, "positive"])
 
 
-def median_fill(df: DataFrame, fold: str, columns: Sequence[str], n_folds: int) -> DataFrame:
-    """Per fold: missing values of test rows filled with the median of the training rows, plus a flag that any was missing.
+def median_fill(df: DataFrame, fold: str, columns: Sequence[str], n_folds: int, each: bool = False) -> DataFrame:
+    """Per fold: missing values of test rows filled with the median of the training rows, plus a flag that any was missing and, with each, one flag per column (<column>_missing).
 
     Medians come from distinct values: their counts are dealt to the folds that train on them, rows are not.
     """
     out = df.withColumn("any_missing", F.greatest(*[F.col(c).isNull().cast("int") for c in columns], F.lit(0)))
+    if each:
+        out = out.withColumns({f"{c}_missing": F.col(c).isNull().cast("int") for c in columns})
     for c in columns:
         v = df.where(F.col(c).isNotNull()).groupBy(fold, F.col(c).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_w"))
         others = F.array_except(F.sequence(F.lit(0), F.lit(n_folds - 1)), F.array(F.col(fold).cast("int")))

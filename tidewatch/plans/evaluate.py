@@ -173,11 +173,14 @@ def e13(spark, sf):
     return round_all(a.join(b, "draw"), 9)
 
 
-@query("e14_proper_scores", f"""WITH {ST}, {draws_sql()}, ps AS (SELECT model, source_id, positive, greatest(0.01e0, least(0.99e0, score)) AS p FROM tb),
+PROPER = f"""WITH {ST}, {draws_sql()}, ps AS (SELECT model, source_id, positive, greatest(0.01e0, least(0.99e0, score)) AS p FROM tb),
   pv AS (SELECT model, source_id, positive, CASE WHEN positive THEN -ln(p) ELSE -ln(1 - p) END AS logloss, CASE WHEN positive THEN pow(1 - p, 2) ELSE p * p END AS brier FROM ps),
   bd AS (SELECT model, draw, (sum(CASE WHEN positive THEN logloss * m END) / sum(CASE WHEN positive THEN m END) + sum(CASE WHEN NOT positive THEN logloss * m END) / sum(CASE WHEN NOT positive THEN m END)) / 2 AS logloss,
   (sum(CASE WHEN positive THEN brier * m END) / sum(CASE WHEN positive THEN m END) + sum(CASE WHEN NOT positive THEN brier * m END) / sum(CASE WHEN NOT positive THEN m END)) / 2 AS brier FROM pv JOIN dr USING (source_id) GROUP BY ALL),
-  bl AS (SELECT model, draw, 'logloss' AS metric, logloss AS value FROM bd UNION ALL SELECT model, draw, 'brier', brier FROM bd)
+  bl AS (SELECT model, draw, 'logloss' AS metric, logloss AS value FROM bd UNION ALL SELECT model, draw, 'brier', brier FROM bd)"""
+
+
+@query("e14_proper_scores", f"""{PROPER}
   SELECT model, metric, round(quantile_cont(value, 0.025), 11) AS low, round(median(value), 11) AS mid, round(quantile_cont(value, 0.975), 11) AS high FROM bl GROUP BY ALL""")
 def e14(spark, sf):
     p = R.proper_scores(tables(spark, sf), ["model"]).join(draws(spark, sf), "source_id")
@@ -199,6 +202,19 @@ def residuals(spark, sf):
     return scores(spark, sf).groupBy("source_id").agg(F.max("positive").alias("positive"), F.avg(F.col("score_b") - F.col("score_a")).alias("residual"))
 
 
+@query("e14_paired_scores", f"""{PROPER}, pp AS (SELECT model, (avg(logloss) FILTER (positive) + avg(logloss) FILTER (NOT positive)) / 2 AS logloss, (avg(brier) FILTER (positive) + avg(brier) FILTER (NOT positive)) / 2 AS brier FROM pv GROUP BY 1),
+  pq AS (SELECT model, 'logloss' AS metric, logloss AS value FROM pp UNION ALL SELECT model, 'brier', brier FROM pp), pt AS (SELECT b.model, b.metric, b.value - a.value AS point FROM pq b JOIN pq a ON a.model = 'A' AND b.model <> 'A' AND a.metric = b.metric),
+  d AS (SELECT b.model, b.metric, b.value - a.value AS value FROM bl b JOIN bl a ON a.model = 'A' AND b.model <> 'A' AND a.draw = b.draw AND a.metric = b.metric), c AS ({ci('d', 'model, metric')})
+  SELECT model, metric, round(point, 11) AS point, low, high, n_valid_draws, {verdict()} FROM pt JOIN c USING (model, metric)""")
+def e14_paired(spark, sf):
+    """Proper scores of every other model less the reference's, on the same draws, with interval and verdict."""
+    scored = cut(R.proper_scores(tables(spark, sf), ["model"]))
+    b = R.melt(R.class_mean(scored.join(draws(spark, sf), "source_id"), ["model", "draw"], ["logloss", "brier"], F.col("m")), ["model", "draw"], ["logloss", "brier"])
+    whole = R.melt(R.class_mean(scored, ["model"], ["logloss", "brier"]), ["model"], ["logloss", "brier"])
+    points = R.paired_differences(whole, "model", "A", ["metric"]).withColumnRenamed("value", "point")
+    return round_all(R.interval_summary(R.paired_differences(cut(b), "model", "A", ["metric", "draw"]), points, ["model", "metric"]), 11)
+
+
 @query("e16_permutation_test", f"""WITH {RES}, {perm_sql('rs')}, o AS (SELECT avg(CASE WHEN positive THEN residual END) - avg(CASE WHEN NOT positive THEN residual END) AS d, count(*) AS n_sources, sum(positive::INTEGER)::BIGINT AS n_positive FROM rs),
   nd AS (SELECT perm, avg(CASE WHEN pos THEN residual END) - avg(CASE WHEN NOT pos THEN residual END) AS d FROM pr JOIN rs USING (source_id) GROUP BY 1)
   SELECT round(o.d, 9) AS d, n_sources, n_positive, round((SELECT stddev_pop(d) FROM nd), 9) AS null_sd, round((1 + (SELECT count(*) FROM nd, o WHERE abs(nd.d) >= abs(o.d) - 1e-15)) / {PERM + 1}e0, 9) AS p FROM o""")
@@ -281,6 +297,12 @@ def e23(spark, sf):
     return round_all(V.influence(long_scores(spark, sf), ["model"], "score"), 9)
 
 
+@query("e23_mean_influence", f"""WITH {ST} SELECT a.model, a.source_id AS left_out, a.positive, round(avg(b.score) FILTER (b.positive AND b.source_id <> a.source_id) - avg(b.score) FILTER (NOT b.positive AND b.source_id <> a.source_id), 9) AS difference,
+  round(avg(b.score) FILTER (b.positive) - avg(b.score) FILTER (NOT b.positive), 9) AS difference_all FROM tb a JOIN tb b USING (model) GROUP BY 1, 2, 3""")
+def e23_mean(spark, sf):
+    return round_all(V.mean_influence(tables(spark, sf), ["model"], "score"), 9)
+
+
 DRIFT = """dx AS (SELECT l_suppkey % 5 = 0 AS positive, (l_shipdate >= TIMESTAMP '1997-01-01')::INTEGER + (l_shipdate >= TIMESTAMP '1999-01-01')::INTEGER AS epoch, l_quantity / 51e0 AS score FROM lineitem)"""
 
 

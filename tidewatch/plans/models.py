@@ -84,6 +84,14 @@ def m6(spark, sf):
     return round_all(M.median_fill(r, "fold", ["f1", "f2"], 4).select("id", "f1", "f2", "any_missing"), 9)
 
 
+@query("m6_column_indicators", f"""WITH {ROWS}, g AS (SELECT id, fold, CASE WHEN id % 7 <> 0 THEN f1 END AS f1, CASE WHEN id % 5 <> 0 THEN f2 END AS f2 FROM vr),
+  m AS (SELECT t.fold, median(g.f1) AS m1, median(g.f2) AS m2 FROM (SELECT DISTINCT fold FROM g) t JOIN g ON g.fold <> t.fold GROUP BY 1)
+  SELECT id, round(coalesce(f1, m1), 9) AS f1, round(coalesce(f2, m2), 9) AS f2, (f1 IS NULL)::INTEGER AS f1_missing, (f2 IS NULL)::INTEGER AS f2_missing FROM g JOIN m USING (fold)""")
+def m6_columns(spark, sf):
+    r = rows(spark, sf).select("id", "fold", F.when(F.col("id") % 7 != 0, F.col("f1")).alias("f1"), F.when(F.col("id") % 5 != 0, F.col("f2")).alias("f2"))
+    return round_all(M.median_fill(r, "fold", ["f1", "f2"], 4, each=True).select("id", "f1", "f2", "f1_missing", "f2_missing"), 9)
+
+
 @query("m11_knn_classifier", f"""WITH {ROWS}, p AS (SELECT a.id, a.source_id, b.positive AS bp, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.f1 - b.f1) * (a.f1 - b.f1) + (a.f2 - b.f2) * (a.f2 - b.f2)), b.id) AS rank
   FROM vr a JOIN vr b ON a.source_id <> b.source_id), q AS (SELECT id, source_id, avg(bp::INTEGER) AS q FROM p WHERE rank <= 15 GROUP BY ALL),
   g AS (SELECT source_id, count(*) AS n, sum(positive::INTEGER) AS p FROM vr GROUP BY 1), t AS (SELECT source_id, (sum(p) OVER () - p) / (sum(n) OVER () - n)::DOUBLE AS pi FROM g)
