@@ -94,7 +94,8 @@ def copies_by_block(draws: DataFrame) -> DataFrame:
 def ranked_sums(rows: pa.Table, sources: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By draw of a block, for rows of one range of scores: won pairs inside the range (ties count half), positive weight, negative weight.
 
-    rows: source_id, positive, _s, c; sources: source, d, m. The running sum over ascending scores is a vector over the draws; MATRIX_ROWS rows are expanded at once.
+    rows: source_id, positive, _s, c; sources: source, d, m. The running sum of negative weights over ascending scores is a vector over the draws; MATRIX_ROWS rows of it
+    are there at once. A positive row has won half of the sum before its score and half of the sum up to it.
     """
     table = np.zeros((sources.num_rows + 1, BLOCK))  # the last row stands for sources that no draw took
     lengths = pc.list_value_length(sources.column("d")).to_numpy()
@@ -102,27 +103,37 @@ def ranked_sums(rows: pa.Table, sources: pa.Table) -> tuple[np.ndarray, np.ndarr
     at = pd.Index(sources.column("source").to_pandas()).get_indexer(rows.column("source_id").to_pandas())
     score, weight, positive = rows.column("_s").to_numpy(), rows.column("c").to_numpy().astype(float), rows.column("positive").to_numpy().astype(bool)
     order = np.argsort(score, kind="stable")
-    won, above, below = np.zeros(BLOCK), np.zeros(BLOCK), np.zeros(BLOCK)
-    tied, tied_at = np.zeros(BLOCK), np.nan  # negative weight of the score that the last rows had, already part of `below`
-    open_positive = np.zeros(BLOCK)
-    for lo in range(0, len(order), MATRIX_ROWS):
-        o = order[lo : lo + MATRIX_ROWS]
-        w = table[at[o]] * weight[o, None]
-        firsts = np.flatnonzero(np.append(True, score[o][1:] != score[o][:-1]))
-        p, n = (np.add.reduceat(np.where(side[:, None], w, 0.0), firsts, axis=0) for side in (positive[o], ~positive[o]))
-        if score[o[0]] == tied_at:
-            # a score that goes on: its earlier positives have half a pair with each new negative, its new positives with all its negatives
-            won += 0.5 * open_positive * n[0] + p[0] * (below - tied + 0.5 * (tied + n[0]))
-            below, above, tied, open_positive = below + n[0], above + p[0], tied + n[0], open_positive + p[0]
-            p, n = p[1:], n[1:]
-        if len(p):
-            before = below + np.cumsum(n, axis=0) - n
-            won += (p * (before + 0.5 * n)).sum(0)
-            below, above, tied, open_positive = below + n.sum(0), above + p.sum(0), n[-1], p[-1]
-        tied_at = score[o[-1]]
+    p, n = order[positive[order]], order[~positive[order]]
+    above = np.bincount(at[p] % len(table), weight[p], len(table)) @ table
+    below, won = np.zeros(BLOCK), np.zeros(BLOCK)
+    for side in ("left", "right"):
+        ends = np.searchsorted(score[n], score[p], side)  # ascending, since p is
+        # positives that have as many negatives before them share one sum
+        starts = np.flatnonzero(np.append(True, ends[1:] != ends[:-1])) if len(p) else np.zeros(0, np.int64)
+        below = np.zeros(BLOCK)
+        done = 0
+        for lo in range(0, len(starts), MATRIX_ROWS):
+            s = starts[lo : lo + MATRIX_ROWS]
+            upto = ends[s]
+            last = starts[lo + MATRIX_ROWS] if lo + MATRIX_ROWS < len(starts) else len(p)
+            mine = summed(table, at[p[s[0] : last]], weight[p[s[0] : last]], np.repeat(np.arange(len(s)), np.diff(np.append(s, last))), len(s))
+            steps = summed(table, at[n[done : upto[-1]]], weight[n[done : upto[-1]]], np.searchsorted(upto, np.arange(done, upto[-1]), "right"), len(s))
+            np.cumsum(steps, axis=0, out=steps)
+            won += 0.5 * (np.einsum("ij,ij->j", mine, steps) + mine.sum(0) * below)
+            below, done = below + steps[-1], int(upto[-1])
+        below = below + np.bincount(at[n[done:]] % len(table), weight[n[done:]], len(table)) @ table
     return won, above, below
 
 
+def summed(table: np.ndarray, at: np.ndarray, weight: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """Row g: the sum of weight times the table's row over the items of group g, of n groups; items are in the order of their groups."""
+    out = np.zeros((n, table.shape[1]))
+    if len(at):
+        starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        out[group[starts]] = np.add.reduceat(table[at] * weight[:, None], starts, axis=0)
+    return out
+
+
 def stratified_boot(oof: DataFrame, draws: DataFrame, keys: Sequence[str], stratum: str, score: str = "score") -> DataFrame:
     """Observation-level AUC within strata for draws over the whole sample: (keys, stratum, draw, value).
 
