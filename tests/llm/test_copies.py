@@ -162,3 +162,18 @@ def test_archives_round_trip(spark, monkeypatch):
         state.update(r.chunk)
         assert r.running_sha1 == state.hexdigest() and len(r.chunk) <= 1000
     assert state.hexdigest() == hashlib.sha1(big.encode()).hexdigest()
+
+
+def test_keep_one_with_repeated_ids_and_clashing_names(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, near, b, c = " ".join(words), " ".join([*words[:-1], "x"]), "one two three four five six", " ".join(f"v{i}" for i in range(40))
+    rows = [(1, a), (1, a), (1, a), (2, near), (3, b), (3, c), (4, c), (5, b), (6, ""), (6, None), (None, a), (None, a)]
+    table = spark.createDataFrame([(i, t, True, n, "d") for n, (i, t) in enumerate(rows)], "doc_id long, text string, _is boolean, id int, digest string")
+    kept = neardup.keep_one(table)
+    assert kept.columns == table.columns
+    got = kept.collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(1, a), (3, b), (3, c), (6, ""), (0, a), (0, a)])
+    # distinct ids take the other way
+    some = neardup.keep_one(table.where("id in (0, 3, 4, 6, 10)")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in some) == sorted([(1, a), (3, b), (4, c), (0, a)])
+    assert neardup.keep_one(table.limit(0)).count() == 0

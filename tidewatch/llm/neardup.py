@@ -13,11 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.bytehash import mix, word_hashes
-from tidewatch.llm.common import components, stored, text_or_empty
+from tidewatch.llm.common import components, numbered, stored, text_or_empty
 
 WORDS, THRESHOLD = 5, 0.8
 #: A pair of similarity s in order agrees in a sketch with a chance of about s ** ELEMENTS; at 0.8 it is missed in all with a chance below 0.0001, and texts that
@@ -244,10 +244,27 @@ def grouped(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each group the document of the smallest doc_id; columns as they were. Rows of a null doc_id stay; of rows with equal doc_id and text, one stays."""
-    kept = grouped(docs.where("doc_id is not null")).where("doc_id = component").select(F.col("doc_id").alias("_kept"), F.lit(True).alias("_is")).distinct()
-    out = docs.join(kept, docs["doc_id"] == kept["_kept"], "left").where("_is or doc_id is null")
-    return out.select(*[docs[c] for c in docs.columns])
+    """Of each group one document stays, that of the smallest doc_id (of different texts under one doc_id, that of the smallest SHA-256); columns as they were.
+
+    Rows of equal doc_id and text count as one: whichever of them stays, the others go. Rows of a null doc_id stay. An empty table gives no rows.
+    """
+    named = docs.where("doc_id is not null")
+    sha = F.sha2(text_or_empty(), 256)
+    texts = named.groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("rows"))
+    if not texts.where("rows > 1").isEmpty():
+        return distinct_kept(docs, named, sha)
+    kept = grouped(named.select("doc_id", "text")).where("doc_id = component").select(F.col("doc_id").alias("_kept"))
+    return named.join(kept, named["doc_id"] == kept["_kept"], "left_semi").unionByName(docs.where("doc_id is null"))
+
+
+def distinct_kept(docs: DataFrame, named: DataFrame, sha: Column) -> DataFrame:
+    """keep_one() where doc_ids repeat: each pair of doc_id and text gets a number, which the search takes as its id. A row travels as one column, so no name clashes."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = stored(named.select(F.col("doc_id").cast("long").alias("id"), sha.alias("sha"), row.alias("row")).dropDuplicates(["id", "sha"]))
+    keyed = stored(numbered(once, [], ["id", "sha"], "key", once.count()))
+    parts = grouped(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"))).select(F.col("doc_id").alias("key"), "component")
+    first = keyed.select("key", "id", "sha").join(parts, "key").groupBy("component").agg(F.min(F.struct("id", "sha", "key")).alias("first")).select(F.col("first.key").alias("key"))
+    return keyed.join(first, "key", "left_semi").select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
