@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Levels of the tree; what lies deeper is one wildcard.
-DEPTH = 4
+#: From this level on, rows of a branch of fewer than SUPPORT rows leave the loop: none of their segments could stay, so all are wildcards. The result is the same at any level.
+EARLY = 4
 #: A segment stays as it is with so many rows, and such a share of its siblings' rows.
 SUPPORT, SHARE = 10, 0.02
 #: Branches whose standardised difference is smaller are merged.
@@ -42,12 +42,24 @@ def ruled(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def templates(rows: DataFrame) -> DataFrame:
-    """The rows with their template. rows: host, segments (array), label (1 blocked, 0 allowed, null unknown)."""
-    now = rows.withColumn("template", F.lit(""))
-    for level in range(DEPTH):
-        now = stored(now.withColumn("_seg", F.try_element_at("segments", F.lit(level + 1))))
+    """The rows with their template, one level after the other until no row has a further segment. rows: host, segments (array), label (1 blocked, 0 allowed, null unknown)."""
+    now, done, level = stored(rows.withColumn("template", F.lit(""))), [], 0
+    while True:
+        done.append(now.where(F.size("segments") <= level))
+        now = now.where(F.size("segments") > level)
+        if now.isEmpty():
+            break
+        if level >= EARLY:
+            live = now.groupBy("host", "template").agg(F.count(F.lit(1)).alias("_live")).where(F.col("_live") >= SUPPORT)
+            now = stored(now.join(live, ["host", "template"], "left"))
+            rest = F.expr(f"concat(template, repeat('/*', size(segments) - {level}))")
+            done.append(now.where("_live is null").drop("_live").withColumn("template", rest))
+            now = now.where("_live is not null").drop("_live")
+            if now.isEmpty():
+                break
+        now = now.withColumn("_seg", F.element_at("segments", F.lit(level + 1)))
         counts = [F.count(F.lit(1)).alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked")]
-        branch = now.where("_seg is not null").groupBy("host", "template", "_seg").agg(*counts)
+        branch = now.groupBy("host", "template", "_seg").agg(*counts)
         whole = branch.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "blocked")])
         b = branch.join(whole, ["host", "template"])
         # the branch against its siblings together
@@ -58,16 +70,20 @@ def templates(rows: DataFrame) -> DataFrame:
         alone = F.col("n") == F.col("all_n")
         keep = b.where((F.col("n") >= SUPPORT) & (F.col("n") >= SHARE * F.col("all_n")) & (alone | differs)).select("host", "template", "_seg", F.lit(True).alias("_kept"))
         joined = now.join(keep, ["host", "template", "_seg"], "left")
-        part = F.when(F.col("_seg").isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), F.when(F.col("_kept"), F.col("_seg")).otherwise(F.lit("*"))))
-        now = joined.withColumn("template", F.concat("template", part)).drop("_seg", "_kept")
-    return now.withColumn("template", F.concat("template", F.when(F.size("segments") > DEPTH, F.lit("/**")).otherwise(F.lit(""))))
+        part = F.concat(F.lit("/"), F.when(F.col("_kept"), F.col("_seg")).otherwise(F.lit("*")))
+        now = stored(joined.withColumn("template", F.concat("template", part)).drop("_seg", "_kept"))
+        level += 1
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity.
 
     pages: page_id, url. A null url and one without :// have an empty host and path, no rule and the empty template. Repeated rows stay and are judged alike. Without any
-    labelled url the purity is 0 and everything is allowed. Other columns are not looked at.
+    labelled url the purity is 0 and everything is allowed. Paths may have any number of segments; empty ones are left out. Other columns are not looked at.
     """
     host, path = host_and_path(F.col("url").cast("string"))
     base = pages.select(F.col("page_id"), host.alias("host"), path.alias("path"))
