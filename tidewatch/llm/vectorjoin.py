@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import components, stored
+from tidewatch.llm.common import components, numbered, stored
 
 COSINE, BLOCKS = 0.9, 4
 #: Vectors at home in a cell on average, from which the number of axes that cut follows; so many at most meet so many visitors in one task.
@@ -162,36 +162,46 @@ def compare(plan):
     return run
 
 
+def matched(same: DataFrame, size: int, n: int, cosine: float, blocks: int) -> DataFrame:
+    """Links and the smallest id reached, from each group that a vector is in. same: id, weight, vector; n distinct vectors of one length."""
+    plan = same.sparkSession.sparkContext.broadcast(Plan(moments(same, size), n, cosine, blocks))
+    cells = assign(same.select("id", "weight", "vector"), plan)
+    sizes = cells.groupBy("block", "cell").agg(F.sum(F.col("home").cast("long")).alias("_h"), F.count(F.lit(1)).alias("_v"))
+    splits = stored(sizes.select("block", "cell", F.greatest(F.lit(1), F.ceil(F.col("_h") / HOME_ROWS)).cast("int").alias("_hs"), F.greatest(F.lit(1), F.ceil(F.col("_v") / VISIT_ROWS)).cast("int").alias("_vs")))
+    dealt = cells.join(splits, ["block", "cell"])
+    own = F.pmod(F.xxhash64("id"), F.col("_hs")).cast("int")
+    other = F.pmod(F.xxhash64("id", F.lit(7)), F.col("_vs")).cast("int")
+    # a group is a part of those at home against a part of all: the first go to every part of the second, and the second to every part of the first
+    as_home = dealt.where("home").select("*", own.alias("_i"), F.explode(F.sequence(F.lit(0), F.col("_vs") - 1)).alias("_j"), F.lit(True).alias("_role")).withColumn("visit", other == F.col("_j"))
+    as_visit = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("_hs") - 1)).alias("_i"), other.alias("_j"), F.lit(False).alias("_role")).withColumn("visit", F.lit(True))
+    # who is at home and also a visitor of the same group comes once
+    groups = as_home.unionByName(as_visit.where(~(F.col("home") & (F.col("_i") == own))))
+    groups = groups.withColumn("home", F.col("_role"))
+    return stored(groups.groupBy("block", "cell", "_i", "_j").applyInArrow(compare(plan), FOUND))
+
+
 def joined(rows: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vec_id, embedding; see digest()."""
     spark = rows.sparkSession
     # single-precision components stay so until a task computes with them; others become double
     rows = rows if dict(rows.dtypes)["embedding"] == "array<float>" else rows.withColumn("embedding", F.col("embedding").cast("array<double>"))
-    size = rows.select(F.max(F.when(usable("embedding"), F.size("embedding")))).first()[0] or 0
-    fits = usable("embedding") & (F.size("embedding") == size)
+    fits = usable("embedding")
     good = rows.where(fits).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector")).where("vec_id is not null")
     # equal vectors are one, with their number
-    same = stored(good.withColumn("_key", F.xxhash64("vector")).groupBy("_key", "vector").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight")))
-    n = same.count()
-    if n:
-        plan = spark.sparkContext.broadcast(Plan(moments(same, size), n, cosine, blocks))
-        cells = assign(same.select("id", "weight", "vector"), plan)
-        sizes = cells.groupBy("block", "cell").agg(F.sum(F.col("home").cast("long")).alias("_h"), F.count(F.lit(1)).alias("_v"))
-        splits = stored(sizes.select("block", "cell", F.greatest(F.lit(1), F.ceil(F.col("_h") / HOME_ROWS)).cast("int").alias("_hs"), F.greatest(F.lit(1), F.ceil(F.col("_v") / VISIT_ROWS)).cast("int").alias("_vs")))
-        dealt = cells.join(splits, ["block", "cell"])
-        own = F.pmod(F.xxhash64("id"), F.col("_hs")).cast("int")
-        other = F.pmod(F.xxhash64("id", F.lit(7)), F.col("_vs")).cast("int")
-        # a group is a part of those at home against a part of all: the first go to every part of the second, and the second to every part of the first
-        as_home = dealt.where("home").select("*", own.alias("_i"), F.explode(F.sequence(F.lit(0), F.col("_vs") - 1)).alias("_j"), F.lit(True).alias("_role")).withColumn("visit", other == F.col("_j"))
-        as_visit = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("_hs") - 1)).alias("_i"), other.alias("_j"), F.lit(False).alias("_role")).withColumn("visit", F.lit(True))
-        # who is at home and also a visitor of the same group comes once
-        groups = as_home.unionByName(as_visit.where(~(F.col("home") & (F.col("_i") == own))))
-        groups = groups.withColumn("home", F.col("_role"))
-        met = stored(groups.groupBy("block", "cell", "_i", "_j").applyInArrow(compare(plan), FOUND))
-    else:
-        met = spark.createDataFrame([], FOUND)
+    same = stored(good.withColumn("_key", F.xxhash64("vector")).groupBy("_key", "vector").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("weight")))
+    counts = {r[0]: r[1] for r in same.groupBy(F.size("vector")).count().collect()}
+    repeated = not same.groupBy("low").count().where("count > 1").isEmpty()
+    # a vec_id that stands for several vectors does not name one: then a number does
+    same = stored(numbered(same, [], ["_key", "vector"], "id", sum(counts.values()))) if repeated else same.withColumn("id", F.col("low"))
+    met = spark.createDataFrame([], FOUND)
+    for size, n in sorted(counts.items()):
+        if n > 1:
+            met = met.unionByName(matched(same.where(F.size("vector") == size), size, n, cosine, blocks))
     links = met.groupBy("id").agg(F.sum("links").alias("_links"))
     parts = components(same.select("id"), met.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
+    if repeated:
+        lowest = same.select("id", "low").join(parts, "id").groupBy("component").agg(F.min("low").alias("_low"))
+        parts = parts.join(lowest, "component").select("id", F.col("_low").alias("component"))
     classes = same.join(parts, "id").join(links, "id", "left").select("_key", "vector", "weight", F.coalesce("_links", F.lit(0)).alias("_links"), "component")
     base = rows.select(F.col("vec_id").alias("vec_id"), F.when(fits & F.col("vec_id").isNotNull(), F.col("embedding")).alias("vector")).withColumn("_key", F.when(F.col("vector").isNotNull(), F.xxhash64("vector")))
     out = base.join(classes, ["_key", "vector"], "left")
@@ -202,7 +212,8 @@ def joined(rows: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS) -> Dat
 def digest(rows: DataFrame) -> DataFrame:
     """Per row of vec_id, embedding: n_links (other vectors of cosine COSINE or more), component_id (smallest vec_id that links reach), kept.
 
-    A vector that is null, empty, zero, of another length than the longest, or that holds a null or non-finite component links with nothing; so does a row of a null vec_id. Equal
+    A vector that is null, empty, zero, or that holds a null or non-finite component links with nothing; so does a row of a null vec_id. Vectors of different lengths never link; each
+    length that several vectors have is a join of its own. Different vectors of one vec_id are vectors of their own, in row, links and component. Equal
     vectors are compared once and counted as often as they occur; repeated rows link with each other. Other columns are not looked at. An empty table gives no rows.
     """
     return joined(rows)
