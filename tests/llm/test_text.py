@@ -201,7 +201,7 @@ def test_toxicity_knows_rare_words_of_a_large_corpus(spark, monkeypatch):
     d, table = docs(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int")
     got = {r.doc_id: r.score for r in toxicity.digest(d, table).collect()}
     assert len(got) == len(texts) and got[1500] > got[1501] + 0.1 and got[1500] == got[1502]
-    monkeypatch.setattr(toxicity, "FILTER_KEYS", 0)
+    monkeypatch.setattr(toxicity, "HOT_KEYS", 0)
     monkeypatch.setattr(toxicity, "BROADCAST_ROWS", 0)
     again = {r.doc_id: r.score for r in toxicity.digest(d, table).collect()}
     assert all(abs(again[i] - got[i]) < 1e-9 for i in got)

@@ -81,7 +81,7 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
 HOT_KEYS = 65_536
 
 
-def known(rows: DataFrame, table: DataFrame, key: str, n: int, hot_keys: int = HOT_KEYS) -> DataFrame:
+def known(rows: DataFrame, table: DataFrame, key: str | list[str], n: int, hot_keys: int = HOT_KEYS) -> DataFrame:
     """The rows with the columns that the table has for their key (null where it has none); keys are distinct there, and its column _weight (dropped) says how many rows have the key.
 
     n: how many rows there are. Keys with more than n / hot_keys rows, of which there are fewer than hot_keys, are broadcast, so their rows stay where they are;

@@ -1,14 +1,16 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-A bigram model of toxic and one of ordinary text, from labelled rows. Each interpolates its discounted bigram counts with its discounted
-continuation counts (how many different words a word follows), and these with backoff counts that both share: the continuation counts of either. A rare
-expression so has nearly the same chance in both. Counts, chances and log ratios are tables of words and pairs of words, named by 64-bit hashes, and grow with the
-labelled rows; a text's distinct words and pairs are joined with the ratios and summed. The score is a logistic function, fitted on labelled rows that the models
+A bigram model of toxic and one of ordinary text, from labelled rows. Counts are of documents, so that a burst inside one document counts once. Each class interpolates its
+discounted continuation counts (how many different words a word follows) with backoff counts that both classes share, and its discounted bigram counts with the bigram's share in
+both classes, moved by what its own lower order says; discounts come from counts of counts. A rare expression so has nearly the same chance in both. A log ratio weighs as much as its
+evidence: with g twice the log-likelihood gained by telling the classes apart, 1 - EVIDENCE / g of it counts. Counts and log ratios are tables of words and pairs of words, named by
+64-bit hashes, and grow with the labelled rows; a text's distinct words and pairs meet them and are summed. The score is a logistic function, fitted on labelled rows that the models
 have not seen, of the difference of log-likelihoods by word.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,18 +21,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.bytehash import mix, word_hashes
+from tidewatch.llm.common import known as copies_known
 from tidewatch.llm.common import stored, text_or_empty
 
 #: Labelled rows that are sent to executors at most; more are joined by a shuffle, with the same result.
 BROADCAST_ROWS = 1_000_000
-#: With so many ratios at most, a bitmap of 2 ** FILTER_BITS bits tells the tasks which words and pairs to leave out before the join; with more, all are joined.
-FILTER_KEYS, FILTER_BITS = 4_000_000, 26
+#: A bitmap of 2 ** FILTER_BITS bits tells the tasks which words and pairs have a ratio.
+FILTER_BITS = 26
+#: Words and pairs that have more than one HOT_KEYS-th of all labelled sightings, of which there are fewer than HOT_KEYS, are sent to the tasks; the others are joined.
+HOT_KEYS = 65_536
 #: crc32(doc_id) mod 5: 0 is held out, 1 fits the logistic function, the rest the models.
 PARTS, HELD_OUT, CALIBRATION = 5, 0, 1
-#: Taken off each count. So many sightings alone say nothing about a class.
-DISCOUNT = 3
-#: An expression whose chances differ by a smaller log ratio counts as neutral.
-LEAST = 1.0
+#: Twice the log-likelihood that chance alone exceeds once in a hundred expressions (chi-square of one degree, fixed value).
+EVIDENCE = 6.63
 #: Words that a task counts before it passes them on.
 FLUSH = 1 << 20
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
@@ -53,8 +56,8 @@ def hashed(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return v, w, mix(mix(v + np.uint64(1)) + w)
 
 
-def bigram_counts(rows: DataFrame) -> DataFrame:
-    """key, v, w, toxic, ordinary: counts of neighbouring words and the pair's hash. rows: text, toxic. Pairs are counted in each task before they are shuffled."""
+def expression_counts(rows: DataFrame) -> DataFrame:
+    """key, pair, v, w, toxic, ordinary: documents of either class that hold a word (v is then 0) or a pair of neighbouring words. rows: text, toxic. A task counts before the shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[list[tuple]] = [[], []]
@@ -62,77 +65,108 @@ def bigram_counts(rows: DataFrame) -> DataFrame:
 
         def counts() -> pd.DataFrame:
             out = []
-            for c, some in enumerate(held):
-                v, w, key = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (list(zip(*some, strict=True)) or [(), (), ()]))
+            for pair, some in itertools.product((False, True), (0, 1)):
+                v, w, key = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (list(zip(*[x[pair] for x in held[some]], strict=True)) or [(), (), ()]))
                 key, at, n = np.unique(key, return_index=True, return_counts=True)
-                out.append(pd.DataFrame({"key": key.view(np.int64), "v": v[at].view(np.int64), "w": w[at].view(np.int64), "toxic": n * c, "ordinary": n * (1 - c)}))
+                out.append(pd.DataFrame({"key": key.view(np.int64), "pair": pair, "v": v[at].view(np.int64), "w": w[at].view(np.int64), "toxic": n * some, "ordinary": n * (1 - some)}))
             return pd.concat(out)
 
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                held[int(toxic)].append(hashed(text))
-                size += len(held[int(toxic)][-1][0])
+                v, w, key = hashed(text)
+                single = np.unique(w)
+                key, at = np.unique(key, return_index=True)
+                held[int(toxic)].append(((np.zeros_like(single), single, single), (v[at], w[at], key)))
+                size += len(key)
                 if size >= FLUSH:
                     yield counts()
                     held, size = [[], []], 0
         yield counts()
 
-    return rows.mapInPandas(run, "key long, v long, w long, toxic long, ordinary long").groupBy("key", "v", "w").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    out = rows.mapInPandas(run, "key long, pair boolean, v long, w long, toxic long, ordinary long")
+    return out.groupBy("key", "pair", "v", "w").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 @dataclass
 class Model:
-    """key, ratio: the log ratio of toxic to ordinary chance of a word, and for a pair what it differs by from its second word's; 0 for what is not in the table."""
+    """key, ratio: the weighed log ratio of toxic to ordinary chance of a word, and for a pair what it differs by from its second word's; 0 for what has no row.
+
+    sent: bits of the keys of ratios, and the keys (in order) and ratios of what is frequent, which has no row in ratios.
+    """
 
     ratios: DataFrame
-    known: Broadcast | None  # bits of the keys
+    sent: Broadcast
     line: np.ndarray  # logistic coefficients
 
 
-def over(count: str) -> Column:
-    return F.greatest(F.col(count) - DISCOUNT, F.lit(0))
+def evidence(toxic: str, ordinary: str, n: dict[str, int]) -> Column:
+    """Twice the log-likelihood gained if documents of either class hold an expression at a rate of their own."""
+    both = (F.col(toxic) + F.col(ordinary)) / float(n["toxic"] + n["ordinary"])
+    parts = [F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (both * float(n[k])))).otherwise(0.0) for c, k in ((toxic, "toxic"), (ordinary, "ordinary"))]
+    return (parts[0] + parts[1]) * 2
 
 
-def ratio(toxic: Column, ordinary: Column, counts: tuple[str, str]) -> Column:
-    """Log of toxic to ordinary chance. It is 0 for what neither class has seen more than DISCOUNT times, and where it is nearer to 0 than LEAST."""
-    out = F.log(toxic / ordinary)
-    return F.when((F.abs(out) < LEAST) | (F.greatest(*counts) <= DISCOUNT), 0.0).otherwise(out)
+def discount(once: int | None, twice: int | None) -> float:
+    """Kneser and Ney's estimate from the numbers of what was counted once and twice."""
+    return (once or 0) / ((once or 0) + 2 * (twice or 0)) if once else 0.5
 
 
-def log_ratios(pairs: DataFrame) -> DataFrame:
-    """Model.ratios of bigram_counts().
+def taken(rows: DataFrame, columns: dict[str, str]) -> dict[str, tuple[float, int, int]]:
+    """By class the discount, the sum of the counts and the number of those above 0."""
+    sums = rows.agg(*[f.alias(f"{c}{i}") for c, x in columns.items() for i, f in enumerate((F.count_if(F.col(x) == 1), F.count_if(F.col(x) == 2), F.sum(x), F.count_if(F.col(x) > 0)))]).first()
+    return {c: (discount(sums[f"{c}0"], sums[f"{c}1"]), sums[f"{c}2"] or 0, sums[f"{c}3"]) for c in columns}
 
-    A class's chance of an expression: its count less DISCOUNT, and what the discount takes off in the context goes to the backoff, with more counts for either class.
-    """
-    words = stored(pairs.groupBy("w").agg(*[F.sum((F.col(c) > 0).cast("long")).alias(f"f_{c}") for c in ("toxic", "ordinary")]))
-    total = words.agg(*[F.coalesce(f, F.lit(0)) for c in ("toxic", "ordinary") for f in (F.sum(f"f_{c}"), F.sum(over(f"f_{c}")))], F.coalesce(F.sum(F.expr("f_toxic + f_ordinary + 0.5D")), F.lit(1.0))).first()
-    totals = {"toxic": (max(1, total[0]), total[1]), "ordinary": (max(1, total[2]), total[3])}
-    more = float(min(n for n, _ in totals.values()))
-    shared = F.expr("f_toxic + f_ordinary + 0.5D") / F.lit(float(total[4]))
-    plain = words.select("w", "f_toxic", "f_ordinary", *[((over(f"f_{c}") + (n - left + more) * shared) / (n + more)).alias(f"p_{c}") for c, (n, left) in totals.items()])
-    plain = stored(plain.withColumn("single", ratio(F.col("p_toxic"), F.col("p_ordinary"), ("f_toxic", "f_ordinary"))))
-    before = pairs.groupBy("v").agg(*[f.alias(f"{tag}_{c}") for c in ("toxic", "ordinary") for tag, f in (("n", F.sum(c)), ("left", F.sum(over(c))))])
-    both = pairs.where(F.col("toxic") + F.col("ordinary") > DISCOUNT).join(before, "v").join(plain, "w")
+
+def log_ratios(counts: DataFrame, n: dict[str, int]) -> DataFrame:
+    """Model.ratios of expression_counts() with the labelled sightings as weight, for all words and pairs whose evidence is above EVIDENCE. n: labelled documents by class."""
+    classes = ("toxic", "ordinary")
+    seen_in = [F.count_if(F.col("pair") & (F.col(c) > 0)).alias(f"f_{c}") for c in classes]
+    words = stored(counts.groupBy("w").agg(*seen_in, *[F.sum(F.when(~F.col("pair"), F.col(c)).otherwise(0)).alias(c) for c in classes]))
+    low = taken(words, {c: f"f_{c}" for c in classes})
+    total = sum(x[1] for x in low.values()) + 0.5 * words.count() or 1.0
+    more = float(max(1, min(x[1] for x in low.values())))
+    shared = F.expr("f_toxic + f_ordinary + 0.5D") / F.lit(float(total))
+
+    def chance(c: str) -> Column:
+        d, size, kinds = low[c]
+        return (F.greatest(F.col(f"f_{c}") - d, F.lit(0.0)) + (d * kinds + more) * shared) / (size + more)
+
+    plain = words.select("w", *classes, *[chance(c).alias(f"p_{c}") for c in classes]).withColumn("single", F.log(F.col("p_toxic") / F.col("p_ordinary")))
+    weight = F.col("toxic") + F.col("ordinary")
+
+    def weighed(rows: DataFrame, key: str, value: Column) -> DataFrame:
+        some = rows.withColumn("_g", evidence("toxic", "ordinary", n)).where(F.col("_g") > EVIDENCE)
+        return some.select(F.col(key).alias("key"), (value * (1 - EVIDENCE / F.col("_g"))).alias("ratio"), weight.alias("weight"))
+
+    pairs = counts.where("pair")
+    high = taken(pairs, {c: c for c in classes})
+    before = pairs.groupBy("v").agg(*[f.alias(f"{tag}_{c}") for c in classes for tag, f in (("n", F.sum(c)), ("t", F.count_if(F.col(c) > 0)))])
+    telling = pairs.where(evidence("toxic", "ordinary", n) > EVIDENCE)
+    both = telling.join(before, "v").join(plain.select("w", "p_toxic", "p_ordinary", "single"), "w")
     seen = F.col("n_toxic") + F.col("n_ordinary")
-    chance = {}
-    for c in ("toxic", "ordinary"):  # the share of a pair in either class, moved by what its second word says
-        pooled = (F.col("toxic") + F.col("ordinary")) / F.greatest(F.lit(1), seen) * F.col(f"p_{c}") * 2 / (F.col("p_toxic") + F.col("p_ordinary"))
-        chance[c] = (over(c) + (F.col(f"n_{c}") - F.col(f"left_{c}") + seen + 1) * pooled) / (F.col(f"n_{c}") + seen + 1)
-    paired = both.select("key", (ratio(chance["toxic"], chance["ordinary"], ("toxic", "ordinary")) - F.col("single")).alias("ratio"))
-    return plain.select(F.col("w").alias("key"), F.col("single").alias("ratio")).union(paired).where("ratio <> 0")
+
+    def follows(c: str) -> Column:
+        pooled = weight / seen * F.col(f"p_{c}") * 2 / (F.col("p_toxic") + F.col("p_ordinary"))
+        return (F.greatest(F.col(c) - high[c][0], F.lit(0.0)) + (high[c][0] * F.col(f"t_{c}") + seen + 1) * pooled) / (F.col(f"n_{c}") + seen + 1)
+
+    return weighed(plain, "w", F.col("single")).union(weighed(both, "key", F.log(follows("toxic") / follows("ordinary")) - F.col("single")))
 
 
 def bits(keys: np.ndarray) -> np.ndarray:
     return keys.view(np.int64) & ((1 << FILTER_BITS) - 1)
 
 
-def known_keys(ratios: DataFrame) -> Broadcast | None:
-    if ratios.count() > FILTER_KEYS:
-        return None
-    at = np.array([r[0] for r in ratios.select(F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).cast("int")).distinct().collect()], np.int64)
-    known = np.zeros(1 << FILTER_BITS, bool)
-    known[at] = True
-    return ratios.sparkSession.sparkContext.broadcast(np.packbits(known, bitorder="little"))
+def sent(ratios: DataFrame, hot: Column) -> Broadcast:
+    """Model.sent. The bitmap is put together on the executors, 64 bits a row: at most 2 ** (FILTER_BITS - 6) rows, whatever the number of keys."""
+    low = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    word = F.shiftright(low, 6).cast("int").alias("at")
+    table = ratios.where(~hot).select(word, F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+    known = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    known[table.column("at").to_numpy()] = table.column("bit").to_numpy()
+    frequent = ratios.where(hot).select("key", "ratio").toArrow()
+    keys, values = (frequent.column(c).to_numpy() for c in ("key", "ratio"))
+    order = np.argsort(keys.view(np.uint64))
+    return ratios.sparkSession.sparkContext.broadcast((known, keys.view(np.uint64)[order], values[order]))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -141,36 +175,44 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_text_a": F.xxhash64(text), "_text_b": F.xxhash64(F.lit(1), text)})
 
 
-def features(docs: DataFrame, ratios: DataFrame, known: Broadcast | None) -> DataFrame:
-    """_text_a, _text_b of each different text with a, b, c: the mean log ratio by word, that times the root of the number of words, and the log of the number."""
+def features(docs: DataFrame, ratios: DataFrame, sent: Broadcast) -> DataFrame:
+    """_text_a, _text_b of each different text with its number of copies and a, b, c: the mean log ratio by word, that times the root of the number of words, and the log of the number."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, hot, value = sent.value
+        made = 0
         for batch in batches:
             held = []
             size = 0
             for i, text in enumerate(batch["text"]):
                 _, w, pair = hashed(text)
-                key = np.concatenate((w, pair))
-                if known is not None and len(key):
-                    at = bits(key)
-                    key = key[(known.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0]
-                key, n = np.unique(key, return_counts=True)
-                held.append((np.full(len(key), i), key, n))
+                key, n = np.unique(np.concatenate((w, pair)), return_counts=True)
+                at = np.minimum(np.searchsorted(hot, key), len(hot) - 1) if len(hot) else np.zeros(len(key), int)
+                frequent = hot[at] == key if len(hot) else np.zeros(len(key), bool)
+                here = (value[at[frequent]] * n[frequent]).sum() if len(hot) else 0.0
+                low = bits(key)
+                some = ~frequent & ((known[low >> 6] >> (low & 63)) & 1 > 0)
+                made += 1
+                # what is summed here has a key of its own, which deals it over the tasks of the join
+                key, m, done = np.append(key[some], mix(w[:1] + np.uint64(made)) if len(w) else np.zeros(1, np.uint64)), np.append(n[some], here), np.append(np.zeros(some.sum(), bool), True)
+                held.append((np.full(len(key), i), key, m, done))
                 size += len(key)
                 if size >= FLUSH or i == len(batch) - 1:
-                    row, keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
-                    yield pd.DataFrame({"_text_a": batch["_text_a"].to_numpy()[row], "_text_b": batch["_text_b"].to_numpy()[row], "key": keys.view(np.int64), "m": n})
+                    row, keys, m, done = (np.concatenate(x) for x in zip(*held, strict=True))
+                    keep = ~done | (m != 0)
+                    row, keys, m, done = row[keep], keys[keep], m[keep], done[keep]
+                    yield pd.DataFrame({"_text_a": batch["_text_a"].to_numpy()[row], "_text_b": batch["_text_b"].to_numpy()[row], "key": keys.view(np.int64), "m": m.astype(float), "done": done})
                     held, size = [], 0
 
     name = ["_text_a", "_text_b"]
     texts = keyed(docs.select(text_or_empty().alias("text")))
-    met = texts.mapInPandas(run, "_text_a long, _text_b long, key long, m long").join(ratios, "key")
-    sums = met.groupBy(*name).agg(F.sum(F.col("m") * F.col("ratio")).alias("sum"))
+    met = texts.mapInPandas(run, "_text_a long, _text_b long, key long, m double, done boolean").join(ratios, "key", "left")
+    sums = met.groupBy(*name).agg(F.sum(F.when(F.col("done"), F.col("m")).otherwise(F.col("m") * F.coalesce("ratio", F.lit(0.0)))).alias("sum"))
     # each copy of a text has brought its words
     copies = texts.select(*name, F.regexp_count("text", F.lit(WORD)).alias("n")).groupBy(*name).agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     total = F.coalesce(F.col("sum") / F.col("copies"), F.lit(0.0))
     some = F.greatest(F.col("n"), F.lit(1))
-    return copies.join(sums, name, "left").select(*name, (total / some).alias("a"), (total / F.sqrt(some)).alias("b"), F.log1p("n").alias("c"))
+    return copies.join(sums, name, "left").select(*name, "copies", (total / some).alias("a"), (total / F.sqrt(some)).alias("b"), F.log1p("n").alias("c"))
 
 
 def fit_line(rows: DataFrame) -> np.ndarray:
@@ -208,14 +250,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         some = rows.where(which)
         return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(some) if small else some, "doc_id").select("text", "toxic")
 
-    ratios = stored(log_ratios(stored(bigram_counts(with_label(part() != CALIBRATION)))))
-    known = known_keys(ratios)
+    learnt = with_label(part() != CALIBRATION)
+    n = {"toxic": 0, "ordinary": 0} | {("ordinary", "toxic")[r[0]]: r[1] for r in learnt.groupBy("toxic").count().collect()}
+    if not all(n.values()):
+        return None
+    ratios = stored(log_ratios(stored(expression_counts(learnt)), n))
+    hot = F.col("weight") * HOT_KEYS > (ratios.agg(F.sum("weight")).first()[0] or 0)
+    known, rest = sent(ratios, hot), ratios.where(~hot).select("key", "ratio")
     learn = with_label(part() == CALIBRATION)
-    x = keyed(learn).select("_text_a", "_text_b", "toxic").join(features(learn, ratios, known), ["_text_a", "_text_b"])
+    x = keyed(learn).select("_text_a", "_text_b", "toxic").join(features(learn, rest, known), ["_text_a", "_text_b"])
     x = stored(x.select("a", "b", "c", "toxic"))
     if x.select("toxic").distinct().count() < 2:
         return None
-    return Model(ratios, known, fit_line(x))
+    return Model(rest, known, fit_line(x))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -231,8 +278,10 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     k = [float(x) for x in model.line]
     line = k[0] + k[1] * F.col("a") + k[2] * F.col("b") + k[3] * F.col("c")
     score = 1 / (1 + F.exp(-F.greatest(F.least(line, F.lit(40.0)), F.lit(-40.0))))
-    by_text = features(docs, model.ratios, model.known).select("_text_a", "_text_b", score.alias("score"))
-    out = keyed(base).join(by_text, ["_text_a", "_text_b"]).select(*[F.col(f"`{c}`") for c in base.columns], "score")
+    by_text = stored(features(docs, model.ratios, model.sent).select("_text_a", "_text_b", score.alias("score"), F.col("copies").alias("_weight")))
+    n = by_text.agg(F.coalesce(F.sum("_weight"), F.lit(0))).first()[0]
+    # texts of very many copies are sent to the rows, so that their rows stay where they are
+    out = copies_known(keyed(base), by_text, ["_text_a", "_text_b"], n).select(*[F.col(f"`{c}`") for c in base.columns], "score")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
