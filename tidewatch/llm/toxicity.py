@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from tidewatch.llm.bytehash import mix, word_hashes
 from tidewatch.llm.common import known as copies_known
@@ -56,8 +57,14 @@ def hashed(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return v, w, mix(mix(v + np.uint64(1)) + w)
 
 
-def expression_counts(rows: DataFrame) -> DataFrame:
-    """key, pair, v, w, toxic, ordinary: documents of either class that hold a word (v is then 0) or a pair of neighbouring words. rows: text, toxic. A task counts before the shuffle."""
+COUNTS = ("toxic", "ordinary", "first_toxic", "first_ordinary")
+
+
+def pair_counts(rows: DataFrame) -> DataFrame:
+    """v, w, and documents of either class that hold the pair of neighbouring words, and in how many it has the first w. rows: text, toxic.
+
+    The last two summed over v are the documents with w. A task counts before the shuffle; its rows are in order of v, as are those of a stored part, so that v takes little room.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[list[tuple]] = [[], []]
@@ -65,26 +72,36 @@ def expression_counts(rows: DataFrame) -> DataFrame:
 
         def counts() -> pd.DataFrame:
             out = []
-            for pair, some in itertools.product((False, True), (0, 1)):
-                v, w, key = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (list(zip(*[x[pair] for x in held[some]], strict=True)) or [(), (), ()]))
-                key, at, n = np.unique(key, return_index=True, return_counts=True)
-                out.append(pd.DataFrame({"key": key.view(np.int64), "pair": pair, "v": v[at].view(np.int64), "w": w[at].view(np.int64), "toxic": n * some, "ordinary": n * (1 - some)}))
-            return pd.concat(out)
+            for c, some in enumerate(held):
+                v, w, key, first = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (list(zip(*some, strict=True)) or [()] * 4))
+                _, at, to, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+                first = np.bincount(to, weights=first, minlength=len(n)).astype(np.int64)
+                values = (n * c, n * (1 - c), first * c, first * (1 - c))
+                out.append(pd.DataFrame({"v": v[at].view(np.int64), "w": w[at].view(np.int64), **dict(zip(COUNTS, values, strict=True))}))
+            return pd.concat(out).sort_values(["v", "w"])
 
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
                 v, w, key = hashed(text)
-                single = np.unique(w)
+                first = np.zeros(len(w), np.int64)
+                first[np.unique(w, return_index=True)[1]] = 1
                 key, at = np.unique(key, return_index=True)
-                held[int(toxic)].append(((np.zeros_like(single), single, single), (v[at], w[at], key)))
+                held[int(toxic)].append((v[at], w[at], key, first[at]))
                 size += len(key)
                 if size >= FLUSH:
                     yield counts()
                     held, size = [[], []], 0
         yield counts()
 
-    out = rows.mapInPandas(run, "key long, pair boolean, v long, w long, toxic long, ordinary long")
-    return out.groupBy("key", "pair", "v", "w").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    out = rows.mapInPandas(run, "v long, w long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return out.groupBy("v", "w").agg(*[F.sum(c).alias(c) for c in COUNTS]).sortWithinPartitions("v", "w")
+
+
+@F.pandas_udf(LongType())
+def pair_key(v: pd.Series, w: pd.Series) -> pd.Series:
+    """The hash that hashed() gives a pair."""
+    v, w = (x.to_numpy(np.int64).view(np.uint64) for x in (v, w))
+    return pd.Series(mix(mix(v + np.uint64(1)) + w).view(np.int64))
 
 
 @dataclass
@@ -117,11 +134,10 @@ def taken(rows: DataFrame, columns: dict[str, str]) -> dict[str, tuple[float, in
     return {c: (discount(sums[f"{c}0"], sums[f"{c}1"]), sums[f"{c}2"] or 0, sums[f"{c}3"]) for c in columns}
 
 
-def log_ratios(counts: DataFrame, n: dict[str, int]) -> DataFrame:
-    """Model.ratios of expression_counts() with the labelled sightings as weight, for all words and pairs whose evidence is above EVIDENCE. n: labelled documents by class."""
+def log_ratios(pairs: DataFrame, n: dict[str, int]) -> DataFrame:
+    """Model.ratios of pair_counts() with the labelled sightings as weight, for all words and pairs whose evidence is above EVIDENCE. n: labelled documents by class."""
     classes = ("toxic", "ordinary")
-    seen_in = [F.count_if(F.col("pair") & (F.col(c) > 0)).alias(f"f_{c}") for c in classes]
-    words = stored(counts.groupBy("w").agg(*seen_in, *[F.sum(F.when(~F.col("pair"), F.col(c)).otherwise(0)).alias(c) for c in classes]))
+    words = stored(pairs.groupBy("w").agg(*[F.count_if(F.col(c) > 0).alias(f"f_{c}") for c in classes], *[F.sum(f"first_{c}").alias(c) for c in classes]))
     low = taken(words, {c: f"f_{c}" for c in classes})
     total = sum(x[1] for x in low.values()) + 0.5 * words.count() or 1.0
     more = float(max(1, min(x[1] for x in low.values())))
@@ -134,14 +150,13 @@ def log_ratios(counts: DataFrame, n: dict[str, int]) -> DataFrame:
     plain = words.select("w", *classes, *[chance(c).alias(f"p_{c}") for c in classes]).withColumn("single", F.log(F.col("p_toxic") / F.col("p_ordinary")))
     weight = F.col("toxic") + F.col("ordinary")
 
-    def weighed(rows: DataFrame, key: str, value: Column) -> DataFrame:
+    def weighed(rows: DataFrame, key: Column, value: Column) -> DataFrame:
         some = rows.withColumn("_g", evidence("toxic", "ordinary", n)).where(F.col("_g") > EVIDENCE)
-        return some.select(F.col(key).alias("key"), (value * (1 - EVIDENCE / F.col("_g"))).alias("ratio"), weight.alias("weight"))
+        return some.select(key.alias("key"), (value * (1 - EVIDENCE / F.col("_g"))).alias("ratio"), weight.alias("weight"))
 
-    pairs = counts.where("pair")
     high = taken(pairs, {c: c for c in classes})
     before = pairs.groupBy("v").agg(*[f.alias(f"{tag}_{c}") for c in classes for tag, f in (("n", F.sum(c)), ("t", F.count_if(F.col(c) > 0)))])
-    telling = pairs.where(evidence("toxic", "ordinary", n) > EVIDENCE)
+    telling = pairs.where(evidence("toxic", "ordinary", n) > EVIDENCE).select("v", "w", *classes)
     both = telling.join(before, "v").join(plain.select("w", "p_toxic", "p_ordinary", "single"), "w")
     seen = F.col("n_toxic") + F.col("n_ordinary")
 
@@ -149,7 +164,7 @@ def log_ratios(counts: DataFrame, n: dict[str, int]) -> DataFrame:
         pooled = weight / seen * F.col(f"p_{c}") * 2 / (F.col("p_toxic") + F.col("p_ordinary"))
         return (F.greatest(F.col(c) - high[c][0], F.lit(0.0)) + (high[c][0] * F.col(f"t_{c}") + seen + 1) * pooled) / (F.col(f"n_{c}") + seen + 1)
 
-    return weighed(plain, "w", F.col("single")).union(weighed(both, "key", F.log(follows("toxic") / follows("ordinary")) - F.col("single")))
+    return weighed(plain, F.col("w"), F.col("single")).union(weighed(both, pair_key("v", "w"), F.log(follows("toxic") / follows("ordinary")) - F.col("single")))
 
 
 def bits(keys: np.ndarray) -> np.ndarray:
@@ -254,7 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     n = {"toxic": 0, "ordinary": 0} | {("ordinary", "toxic")[r[0]]: r[1] for r in learnt.groupBy("toxic").count().collect()}
     if not all(n.values()):
         return None
-    ratios = stored(log_ratios(stored(expression_counts(learnt)), n))
+    ratios = stored(log_ratios(stored(pair_counts(learnt), "zstd"), n))
     hot = F.col("weight") * HOT_KEYS > (ratios.agg(F.sum("weight")).first()[0] or 0)
     known, rest = sent(ratios, hot), ratios.where(~hot).select("key", "ratio")
     learn = with_label(part() == CALIBRATION)
