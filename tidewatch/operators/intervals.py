@@ -6,9 +6,10 @@ are built. Only operators whose result is the pairs themselves join.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.ordered import cells_for, latest_before, scan
@@ -58,28 +59,66 @@ def common_time(df: DataFrame, key: str, part: str, set_id: str) -> DataFrame:
     return merge(both, [key])
 
 
-def overlap_join(a: DataFrame, b: DataFrame, keys: Sequence[str], closed: bool = True) -> DataFrame:
-    """All pairs of overlapping intervals of a key; the columns of b get the prefix b_.
+#: Width of a level's cells over that of the level below, and the level of intervals without a finite length: its one cell is the whole axis.
+LEVEL_STEP, TOP_LEVEL = 4, 600
+
+
+def _length() -> Column:
+    return F.abs(F.col("stop") - F.col("start"))
+
+
+def _level(lowest: int) -> Column:
+    """The level whose cells are as long as the interval or longer."""
+    finite = F.ceil(F.log(float(LEVEL_STEP), _length())).cast("int")
+    return F.when(F.isnan(_length()) | (_length() == float("inf")), TOP_LEVEL).otherwise(F.greatest(F.lit(lowest), F.coalesce(finite, F.lit(lowest))))
+
+
+def level_plan(a: DataFrame, b: DataFrame) -> tuple[int, list[int], list[int]]:
+    """The lowest level, which follows from the longer of the median lengths, and the levels that either table has. A table of doubles has under 1,100 levels."""
+    found = []
+    for d in (a, b):
+        levels = F.collect_set(F.when(F.col("start").isNotNull() & F.col("stop").isNotNull(), _level(-TOP_LEVEL)))
+        found.append(d.agg(F.percentile_approx(F.when(_length() < float("inf"), _length()), 0.5).alias("m"), levels.alias("l")).first())
+    lowest = math.ceil(math.log(max(1e-9, *[float(r["m"] or 0.0) for r in found]), LEVEL_STEP))
+    return lowest, *[sorted({max(lowest, k) for k in r["l"]}) for r in found]
 
-    The time axis is cut into buckets twice as long as the mean interval, which bounds the number of copies by 2.5 per row. A pair
-    is reported in the bucket of its later start only.
+
+def on_levels(df: DataFrame, lowest: int, visits: list[int], role: int) -> DataFrame:
+    """The rows once for each cell that they touch, with _role, _level, _cell.
+
+    A row is at home on its own level, as a rule in at most two cells, and visits the higher levels among ``visits``. At home it carries its own role, as a visitor the
+    other one. Rows of role 1 also meet each other's own level as visitors, so that two rows of one level meet once.
     """
-    mean = [d.agg(F.avg(F.col("stop") - F.col("start"))).first()[0] or 0.0 for d in (a, b)]
-    width = 2.0 * max(*mean, 1e-9)
+    own = _level(lowest)
+    levels = F.array(*[F.lit(k) for k in visits]).cast("array<int>")
+    higher = F.filter(levels, lambda k: (k >= own) if role else (k > own))
 
-    def bucketed(d):
+    def cells(k: Column, r: int) -> Column:
+        width = F.pow(F.lit(float(LEVEL_STEP)), k)
         lo, hi = F.floor(F.col("start") / width), F.floor(F.col("stop") / width)
-        return d.withColumn("_k", F.explode(F.sequence(lo, hi)))
+        return F.transform(F.sequence(lo, hi), lambda c: F.struct(F.lit(r).alias("r"), k.cast("int").alias("k"), c.alias("c")))
+
+    places = F.concat(cells(own, role), F.flatten(F.transform(higher, lambda k: cells(k, 1 - role))))
+    return df.withColumn("_at", F.explode(places)).select("*", F.col("_at.r").alias("_role"), F.col("_at.k").alias("_level"), F.col("_at.c").alias("_cell")).drop("_at")
+
 
+def overlap_join(a: DataFrame, b: DataFrame, keys: Sequence[str], closed: bool = True) -> DataFrame:
+    """All pairs of overlapping intervals of a key; the columns of b get the prefix b_.
+
+    Every interval lives on the level of its own length and visits the longer levels that the other table has, so its copies grow with the number of levels and not with its length.
+    A pair meets on the level of its longer interval only, in the cell of its later start. A crowded cell is an ordinary hot join key, which the adaptive skew join splits.
+    Intervals with a null end or key meet nothing; those without a finite length meet on a level of their own.
+    """
+    lowest, levels_a, levels_b = level_plan(a, b)
     right = b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in keys])
-    right = bucketed(right.withColumns({"start": F.col("b_start"), "stop": F.col("b_stop")})).drop("start", "stop")
-    j = bucketed(a).join(right, [*keys, "_k"])
+    right = on_levels(right.withColumns({"start": F.col("b_start"), "stop": F.col("b_stop")}), lowest, levels_a, 1).drop("start", "stop")
+    j = on_levels(a, lowest, levels_b, 0).join(right, [*keys, "_role", "_level", "_cell"])
     if closed:
         hit = (F.col("start") <= F.col("b_stop")) & (F.col("stop") >= F.col("b_start"))
     else:
         hit = (F.col("start") < F.col("b_stop")) & (F.col("stop") > F.col("b_start"))
-    home = F.floor(F.greatest("start", "b_start") / width)
-    return j.where(hit & (F.col("_k") == home)).drop("_k")
+    home = F.floor(F.greatest("start", "b_start") / F.pow(F.lit(float(LEVEL_STEP)), F.col("_level")))
+    return j.where(hit & (F.col("_cell") == home)).drop("_role", "_level", "_cell")
 
 
 def intersect(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
