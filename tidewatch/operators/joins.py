@@ -5,12 +5,19 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import sep_deg
-from tidewatch.operators.ordered import latest_before
+from tidewatch.operators.ordered import LIMIT_CONF, MAX_GROUP_ROWS, latest_before
+from tidewatch.session import cut
+from tidewatch.session import spread as spread_rows
+
+#: Directions in which the width of a key's matches is taken; keys whose farthest pair is sought by one call.
+AXES, FAR_KEYS = 16, 256
 
 
 def join_unique(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -79,7 +86,8 @@ def cone_join(left: DataFrame, right: DataFrame, tol: float, left_tol: str | Non
     near = F.array_distinct(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda i: F.pmod(home + i, n)))
     lf = lf.withColumn("_c", F.explode(near))
     limit = F.col(f"l_{left_tol}") if left_tol else F.lit(float(tol))
-    j = lf.join(r, ["_b", "_c"]).withColumn("sep", sep_deg("l_ra", "l_dec", "r_ra", "r_dec"))
+    # a small table lies in one or two files: without the exchange one task would make all pairs
+    j = spread_rows(lf, "_b", "_c").join(spread_rows(r, "_b", "_c"), ["_b", "_c"]).withColumn("sep", sep_deg("l_ra", "l_dec", "r_ra", "r_dec"))
     return j.where(F.col("sep") <= limit).drop("_b", "_b0", "_c")
 
 
@@ -110,12 +118,16 @@ def neighbour_counts(df: DataFrame, tol: float) -> DataFrame:
     return df.join(near, ["ra", "dec"], "left").withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("long")))
 
 
-def ambiguous(matches: DataFrame, key: str, cls: str, ra: str, dec: str, spread: float, salt: str, n_salts: int | None = None) -> DataFrame:
+def ambiguous(matches: DataFrame, key: str, cls: str, ra: str, dec: str, spread: float, salt: str, n_salts: int | None = None,
+              centre: tuple[str, str, str] | None = None) -> DataFrame:
     """Matches per key: number of classes, largest separation of two matches, and whether the key is rejected.
 
-    The two farthest points are corners of the convex hull. Every batch is reduced to the hulls of its keys inside the map stage, then
+    centre: columns with the position of the key itself and a match's separation from it, where the matches have them (see far_pairs). Without them:
+    the two farthest points are corners of the convex hull. Every batch is reduced to the hulls of its keys inside the map stage, then
     every (key, salt), then every key, before the few corners are paired. Positions of one key must lie within a hemisphere.
     """
+    if centre:
+        return _ambiguous_around(matches, key, cls, ra, dec, spread, salt, centre)
     n_salts = n_salts or int(matches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = matches.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(cls).alias("n_cls"), F.first(F.struct(ra, dec)).alias("_o"))
     pts = matches.select(key, ra, dec, F.pmod(F.xxhash64(salt), F.lit(n_salts)).alias("_s")).join(counts.select(key, "_o"), key)
@@ -135,6 +147,58 @@ def ambiguous(matches: DataFrame, key: str, cls: str, ra: str, dec: str, spread:
     return g.withColumn("rejected", (F.col("n_cls") > 1) | (F.col("extent") > spread))
 
 
+def _ambiguous_around(matches: DataFrame, key: str, cls: str, ra: str, dec: str, spread: float, salt: str, centre: tuple[str, str, str]) -> DataFrame:
+    """ambiguous with known centres. A match can only be one of the two farthest if its distance from the centre and the largest such distance reach a lower bound of the extent.
+
+    The bound is the widest range of a key's matches along AXES directions of the plane that touches the sphere at the centre: sums of one pass, so that few matches leave it.
+    """
+    c_ra, c_dec, sep = centre
+    a, d, d0 = F.radians(F.col(ra)) - F.radians(F.col(c_ra)), F.radians(F.col(dec)), F.radians(F.col(c_dec))
+    flat = matches.select(key, cls, sep, (F.cos(d) * F.sin(a)).alias("_x"), (F.cos(d0) * F.sin(d) - F.sin(d0) * F.cos(d) * F.cos(a)).alias("_y"))
+    along = [F.col("_x") * math.cos(math.pi * i / AXES) + F.col("_y") * math.sin(math.pi * i / AXES) for i in range(AXES)]
+    by_class = cut(flat.groupBy(key, cls).agg(F.count(F.lit(1)).alias("n"), F.max(sep).alias("_far"), *[F.max(w).alias(f"_h{i}") for i, w in enumerate(along)], *[F.min(w).alias(f"_l{i}") for i, w in enumerate(along)]))
+    counts = by_class.groupBy(key).agg(F.sum("n").alias("n"), F.count(cls).alias("n_cls"), F.max("_far").alias("_far"),
+                                       *[F.max(f"_h{i}").alias(f"_h{i}") for i in range(AXES)], *[F.min(f"_l{i}").alias(f"_l{i}") for i in range(AXES)])
+    width = F.greatest(*[F.col(f"_h{i}") - F.col(f"_l{i}") for i in range(AXES)])
+    bound = F.degrees(2.0 * F.asin(F.least(width / 2.0, F.lit(1.0))))
+    counts = cut(counts.select(key, "n", "n_cls", (bound - F.col("_far") - 1e-5).alias("_least")))
+    rim = matches.join(counts.select(F.col(key).alias("_key"), "_least", "n"), (F.col(key) == F.col("_key")) & (F.col(sep) >= F.col("_least"))).select(key, ra, dec, salt, "n")
+    limit = int(matches.sparkSession.conf.get(LIMIT_CONF, str(MAX_GROUP_ROWS)))
+    extent = far_pairs(rim.where(F.col("n") <= limit), key, ra, dec, max(1, -(-counts.count() // FAR_KEYS)))
+    if counts.where(F.col("n") > limit).limit(1).count():
+        hot = ambiguous(rim.where(F.col("n") > limit).withColumn("_cls", F.lit(0)), key, "_cls", ra, dec, spread, salt)
+        extent = extent.unionByName(hot.select(key, "extent"))
+    g = counts.join(extent, key).withColumn("extent", F.when(F.col("n") > 1, F.col("extent")).otherwise(F.lit(0.0)))
+    return g.select(key, "n", "n_cls", "extent", ((F.col("n_cls") > 1) | (F.col("extent") > spread)).alias("rejected"))
+
+
+def far_pairs(points: DataFrame, key: str, ra: str, dec: str, n: int) -> DataFrame:
+    """(key, extent): the largest separation of two points of a key, itself included; a task compares the points of one key after the other."""
+    kind = dict(points.dtypes)[key]
+
+    def farthest(part: pa.Table) -> pa.Table:
+        part = part.sort_by(key)
+        keys = part.column(key).to_pandas()
+        lon, lat = np.radians(part.column(ra).to_numpy()), np.radians(part.column(dec).to_numpy())
+        xyz = np.column_stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)])
+        starts = np.flatnonzero((keys != keys.shift()).to_numpy())
+        one, two = [], []
+        for a, z in zip(starts, np.append(starts[1:], len(keys)), strict=True):
+            best = (-1.0, a, a)
+            for lo in range(a, z, 1024):
+                gap = 1.0 - xyz[lo : min(lo + 1024, z)] @ xyz[lo:z].T
+                i, j = np.unravel_index(gap.argmax(), gap.shape)
+                best = max(best, (float(gap[i, j]), lo + int(i), lo + int(j)))
+            one.append(best[1])
+            two.append(best[2])
+        first, second = part.take(pa.array(one)), part.take(pa.array(two))
+        return pa.table({key: first.column(key), "_ra": first.column(ra), "_dec": first.column(dec), "_ra2": second.column(ra), "_dec2": second.column(dec)})
+
+    dealt = points.select(key, ra, dec, F.pmod(F.xxhash64(key), F.lit(n)).alias("_part"))
+    pairs = dealt.groupBy("_part").applyInArrow(farthest, f"`{key}` {kind}, _ra double, _dec double, _ra2 double, _dec2 double")
+    return pairs.select(key, sep_deg("_ra", "_dec", "_ra2", "_dec2").alias("extent"))
+
+
 def _gnomonic(pts: DataFrame, ra: str, dec: str) -> DataFrame:
     """Project around one reference position per row (_o), which turns great circles into straight lines."""
     a, d = F.radians(F.col(ra)) - F.radians(F.col(f"_o.{ra}")), F.radians(F.col(dec))

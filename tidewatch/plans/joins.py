@@ -85,7 +85,7 @@ def j9(spark, sf):
   SELECT source_id, n, n_cls, round(coalesce(extent, 0), 5) AS extent, n_cls > 1 OR coalesce(extent, 0) > 6 AS rejected FROM c JOIN x USING (source_id)""")
 def j9b(spark, sf):
     m = J.cone_join(sky(spark, sf, "supplier"), sky(spark, sf, "customer"), 5.0).withColumnRenamed("l_id", "source_id")
-    return round_all(J.ambiguous(m, "source_id", "r_positive", "r_ra", "r_dec", 6.0, "r_id"), 5)
+    return round_all(J.ambiguous(m, "source_id", "r_positive", "r_ra", "r_dec", 6.0, "r_id", centre=("l_ra", "l_dec", "sep")), 5)
 
 
 @query("j10_interpolation", f"""WITH {EVENTS}, g AS (SELECT (i * i)::DOUBLE AS gx, ln(1e0 + i) AS gy FROM (SELECT unnest(range(0, 20)) AS i)),
