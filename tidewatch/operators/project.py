@@ -144,10 +144,13 @@ def net_spectrum(src: DataFrame, bkg: DataFrame, keys: Sequence[str], factor: st
 
 def background_corrected(df: DataFrame, fractions: DataFrame, key: str, bands: Mapping[str, str], amplitudes: Sequence[str],
                          total_fraction: str, fmax: float, correct: bool = True) -> DataFrame:
-    """Drop rows above the screen, remove the background share from bands and rescale amplitudes."""
+    """Drop rows above the screen, remove the background share from bands and rescale amplitudes.
+
+    A share that equals the screen stays, whatever the last bits that the order of its sum left.
+    """
     j = df.join(fractions, key, "left")
     f = F.coalesce(F.col(total_fraction), F.lit(0.0))
-    j = j.where(f <= fmax)
+    j = j.where(F.round(f, 12) <= fmax)
     if not correct:
         return j
     new = {b: F.col(b) * (1.0 - F.coalesce(F.col(fb), F.lit(0.0))) for b, fb in bands.items()}
