@@ -106,7 +106,8 @@ def w10(spark, sf):
 def w11(spark, sf):
     from tidewatch.operators.aggregate import split_half
 
-    h = split_half(observations(spark, sf), ["source_id"], "rate", F.col("obs_id")).withColumn("grp", F.col("source_id") % 4)
+    # means of amounts in cents: equal ones tie whatever the last bits that the order of their sums left
+    h = round_all(split_half(observations(spark, sf), ["source_id"], "rate", F.col("obs_id")), 6).withColumn("grp", F.col("source_id") % 4)
     return round_all(O.spearman(h, ["grp"], "odd", "even").withColumn("reliability", S.reliability("rho")), 9)
 
 
