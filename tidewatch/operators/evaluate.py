@@ -70,7 +70,13 @@ def point_metrics(oof: DataFrame, keys: Sequence[str], digits: int = 9) -> DataF
 
 def agreement(a: DataFrame, b: DataFrame, keys: Sequence[str], score: str, cut: float = 0.5) -> DataFrame:
     """Rank correlation and share of equal labels of two score sets over their common rows."""
-    j = a.select(*keys, F.col(score).alias("_a")).join(b.select(*keys, F.col(score).alias("_b")), list(keys)).withColumn("_g", F.lit(0))
+    j = a.select(*keys, F.col(score).alias("_a")).join(b.select(*keys, F.col(score).alias("_b")), list(keys))
+    return paired_agreement(j, "_a", "_b", cut)
+
+
+def paired_agreement(df: DataFrame, first: str, second: str, cut: float = 0.5) -> DataFrame:
+    """The same for two scores that stand in one row: nothing is joined, and rows are reduced to distinct pairs before they move."""
+    j = df.select(F.col(first).alias("_a"), F.col(second).alias("_b"), F.lit(0).alias("_g"))
     same = j.groupBy("_g").agg(F.avg(((F.col("_a") >= cut) == (F.col("_b") >= cut)).cast("double")).alias("label_agreement"))
     return spearman(j, ["_g"], "_a", "_b").join(same, "_g").drop("_g")
 
