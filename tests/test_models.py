@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.operators import knn as K
 from tidewatch.operators import models as M
@@ -55,6 +56,13 @@ def test_neighbours_with_clumps_and_outliers(spark):
         assert list(part.sort_values("rank").r_id) == list(want)
 
 
+def test_class_weights_move_no_rows(spark):
+    d = spark.range(100).select("id", F.when(F.col("id") % 10 > 0, F.col("id") % 10 > 7).alias("positive")).repartition(7)
+    w = M.balanced_weights(d)
+    assert {(r.positive, r.weight) for r in w.collect()} == {(None, 5.0), (True, 2.5), (False, 100 / 140)}
+    assert w.select(F.spark_partition_id()).distinct().count() == 7 and "hashpartitioning(positive" not in w._jdf.queryExecution().executedPlan().toString()
+
+
 def test_nested_selection_picks_from_grid(spark, data):
     chosen, oof = M.nested_selection(spark.createDataFrame(data), "fold", 4, ["f1", "f2"], [0.01, 1.0], "source_id")
     c = chosen.toPandas()

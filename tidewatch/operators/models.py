@@ -61,10 +61,11 @@ def balanced_group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
 
 
 def balanced_weights(df: DataFrame) -> DataFrame:
-    """n / (2 n_class)."""
-    c = df.groupBy("positive").agg(F.count(F.lit(1)).alias("_c"))
-    w = attach_row(c, c.agg(F.sum("_c").alias("_n"))).select("positive", (F.col("_n") / (2.0 * F.col("_c"))).alias("weight"))
-    return df.join(w, "positive")
+    """n / (2 n_class); rows without a class are a class of their own. The counts travel to the rows as one row, so no class is gathered in one task."""
+    yes = F.col("positive").cast("boolean")
+    c = df.agg(F.count(F.lit(1)).alias("_n"), F.count_if(yes).alias("_n1"), F.count_if(~yes).alias("_n0"))
+    own = F.when(yes, F.col("_n1")).when(~yes, F.col("_n0")).otherwise(F.col("_n") - F.col("_n1") - F.col("_n0"))
+    return attach_row(df, c).withColumn("weight", F.col("_n") / (2.0 * own)).drop("_n", "_n1", "_n0")
 
 
 def source_equal_weights(df: DataFrame, group: str, within_class: bool = False) -> DataFrame:
