@@ -77,3 +77,20 @@ def test_arrays_are_added_in_a_tree(spark, monkeypatch):
     monkeypatch.setattr(G, "FAN_IN", 3)
     parts = spark.range(40).repartition(10).select((F.col("id") % 3).cast("int").alias("key"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("sums"))
     assert {k: v.tolist() for k, v in G.array_sums(parts).items()} == {k: [float(sum(range(k, 40, 3))), float(len(range(k, 40, 3)))] for k in range(3)}
+
+
+def test_gradient_of_a_table_with_unusable_rows(spark, data):
+    odd = spark.createDataFrame([(9000 + i, i % 3, True, 1.0, [None, [float("nan")] * D, [1.0]][i % 3]) for i in range(30)], frame(spark, data.head(1)).schema)
+    df = frame(spark, data).union(odd)
+    flat = G.stationarity(df, G.held_out(df, "fold", "x")[1], "fold", "x").toPandas().set_index("model")
+    assert len(flat) == 15 and flat.gradient.max() < 1e-6
+    assert flat.n_train["1"] == (data.fold != 1).sum() + 20
+
+
+def test_gradients_of_few_models_at_once(spark, data, monkeypatch):
+    df = frame(spark, data)
+    params = G.held_out(df, "fold", "x")[1].withColumn("intercept", F.col("intercept") + 0.01)
+    want = G.stationarity(df, params, "fold", "x").toPandas().set_index("model").gradient
+    monkeypatch.setattr(G, "NUMBERS_AT_ONCE", 60)
+    got = G.stationarity(df, params, "fold", "x").toPandas().set_index("model").gradient
+    assert np.allclose(got[want.index], want, rtol=1e-9)

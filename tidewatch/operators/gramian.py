@@ -211,6 +211,13 @@ def advance(base: DataFrame, centre: np.ndarray, scale: np.ndarray, fits: Sequen
         raise RuntimeError(f"{len(late)} fits have not converged in {max_iter} steps, such as {late[0]}")
 
 
+def usable(df: DataFrame, fold: str, x: str, weight: str | None) -> DataFrame:
+    """_f, _y, _w, _x of the rows whose vector is all finite numbers."""
+    ok = F.col("_x").isNotNull() & F.forall("_x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    return df.select(F.col(fold).cast("int").alias("_f"), F.col("positive").cast("int").cast("double").alias("_y"), w.alias("_w"), F.col(x).cast("array<double>").alias("_x")).where(ok)
+
+
 def fit_vectors(df: DataFrame, fold: str, x: str, tasks: Sequence[Task], weight: str | None = None, tol: float = 1e-10, max_iter: int = 60) -> dict[str, dict]:
     """name to {"without", "intercept", "slopes" (for x as it is)} of standardised logistic regressions with an L2 penalty and class-balanced weights.
 
@@ -218,9 +225,7 @@ def fit_vectors(df: DataFrame, fold: str, x: str, tasks: Sequence[Task], weight:
     rows the fit learns from. Rows whose x is null, holds null or non-finite numbers or has another length than most are not learnt from; without rows there is no fit. A
     feature that does not vary in a fit's rows has slope 0.
     """
-    ok = F.col("_x").isNotNull() & F.forall("_x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    base = df.select(F.col(fold).cast("int").alias("_f"), F.col("positive").cast("int").cast("double").alias("_y"), w.alias("_w"), F.col(x).cast("array<double>").alias("_x")).where(ok)
+    base = usable(df, fold, x, weight)
     length = base.groupBy(F.size("_x").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if length is None:
         return {}
@@ -276,16 +281,51 @@ def held_out(df: DataFrame, fold: str, x: str, c: float = 1.0, weight: str | Non
 def stationarity(train: DataFrame, params: DataFrame, fold: str, x: str, c: float = 1.0, weight: str | None = None) -> DataFrame:
     """model (a fold), n_train, gradient: the largest partial derivative of the fold's objective at its parameters, by absolute value; 0 at the optimum.
 
-    An independent check of held_out(): built-in aggregates over every (fold, row it learns from, feature), with the fold's own class weights and deviations.
+    A check of held_out() that takes nothing from the fit but its parameters: one pass over the rows sums residuals times features for every (fold left out, class), and
+    moments by fold for the class weights and deviations. n_train counts every row outside the fold, also those that fit_vectors() does not learn from.
     """
-    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    rows = train.select(F.col(fold).cast("string").alias("_f"), F.col("positive").cast("int").alias("_y"), w.alias("_w"), F.col(x).cast("array<double>").alias("_x"))
-    each = rows.join(params, F.col("_f") != F.col("model"))
-    size = each.groupBy("model").agg(F.count(F.lit(1)).alias("n_train"), F.sum("_w").alias("_all"), F.sum(F.col("_w") * F.col("_y")).alias("_one"))
-    each = each.join(size, "model").withColumn("_c", F.col("_w") * F.col("n_train") / 2.0 / F.when(F.col("_y") == 1, F.col("_one")).otherwise(F.col("_all") - F.col("_one")))
-    each = each.select("model", "n_train", (F.col("_c") * (F.col("_y") - expit(predictor("_x", F.col("slopes"), F.col("intercept"))))).alias("_r"), F.posexplode(F.concat(F.array(F.lit(1.0)), "_x")).alias("i", "v"), F.col("slopes").alias("_s"))
-    sums = each.groupBy("model", "n_train", "i").agg(F.sum(F.col("_r") * F.col("v")).alias("_g"), F.sum("_r").alias("_g0"), F.avg("v").alias("_m"), F.stddev_pop("v").alias("_sd"), F.first("_s").alias("_s"))
-    slope = F.when(F.col("i") > 0, F.try_element_at("_s", F.col("i")) * F.col("_sd")).otherwise(0.0)
-    # in the fold's own standardised coordinates
-    standard = F.when(F.col("i") == 0, F.col("_g0")).when(F.col("_sd") > 0, (F.col("_g") - F.col("_m") * F.col("_g0")) / F.col("_sd")).otherwise(0.0)
-    return sums.groupBy("model", "n_train").agg(F.max(F.abs(c * standard - slope)).alias("gradient"))
+    models = sorted(((int(r["model"]), r["intercept"], r["slopes"]) for r in params.collect()), key=lambda m: m[0])
+    n_all = {r["_f"]: r["n"] for r in train.groupBy(F.col(fold).cast("int").alias("_f")).agg(F.count(F.lit(1)).alias("n")).where("_f is not null").collect()}
+    out = []
+    if models:
+        d = len(models[0][2])
+        base = cut(spread(usable(train, fold, x, weight).where((F.size("_x") == d) & F.col("_f").isNotNull())))
+        centre = centres(base)
+        by_fold = moments(base, centre)
+        whole, none = sum(by_fold.values()), np.zeros(3 + 2 * d)
+        step = max(1, NUMBERS_AT_ONCE // (2 * (d + 1)))
+        for a in range(0, len(models), step):
+            some = models[a : a + step]
+            for (name, _, slopes), g in zip(some, residual_sums(base, centre, some)):
+                n, w0, w1, *rest = whole - by_fold.get(name, none)
+                mean, square = np.array(rest[:d]) / n, np.array(rest[d:]) / n
+                sd = np.sqrt(np.maximum(square - mean**2, 0.0))
+                total = sum(g[y] * (n / (2.0 * w) if w else 0.0) for y, w in ((0, w0), (1, w1)))
+                # in the fold's own standardised coordinates
+                varies = sd > 1e-12 * np.maximum(1e-300, np.sqrt(whole[3 + d :] / whole[0]))
+                standard = np.where(varies, (total[1:] - mean * total[0]) / np.where(varies, sd, 1.0), 0.0)
+                gradient = np.append(c * total[0], c * standard - np.array(slopes) * sd)
+                out.append((str(name), int(sum(n_all.values()) - n_all.get(name, 0)), float(np.max(np.abs(gradient)))))
+    return train.sparkSession.createDataFrame(out, "model string, n_train long, gradient double")
+
+
+def residual_sums(base: DataFrame, centre: np.ndarray, models: Sequence[tuple[int, float, Sequence[float]]]) -> np.ndarray:
+    """(model, class, 1 + feature): sums of weight x (class - probability) x centred feature over the rows outside the model's fold."""
+    names, slopes = np.array([m[0] for m in models]), np.array([m[2] for m in models])
+    intercepts = np.array([m[1] for m in models]) + slopes @ centre
+    shape = (len(models), 2, len(centre) + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for batch in batches:
+            f, y, w, x = matrix_rows(batch)
+            if not len(x):
+                continue
+            z = np.column_stack((np.ones(len(x)), x - centre))
+            p = 1.0 / (1.0 + np.exp(-np.clip(z[:, 1:] @ slopes.T + intercepts, -700, 700)))
+            r = np.where(f[:, None] == names, 0.0, w[:, None] * (y[:, None] - p))
+            for k in (0, 1):
+                total[:, k] += r[y == k].T @ z[y == k]
+        yield emitted({0: total.ravel()})
+
+    return array_sums(base.mapInArrow(run, SUMS), keyed=False)[0].reshape(shape)
