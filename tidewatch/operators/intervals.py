@@ -9,10 +9,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.ordered import cells_for, latest_before, scan
+from tidewatch.session import cut, spread
 
 
 def following(df: DataFrame, keys, order: str, value, out: str, n_cells=None) -> DataFrame:
@@ -121,6 +124,111 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: Sequence[str], closed: bool =
     return j.where(hit & (F.col("_cell") == home)).drop("_role", "_level", "_cell")
 
 
+#: Rows of either side that one task compares at once, and rows of the left side in one array.
+PART_ROWS, ARRAY_ROWS = 16_384, 64
+
+
+def overlap_counts(a: DataFrame, b: DataFrame, keys: Sequence[str], row_id: str, origin: str, tol: float) -> DataFrame:
+    """Per row of a: how many intervals of b overlap it (closed), how many of these are of its own origin, and how many are of its origin or within ``tol`` degrees of its place.
+
+    a: keys, row_id, origin, start, stop, ra, dec; b: the same without row_id. Rows without any overlap are left out, rows with a null among these columns meet nothing, and
+    equal row_ids are counted together. Intervals meet on levels as in overlap_join(), but a cell's pairs are compared as arrays in its task and never become rows. Cells with more
+    than PART_ROWS rows are dealt out in parts, so that memory is bounded; the comparisons still grow with the number of pairs.
+    """
+    place = [*keys, "_role", "_level", "_cell"]
+    columns = [*[F.col(k).alias(k) for k in keys], F.col(origin).alias("_origin"), *[F.col(c).cast("double").alias(c) for c in ("start", "stop", "ra", "dec")]]
+
+    a = cut(a.select(F.col(row_id).alias("_id"), *columns).dropna(subset=[*keys, "_origin", "start", "stop", "ra", "dec"]))
+    b = cut(b.select(*columns).dropna())
+    lowest, levels_a, levels_b = level_plan(a, b)
+
+    def placed(df: DataFrame, visits: list[int], role: int) -> DataFrame:
+        first = F.floor(F.col("start") / F.pow(F.lit(float(LEVEL_STEP)), F.col("_level")))
+        d = on_levels(df, lowest, visits, role).withColumn("_home", first == F.col("_cell"))
+        # the cell of a pair's later start is the one where both meet
+        return d.where(first <= F.col("_cell"))
+
+    left, right = placed(a, levels_b, 0), placed(b, levels_a, 1)
+
+    def parts(df: DataFrame, out: str) -> DataFrame:
+        return df.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias(out))
+
+    sizes = parts(left, "_na").join(parts(right, "_nb"), place)
+    every = {n: F.explode(F.sequence(F.lit(0), F.col(f"_n{s}") - 1)) for n, s in (("_i", "a"), ("_j", "b"))}
+    left = left.join(sizes, place).withColumn("_i", F.pmod(F.xxhash64("_id", "start", "stop"), F.col("_na")).cast("int")).withColumn("_j", every["_j"]).drop("_na", "_nb")
+    right = right.join(sizes, place).withColumn("_j", F.pmod(F.xxhash64("_origin", "start", "stop"), F.col("_nb")).cast("int")).withColumn("_i", every["_i"]).drop("_na", "_nb")
+    at = [*place, "_i", "_j"]
+
+    def count(x: pa.Table, y: pa.Table) -> pa.Table:
+        got = pair_counts(x, y, tol) if x.num_rows and y.num_rows else np.zeros((3, x.num_rows), np.int64)
+        met = got[0] > 0
+        return pa.table({"_id": x.column("_id").filter(pa.array(met)), **{f"n{i}": pa.array(got[i][met]) for i in range(3)}})
+
+    schema = f"_id {a.schema["_id"].dataType.simpleString()}, n0 long, n1 long, n2 long"
+    n = spread(left, *at).groupBy(*at).cogroup(spread(right, *at).groupBy(*at)).applyInArrow(count, schema)
+    return n.groupBy(F.col("_id").alias(row_id)).agg(F.sum("n0").alias("n_any"), F.sum("n1").alias("n_same"), F.sum("n2").alias("n_in_view"))
+
+
+def pair_counts(x: pa.Table, y: pa.Table, tol: float) -> np.ndarray:
+    """(3, rows of x): overlaps, those of the same origin, and those of the same origin or in view, with the rows of y that meet them in one cell."""
+
+    def arrays(t: pa.Table, keep: np.ndarray) -> dict[str, np.ndarray]:
+        d = {c: t.column(c).to_numpy()[keep] for c in ("_origin", "start", "stop", "ra", "dec")}
+        order = np.argsort(d["dec"], kind="stable")
+        d = {c: v[order] for c, v in d.items()} | {"at": keep[order]}
+        r, h = np.radians(d["ra"]), np.radians(d["dec"])
+        return d | {"xyz": np.column_stack((np.cos(h) * np.cos(r), np.cos(h) * np.sin(r), np.sin(h)))}
+
+    out = np.zeros((3, x.num_rows), np.int64)
+    home_x, home_y = (t.column("_home").to_numpy(zero_copy_only=False) for t in (x, y))
+    # of two rows that both started in earlier cells the pair belongs to one of those
+    for rows, others in ((np.flatnonzero(home_x), np.arange(y.num_rows)), (np.flatnonzero(~home_x), np.flatnonzero(home_y))):
+        if len(rows) and len(others):
+            a, b = arrays(x, rows), arrays(y, others)
+            by_origin = np.argsort(b["_origin"], kind="stable")
+            b |= {"by_origin": by_origin, "origins": b["_origin"][by_origin], "starts": np.sort(b["start"]), "stops": np.sort(b["stop"])}
+            forward = bool((a["start"] <= a["stop"]).all() and (b["start"] <= b["stop"]).all())
+            for i in range(0, len(rows), ARRAY_ROWS):
+                part = {c: v[i : i + ARRAY_ROWS] for c, v in a.items()}
+                out[:, part["at"]] = array_counts(part, b, tol, forward)
+    return out
+
+
+def array_counts(a: dict[str, np.ndarray], b: dict[str, np.ndarray], tol: float, forward: bool) -> np.ndarray:
+    """The three counts of a few rows, which like those of b are in order of declination. forward: no interval ends before it starts."""
+
+    def hits(at: slice) -> np.ndarray:
+        return (b["start"][at] <= a["stop"][:, None]) & (b["stop"][at] >= a["start"][:, None])
+
+    def counted(m: np.ndarray) -> np.ndarray:
+        return np.array([np.count_nonzero(r) for r in m])
+
+    if forward:
+        overlaps = np.searchsorted(b["starts"], a["stop"], "right") - np.searchsorted(b["stops"], a["start"], "left")
+    else:
+        overlaps = counted(hits(slice(None)))
+    lo, hi = np.searchsorted(b["dec"], [a["dec"][0] - tol - 1e-6, a["dec"][-1] + tol + 1e-6])
+    cosine, limit = a["xyz"] @ b["xyz"][lo:hi].T, np.cos(np.radians(min(tol, 180.0)))
+    view, wide = cosine >= limit + 1e-12, cosine >= limit - 1e-12
+    if np.count_nonzero(view) != np.count_nonzero(wide):
+        # the last digits decide: the separation as it is defined
+        i, j = np.nonzero(view ^ wide)
+        (r1, d1), (r2, d2) = ((np.radians(t["ra"][k]), np.radians(t["dec"][k])) for t, k in ((a, i), (b, j + lo)))
+        sep = np.degrees(np.arccos(np.clip(np.sin(d1) * np.sin(d2) + np.cos(d1) * np.cos(d2) * np.cos(r1 - r2), -1.0, 1.0)))
+        view[i, j] = sep <= tol
+    view &= hits(slice(lo, hi))
+    first, last = (np.searchsorted(b["origins"], a["_origin"], side) for side in ("left", "right"))
+    n = last - first
+    i = np.repeat(np.arange(len(n)), n)
+    j = b["by_origin"][np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
+    own = (b["start"][j] <= a["stop"][i]) & (b["stop"][j] >= a["start"][i])
+    i, j = i[own], j[own]
+    seen = (j >= lo) & (j < hi)
+    seen[seen] = view[i[seen], j[seen] - lo]
+    same = np.bincount(i, minlength=len(n))
+    return np.stack((overlaps, same, counted(view) + same - np.bincount(i[seen], minlength=len(n))))
+
+
 def intersect(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Common parts of the intervals of two sets."""
     j = overlap_join(a, b, keys, closed=False)

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from tidewatch.operators import intervals as I
 from tidewatch.plans.registry import query
 from tidewatch.plans.views import EVENTS, events, round_all, sep_sql, sky, sky_sql
-from tidewatch.functions.columns import sep_deg
 
 GAP = 43200.0
 SEG = 14400.0
@@ -70,12 +69,8 @@ def j12(spark, sf):
     a = bursts(spark, sf).withColumn("grp", F.col("user_id") % 7)
     b = sessions(spark, sf).withColumn("grp", F.col("user_id") % 7)
     c = sky(spark, sf, "customer")
-    pos = c.select(F.col("id").alias("user_id"), F.col("ra").alias("ra1"), F.col("dec").alias("dec1"))
-    pos2 = c.select(F.col("id").alias("b_user_id"), F.col("ra").alias("ra2"), F.col("dec").alias("dec2"))
-    j = I.overlap_join(a, b, ["grp"]).join(pos, "user_id").join(pos2, "b_user_id")
-    same = F.col("user_id") == F.col("b_user_id")
-    view = same | (sep_deg("ra1", "dec1", "ra2", "dec2") <= 25.0)
-    return j.groupBy("event_id").agg(F.count(F.lit(1)).alias("n_any"), F.count(F.when(same, 1)).alias("n_same"), F.count(F.when(view, 1)).alias("n_in_view"))
+    pos = c.select(F.col("id").alias("user_id"), "ra", "dec")
+    return I.overlap_counts(a.join(pos, "user_id"), b.join(pos, "user_id"), ["grp"], "event_id", "user_id", 25.0)
 
 
 @query("j13_point_in_interval", f"""WITH {EVENTS}, {WEEKS} SELECT event_id FROM ev WHERE EXISTS (SELECT 1 FROM wk WHERE wk.user_id = ev.user_id
