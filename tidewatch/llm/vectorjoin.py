@@ -4,8 +4,9 @@ Unit vectors of cosine c are sqrt(2 - 2 c) apart. They are rotated to the princi
 in proportion to its variance, and a pair within the whole budget is within the budget of one block at least. So each block is range-joined by itself, and
 every pair found is verified exactly, in double precision, on the vectors as they came.
 
-A block's space is cut by a few of its axes into cells. A vector is at home in one cell and visits those that its budget reaches; what is at home somewhere so meets all that
-may be near it, once in each block. A pair counts in the first block that finds it, so that no pair is counted twice and none is sent anywhere.
+A block's space is cut by a few of its axes into cells. A vector is at home in one cell and its budget reaches others. Of two near vectors with different homes each reaches the
+other's; of two cells just one is the host, so that only one of the two travels. A pair so meets once in each block. It counts in the first block that finds it, for both its vectors,
+so that no pair is counted twice and none is sent anywhere.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from tidewatch.llm.common import components, numbered, stored
 COSINE, BLOCKS = 0.9, 4
 #: Vectors at home in a cell on average, from which the number of axes that cut follows; so many at most meet so many visitors in one task.
 CELL, HOME_ROWS, VISIT_ROWS = 8192, 16_384, 65_536
+#: Rows and columns of one block of distances, which stays in a core's cache.
+ROWS, COLUMNS = 512, 2048
 #: Rounding of single-precision distances; candidates within it are verified like others.
 SLACK = 1e-4
 ASSIGNED = "block int, cell long, home boolean, id long, weight long, vector {}"
@@ -96,6 +99,11 @@ class Plan:
         return row, cell, home
 
 
+def hosts(home: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Whether vectors at home in one cell go to the other; of two different cells just one is the host, by turns the lower and the higher."""
+    return (home > cell) == ((home + cell) % 2 == 1)
+
+
 def assign(rows: DataFrame, plan) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = plan.value
@@ -105,40 +113,62 @@ def assign(rows: DataFrame, plan) -> DataFrame:
                 u = unit(vectors(part, "vector"))
                 for b, x in enumerate(p.parts(u)):
                     row, cell, home = p.visits(x, p.budget[b])
+                    own = np.empty(len(x), np.int64)
+                    own[row[home]] = cell[home]
+                    go = home | hosts(own[row], cell)
+                    row, cell, home = row[go], cell[go], home[go]
                     take = pa.array(row)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), b, np.int32)), pa.array(cell), pa.array(home), part.column("id").take(take), part.column("weight").take(take), part.column("vector").take(take)], names=["block", "cell", "home", "id", "weight", "vector"])
 
     return rows.select("id", "weight", "vector").mapInArrow(run, ASSIGNED.format(dict(rows.dtypes)["vector"]))
 
 
+def within(x: np.ndarray, rows: int, inner: bool, budget: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs r < c of the vectors x, r among the first `rows`, c behind these or (inner) anywhere, whose squared distance is within the budget, or not more than SLACK above it."""
+    norms, one = (x * x).sum(1, keepdims=True), np.ones((len(x), 1), np.float32)
+    left = np.concatenate((-2 * x[:rows], norms[:rows], one[:rows]), 1)
+    # columns that fill up the last block are far from everything
+    right = np.zeros((x.shape[1] + 2, -(-len(x) // COLUMNS) * COLUMNS), np.float32)
+    right[-1] = 100
+    right[:, : len(x)] = np.concatenate((x, one, norms), 1).T
+    space, most = np.empty((ROWS, COLUMNS), np.float32), np.float32(budget + SLACK)
+    for begin in range(0, len(x), COLUMNS):
+        facing = np.ascontiguousarray(right[:, begin : begin + COLUMNS])
+        for at in range(0, rows, ROWS):
+            # inner pairs stand above the diagonal
+            if begin + COLUMNS <= (at if inner else rows):
+                continue
+            part = left[at : at + ROWS]
+            near = np.matmul(part, facing, out=space[: len(part)]) <= most
+            eight = np.flatnonzero(near.view(np.uint64))
+            if len(eight):
+                i, bit = np.nonzero(near.reshape(-1, 8)[eight])
+                r, c = np.divmod(eight[i] * 8 + bit, COLUMNS)
+                r, c = r + at, c + begin
+                keep = (r < c) & (inner | (c >= rows))
+                if keep.any():
+                    yield r[keep], c[keep]
+
+
 def compare(plan):
-    """Counts, for what is at home in a group, the vectors linked to it, and hangs it on the smallest id that links inside the group reach."""
+    """Counts the links of a group's pairs for both vectors, and hangs each vector on the smallest id that links inside the group reach."""
 
     def run(key, table):
-        p, b = plan.value, int(key[0].as_py())
+        p, b, inner = plan.value, int(key[0].as_py()), key[3].as_py() == 0
         batch = table.combine_chunks().to_batches()[0]
+        # those at home first
+        role = batch.column("role").to_numpy(zero_copy_only=False)
+        batch = batch.take(pa.array(np.argsort(~role, kind="stable")))
         ids, weight = batch.column("id").to_numpy(), batch.column("weight").to_numpy()
-        home, visit = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("home", "visit"))
         u = unit(vectors(batch, "vector"))
         single = u.astype(np.float32) @ p.axes[:, p.columns[b]].astype(np.float32)
-        norms = (single * single).sum(1)
-        facing, facing_norms = single[visit].T.copy(), norms[visit]
-        order, others = np.flatnonzero(home), np.flatnonzero(visit)
         links, pairs = np.zeros(len(ids), np.int64), []
-        for at in range(0, len(order), 512):
-            rows = order[at : at + 512]
-            near = single[rows] @ facing
-            near *= -2
-            near += facing_norms
-            r, c = np.nonzero(near <= (p.budget[b] + SLACK - norms[rows])[:, None].astype(np.float32))
-            r, c = rows[r], others[c]
-            keep = ids[r] != ids[c]
-            r, c = r[keep], c[keep]
+        for r, c in within(single, int(role.sum()), inner, p.budget[b]):
             for lo in range(0, len(r), 100_000):
                 x, y = r[lo : lo + 100_000], c[lo : lo + 100_000]
                 good = np.einsum("ij,ij->i", u[x], u[y]) >= p.cosine
                 x, y = x[good], y[good]
-                # only the first block within its budget counts a pair; either side gets the same squares
+                # only the first block within its budget counts a pair
                 turned = (u[x] - u[y]) @ p.axes
                 turned *= turned
                 inside = np.stack([turned[:, k].sum(1) <= t for k, t in zip(p.columns, p.budget, strict=True)], 1)
@@ -146,6 +176,7 @@ def compare(plan):
                 first = inside.argmax(1) == b
                 x, y = x[first], y[first]
                 np.add.at(links, x, weight[y])
+                np.add.at(links, y, weight[x])
                 pairs.append((x, y))
         x, y = (np.concatenate([q[i] for q in pairs]) if pairs else np.zeros(0, np.int64) for i in (0, 1))
         root = ids.copy()
@@ -156,28 +187,28 @@ def compare(plan):
             if (new == root).all():
                 break
             root = new
-        tell = home | (root != ids)
+        tell = links > 0
         return pa.table({"id": ids[tell], "links": links[tell], "root": root[tell]})
 
     return run
 
 
 def matched(same: DataFrame, size: int, n: int, cosine: float, blocks: int) -> DataFrame:
-    """Links and the smallest id reached, from each group that a vector is in. same: id, weight, vector; n distinct vectors of one length."""
+    """Links and the smallest id reached, from each group that a vector has links in. same: id, weight, vector; n distinct vectors of one length."""
     plan = same.sparkSession.sparkContext.broadcast(Plan(moments(same, size), n, cosine, blocks))
     cells = assign(same.select("id", "weight", "vector"), plan)
-    sizes = cells.groupBy("block", "cell").agg(F.sum(F.col("home").cast("long")).alias("_h"), F.count(F.lit(1)).alias("_v"))
-    splits = stored(sizes.select("block", "cell", F.greatest(F.lit(1), F.ceil(F.col("_h") / HOME_ROWS)).cast("int").alias("_hs"), F.greatest(F.lit(1), F.ceil(F.col("_v") / VISIT_ROWS)).cast("int").alias("_vs")))
-    dealt = cells.join(splits, ["block", "cell"])
-    own = F.pmod(F.xxhash64("id"), F.col("_hs")).cast("int")
-    other = F.pmod(F.xxhash64("id", F.lit(7)), F.col("_vs")).cast("int")
-    # a group is a part of those at home against a part of all: the first go to every part of the second, and the second to every part of the first
-    as_home = dealt.where("home").select("*", own.alias("_i"), F.explode(F.sequence(F.lit(0), F.col("_vs") - 1)).alias("_j"), F.lit(True).alias("_role")).withColumn("visit", other == F.col("_j"))
-    as_visit = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("_hs") - 1)).alias("_i"), other.alias("_j"), F.lit(False).alias("_role")).withColumn("visit", F.lit(True))
-    # who is at home and also a visitor of the same group comes once
-    groups = as_home.unionByName(as_visit.where(~(F.col("home") & (F.col("_i") == own))))
-    groups = groups.withColumn("home", F.col("_role"))
-    return stored(groups.groupBy("block", "cell", "_i", "_j").applyInArrow(compare(plan), FOUND))
+    rows_of = lambda c, most: F.greatest(F.lit(1), F.ceil(F.sum(F.col(c).cast("long")) / most)).cast("int")
+    splits = stored(cells.select("block", "cell", "home", (~F.col("home")).alias("_away")).groupBy("block", "cell").agg(rows_of("home", HOME_ROWS).alias("_hs"), rows_of("_away", VISIT_ROWS).alias("_vs")))
+    # a group (i, d) is the i-th part of those at home against the (i + d)-th and the d-th part of the visitors; in d = 0 those at home also meet each other
+    dealt = cells.join(splits, ["block", "cell"]).withColumn("_p", F.pmod(F.xxhash64("id"), F.when(F.col("home"), F.col("_hs")).otherwise(F.col("_vs"))).cast("int"))
+    place = lambda i, d, role: F.struct(i.cast("int").alias("_i"), d.cast("int").alias("_d"), F.lit(role).alias("role"))
+    p, hs = F.col("_p"), F.col("_hs")
+    as_row = F.transform(F.sequence(F.lit(0), F.greatest(hs - p, F.col("_vs")) - 1), lambda d: place(p, d, True))
+    as_column = F.when(p > 0, F.transform(F.sequence(F.lit(0), p - 1), lambda i: place(i, p - i, False))).otherwise(F.array().cast("array<struct<_i:int,_d:int,role:boolean>>"))
+    as_visitor = F.transform(F.sequence(F.lit(0), hs - 1), lambda i: place(i, p, False))
+    groups = dealt.select("block", "cell", "id", "weight", "vector", F.explode(F.when(F.col("home"), F.concat(as_row, as_column)).otherwise(as_visitor)).alias("_g"))
+    groups = groups.select("block", "cell", "_g._i", "_g._d", "_g.role", "id", "weight", "vector")
+    return stored(groups.groupBy("block", "cell", "_i", "_d").applyInArrow(compare(plan), FOUND))
 
 
 def joined(rows: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS) -> DataFrame:
