@@ -71,6 +71,20 @@ def test_matrix_is_the_words_of_the_texts(spark, shard_bytes):
     assert seen == {i: dict(Counter(re.findall("[^\x20\x09-\x0d]+", t))) for i, t in enumerate(texts)}
 
 
+def test_a_reader_gets_few_shards_at_once(spark, monkeypatch):
+    kept, keep = [], audit.stored
+    monkeypatch.setattr(audit, "stored", lambda *a: kept.append(keep(*a)) or kept[-1])
+    docs = spark.createDataFrame([(i, f"a b{i} a") for i in range(10)], "key long, text string").coalesce(1)
+    _, csr = audit.matrix(docs, 1)
+    files = [r["count"] for r in kept[0].groupBy(F.input_file_name()).count().collect()]
+    assert sum(files) == csr.count() == 10 and max(files) <= 4
+
+
+def test_planes_are_the_numbers():
+    for numbers in ([], [0], [5, 1, 2**31 - 1, 65_536, 255]):
+        assert audit.from_planes(audit.planes(np.array(numbers, np.int64))).tolist() == numbers
+
+
 def test_empty_tables(spark):
     docs, labels = spark.createDataFrame([], DOCS), spark.createDataFrame([], LABELS)
     assert audit.digest(docs, labels).count() == 0

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +26,8 @@ FILTERS, LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS, SIGNS, CAPITALS = "ABCDE",
 CONTINUING = bytes(range(0x80, 0xC0))
 #: Text bytes of a shard, at least; a longer document has a shard of its own.
 SHARD_BYTES = 8 << 20
+#: Shards of a stored file, at most: a reader holds as many at once.
+SHARDS_A_FILE = 4
 
 
 def bit(letter: str) -> int:
@@ -39,8 +41,17 @@ def marks(data: bytes) -> int:
     return bit("C") * (100 * capitals > MOST_CAPITALS * length) + bit("D") * bool(re.search(SIGNS, data))
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers below 2 ** 31 as four rows of bytes, the lowest first: the upper ones are nearly all 0, which compression takes away."""
+    return numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(data: bytes | pa.Buffer) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
+
+
 def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """shard (number), the other columns of docs as arrays (one element a document), marks (bits of C and D), indptr, gaps (places in words, each less the one before it in its document), counts, words (distinct, as they first occur).
+    """shard (number), the other columns of docs as arrays (one element a document), marks (bits of C and D), indptr, gaps (places in words, each less the one before it in its document) and counts as planes(), n_words, words (distinct, as they first occur).
 
     docs: text (not null) and any other columns. Words are the longest runs without the characters space and U+0009 to U+000D, in their own case.
     """
@@ -49,49 +60,62 @@ def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        made, size, kinds = 0, 0, []
-        rows, ends, gaps, counts, words = [], [0], [], [], {}
+        made, size, held, found = 0, 0, [], []
 
         def shard() -> pa.RecordBatch:
-            flat = [pa.array([np.concatenate(x).astype(np.int32)], pa.list_(pa.int32())) for x in (gaps, counts)]
-            lists = [pa.array([list(column)], pa.list_(kind)) for column, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
-            columns = [pa.array([(TaskContext.get().partitionId() << 32) + made]), *lists, pa.array([ends], pa.list_(pa.int64())), *flat, pa.array([[w.decode() for w in words]], pa.list_(pa.string()))]
-            return pa.RecordBatch.from_arrays(columns, names=["shard", *carried, "indptr", "gaps", "counts", "words"])
+            rows = pa.Table.from_batches(held).combine_chunks()
+            # split at exactly the six characters that end a word
+            lists = pc.ascii_split_whitespace(rows.column("text").chunk(0))
+            document = np.repeat(np.arange(rows.num_rows), pc.list_value_length(lists).to_numpy())
+            coded = lists.flatten().dictionary_encode()
+            place, words = coded.indices.to_numpy(), coded.dictionary
+            empty = pc.index(words, pa.scalar("", words.type)).as_py()
+            if empty >= 0:
+                document, place = document[place != empty], place[place != empty]
+                place, words = place - (place > empty), pa.concat_arrays([words[:empty], words[empty + 1 :]])
+            used = (document << 32) | place
+            used.sort()
+            at = np.flatnonzero(np.diff(used, prepend=-1))
+            counts, used = np.diff(at, append=len(used)), used[at]
+            ends = np.searchsorted(used, np.arange(rows.num_rows + 1) << 32)
+            place = used & 0xFFFFFFFF
+            gaps = np.diff(place, prepend=0)
+            starts = ends[:-1][np.diff(ends) > 0]
+            gaps[starts] = place[starts]
+            columns = [*[rows.column(c).chunk(0) for c in carried[:-1]], pa.array(found, pa.int32()), pa.array(ends, pa.int64()), words]
+            *lists, listed = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in columns]
+            return pa.RecordBatch.from_arrays([pa.array([(TaskContext.get().partitionId() << 32) + made]), *lists, *[pa.array([planes(x)]) for x in (gaps, counts)], pa.array([len(words)]), listed],
+                                              names=["shard", *carried, "indptr", "gaps", "counts", "n_words", "words"])
 
         for batch in batches:
-            kinds = [*[batch.schema.field(c).type for c in carried[:-1]], pa.int32()]
-            for text, *row in zip(batch.column("text"), *[batch.column(c).to_pylist() for c in carried[:-1]], strict=True):
+            begin = 0
+            for i, text in enumerate(batch.column("text")):
                 data = text.as_py().encode()
-                # bytes are split at exactly the six characters that end a word
-                used = Counter(data.split())
-                number = words.setdefault
-                index = np.array([number(w, len(words)) for w in used], np.int64)
-                order = index.argsort()
-                rows.append([*row, marks(data)])
-                gaps.append(np.diff(index[order], prepend=0))
-                counts.append(np.fromiter(used.values(), np.int64, len(used))[order])
-                ends.append(ends[-1] + len(index))
+                found.append(marks(data))
                 size += len(data) + 1
                 if size >= shard_bytes:
+                    held.append(batch[begin : i + 1])
                     yield shard()
-                    made, size = made + 1, 0
-                    rows, ends, gaps, counts, words = [], [0], [], [], {}
-        if rows:
+                    made, size, held, found, begin = made + 1, 0, [], [], i + 1
+            if begin < batch.num_rows:
+                held.append(batch[begin:])
+        if held:
             yield shard()
 
     lists = ", ".join(f"`{c}` array<{k}>" for c, k in docs.dtypes if c != "text")
     lists = f"{lists}, " if lists else ""
-    return docs.select("text", *carried[:-1]).mapInArrow(run, f"shard long, {lists}marks array<int>, indptr array<long>, gaps array<int>, counts array<int>, words array<string>")
+    return docs.select("text", *carried[:-1]).mapInArrow(run, f"shard long, {lists}marks array<int>, indptr array<long>, gaps binary, counts binary, n_words long, words array<string>")
 
 
 def matrix(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(dictionary, matrix): dictionary has word, word_id (distinct, from 0); matrix is shards() without words and with indices (word_ids) for gaps.
+    """(dictionary, matrix): dictionary has word, word_id (distinct, from 0); matrix is shards() without words and with indices (word_ids) for gaps, counts as an array.
 
     A document's row is its slice of indices (in the order of first use in its shard) and counts. No word is left out and none are hashed together: a hash only deals the
     words into cells, where they are ranked; word_id is rank times cells plus cell. Word lists are shuffled once to the cells and once, as numbers, to their shards.
+    Spark reads a file's shards into memory together, so a file holds few of them.
     """
-    local = stored(shards(docs, shard_bytes), "zstd")
-    cells = max(1, -(-int(local.agg(F.sum(F.size("words").cast("long"))).first()[0] or 0) // CELL_ROWS))
+    local = stored(shards(docs, shard_bytes), "zstd", SHARDS_A_FILE)
+    cells = max(1, -(-int(local.agg(F.sum("n_words")).first()[0] or 0) // CELL_ROWS))
     listed = local.select("shard", F.posexplode("words").alias("place", "word")).withColumn("_cell", F.pmod(F.xxhash64("word"), F.lit(cells)))
     # a word stands once in a shard's list at most, so no word has more rows here than there are shards
     rank = F.dense_rank().over(Window.partitionBy("_cell").orderBy("word")).cast("long") - 1
@@ -100,14 +124,16 @@ def matrix(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame,
     def renumber(pairs: pa.Table, rows: pa.Table) -> pa.Table:
         ids = np.zeros(pairs.num_rows, np.int64)
         ids[pairs.column("place").to_numpy()] = pairs.column("word_id").to_numpy()
-        ends, gaps = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("indptr", "gaps"))
+        ends = rows.column("indptr").combine_chunks().flatten().to_numpy()
+        gaps, counts = (from_planes(rows.column(c)[0].as_buffer()) for c in ("gaps", "counts"))
         total = np.append(0, np.cumsum(gaps.astype(np.int64)))
         index = total[1:] - np.repeat(total[ends[:-1]], np.diff(ends))
-        new = pa.LargeListArray.from_arrays(pa.array([0, len(index)], pa.int64()), pa.array(ids[index] if len(index) else np.zeros(0, np.int64)))
-        return rows.drop(["gaps"]).append_column("indices", new.cast(pa.list_(pa.int64())))
+        new = [pa.ListArray.from_arrays(pa.array([0, len(index)], pa.int32()), pa.array(x)) for x in (counts, ids[index] if len(index) else np.zeros(0, np.int64))]
+        return rows.drop(["gaps", "counts"]).append_column("counts", new[0]).append_column("indices", new[1])
 
-    kept = ", ".join(f"`{c}` {k}" for c, k in local.dtypes if c not in ("gaps", "words"))
-    joined = coded.select("shard", "place", "word_id").groupBy("shard").cogroup(local.drop("words").groupBy("shard")).applyInArrow(renumber, f"{kept}, indices array<long>")
+    rows = local.drop("words", "n_words")
+    kept = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes if c not in ("gaps", "counts"))
+    joined = coded.select("shard", "place", "word_id").groupBy("shard").cogroup(rows.groupBy("shard")).applyInArrow(renumber, f"{kept}, counts array<int>, indices array<long>")
     return coded.select("word", "word_id").distinct(), joined
 
 
