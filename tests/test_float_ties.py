@@ -22,6 +22,12 @@ def test_equal_probabilities_tie_and_missing_classes_take_no_part(spark):
     assert (got[3].cls, got[3].lead, got[3].indeterminate) == ("b", None, None)
 
 
+def test_a_lead_is_not_made_of_rounded_probabilities(spark):
+    df = spark.createDataFrame([(0.1234567894996, 0.0, 0.01, 0.02)], "pa double, pb double, sa double, sb double")
+    got = S.margin(df, {c: f"p{c}" for c in "ab"}, {c: f"s{c}" for c in "ab"}).selectExpr("lead", "round(lead, 9) AS shown").first()
+    assert got == (0.1234567894996, 0.123456789)
+
+
 def test_equal_halves_tie(spark, monkeypatch):
     # sources of equal cents, whose sums differ in the last bits
     rows = [(s, 2 * i + 1, x) for s in range(0, 40, 4) for i, x in enumerate([0.1, 0.2, 0.3] if s % 8 else [0.3, 0.2, 0.1])]

@@ -121,12 +121,13 @@ def clean_series(df: DataFrame, key: str, bands: dict[str, str], n_sigma: float,
 def margin(df: DataFrame, probs: dict[str, str], sigmas: dict[str, str]) -> DataFrame:
     """Most probable class and whether its lead is within the summed errors of the first two.
 
-    Probabilities equal to 12 digits are a tie, which the class name decides. A class without a probability takes no part, a missing error counts as none beside a known one.
+    Probabilities equal to 12 digits are a tie, which the class name decides; its lead is 0, any other is the difference of the probabilities as they are. A class without a
+    probability takes no part, a missing error counts as none beside a known one.
     """
-    items = F.array(*[F.struct((-F.round(F.col(probs[c]), 12)).alias("neg"), F.lit(c).alias("cls"), F.col(sigmas[c]).alias("sd")) for c in probs])
+    items = F.array(*[F.struct((-F.round(F.col(probs[c]), 12)).alias("neg"), F.lit(c).alias("cls"), F.col(probs[c]).alias("p"), F.col(sigmas[c]).alias("sd")) for c in probs])
     s = F.array_sort(F.filter(items, lambda x: x["neg"].isNotNull()))
     first, second = F.get(s, F.lit(0)), F.get(s, F.lit(1))
-    lead = second["neg"] - first["neg"]
+    lead = F.when(first["neg"] == second["neg"], 0.0).otherwise(first["p"] - second["p"])
     sd = F.coalesce(first["sd"] + second["sd"], first["sd"], second["sd"])
     return df.withColumns({"cls": first["cls"], "lead": lead, "indeterminate": lead < sd})
 
