@@ -1,9 +1,11 @@
 """Equal means whose sums were made in another order are equal."""
 
+import duckdb
 import pytest
 
 from tidewatch.operators import project as P
 from tidewatch.operators import select as S
+from tidewatch.plans import catalog
 from tidewatch.plans import select as plans
 
 
@@ -13,6 +15,17 @@ def test_a_share_that_equals_the_screen_stays(spark):
     assert {r.k for r in P.background_corrected(df, fr, "k", {}, ["a"], "ft", 0.0505).collect()} == {1, 2}
 
 
+def test_colours_are_rounded_as_in_sql(spark, tmp_path):
+    # 1282 / 1280 = 1.0015625, 2574 / 1280 = 2.0109375 and 1281 / 1280 = 1.00078125, of which the first two have doubles below themselves; suppliers 3 and 10 have no background
+    rows = [(s, n, q, 0.05) for s, bands in ((3, (1280.0, 1282.0, 1300.0)), (10, (1280.0, 1280.0, 2574.0)), (17, (1280.0, 1281.0, 7.0))) for n, q in zip((1, 3, 5), bands, strict=True)]
+    spark.createDataFrame(rows, "l_suppkey long, l_linenumber int, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.sql(f"select source_id, c1, c2, rms, state from ({catalog.ORACLE['p23_background_correction']}) order by 1").fetchall()
+    got = catalog.QUERIES["p23_background_correction"](spark, str(tmp_path)).select("source_id", "c1", "c2", "rms", "state").orderBy("source_id").collect()
+    assert [tuple(r) for r in got] == want
+
+
 def test_equal_probabilities_tie_and_missing_classes_take_no_part(spark):
     df = spark.createDataFrame([(1, 0.3, 0.1 + 0.2, 0.1, 0.01, 0.02, 0.5), (2, None, 0.2, 0.5, None, None, 0.01), (3, None, 0.2, None, None, 0.1, None)],
                                "k int, pa double, pb double, pc double, sa double, sb double, sc double")

@@ -6,7 +6,7 @@ from tidewatch.functions import columns as C
 from tidewatch.operators import joins as J
 from tidewatch.operators import project as P
 from tidewatch.plans.registry import query
-from tidewatch.plans.views import EDGES, EVENTS, OBS, VECTORS, events, observations, round_all, sky, sky_sql, vectors
+from tidewatch.plans.views import EDGES, EVENTS, OBS, VECTORS, events, observations, round_all, rounded, sky, sky_sql, vectors
 from tidewatch.sources.tables import table
 
 BANDS = [(5.0, 7.0), (7.0, 10.0), (10.0, 16.0), (16.0, 25.1)]
@@ -258,7 +258,7 @@ def p23(spark, sf):
     fr = li.where("source_id % 7 <> 3").groupBy("source_id").agg(*[F.avg(F.when(c, F.col("l_discount"))).alias(f"f{k}") for k, c in band.items()],
                                                                  F.avg("l_discount").alias("ft"))
     d = P.background_corrected(b, fr, "source_id", {k: f"f{k}" for k in band}, ["rms"], "ft", 0.0505)
-    d = d.select("source_id", F.round(C.ratio("b", "a"), 6).alias("c1"), F.round(C.ratio("c", "b"), 6).alias("c2"), F.round("rms", 6).alias("rms"))
+    d = d.select("source_id", rounded(C.ratio("b", "a"), 6).alias("c1"), rounded(C.ratio("c", "b"), 6).alias("c2"), rounded(F.col("rms"), 6).alias("rms"))
     return d.withColumn("state", C.two_threshold_state("rms", 0.0745, 0.075))
 
 
