@@ -80,6 +80,13 @@ def test_a_reader_gets_few_shards_at_once(spark, monkeypatch):
     assert sum(files) == csr.count() == 10 and max(files) <= 4
 
 
+def test_tasks_grow_with_the_shards(spark):
+    # eighty shards at eight shuffle partitions: ten tasks
+    docs = spark.createDataFrame([(i, f"a b{i} a") for i in range(80)], "key long, text string")
+    _, csr = audit.matrix(docs, 1)
+    assert csr.rdd.getNumPartitions() == 10 and csr.count() == 80
+
+
 def test_planes_are_the_numbers():
     for numbers in ([], [0], [5, 1, 2**31 - 1, 65_536, 255]):
         assert audit.from_planes(audit.planes(np.array(numbers, np.int64))).tolist() == numbers

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import CELL_ROWS, known, stored, text_or_empty
+from tidewatch.llm.common import CELL_ROWS, known, shuffle_parts, stored, text_or_empty
 
 #: The filters' letters, and their limits.
 FILTERS, LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS, SIGNS, CAPITALS = "ABCDE", 50, 65, 5, rb"[#$%&*|]", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -28,6 +28,8 @@ CONTINUING = bytes(range(0x80, 0xC0))
 SHARD_BYTES = 8 << 20
 #: Shards of a stored file, at most: a reader holds as many at once.
 SHARDS_A_FILE = 4
+#: Cells, or shards, of a task: there are more tasks than the session's shuffle partitions where these would hold more.
+CELLS_A_TASK, SHARDS_A_TASK = 16, 8
 
 
 def bit(letter: str) -> int:
@@ -112,14 +114,20 @@ def matrix(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame,
 
     A document's row is its slice of indices (in the order of first use in its shard) and counts. No word is left out and none are hashed together: a hash only deals the
     words into cells, where they are ranked; word_id is rank times cells plus cell. Word lists are shuffled once to the cells and once, as numbers, to their shards.
-    Spark reads a file's shards into memory together, so a file holds few of them.
+    Spark reads a file's shards into memory together, so a file holds few of them; tasks are as many as the words and shards ask for.
     """
+    least = shuffle_parts(docs.sparkSession)
+
+    def dealt(rows: DataFrame, key: str, parts: int) -> DataFrame:
+        return rows.repartition(parts, key) if parts > least else rows
+
     local = stored(shards(docs, shard_bytes), "zstd", SHARDS_A_FILE)
-    cells = max(1, -(-int(local.agg(F.sum("n_words")).first()[0] or 0) // CELL_ROWS))
+    made, n_words = local.agg(F.count(F.lit(1)), F.sum("n_words")).first()
+    cells, groups = max(1, -(-(n_words or 0) // CELL_ROWS)), -(-made // SHARDS_A_TASK)
     listed = local.select("shard", F.posexplode("words").alias("place", "word")).withColumn("_cell", F.pmod(F.xxhash64("word"), F.lit(cells)))
     # a word stands once in a shard's list at most, so no word has more rows here than there are shards
     rank = F.dense_rank().over(Window.partitionBy("_cell").orderBy("word")).cast("long") - 1
-    coded = listed.withColumn("word_id", rank * cells + F.col("_cell"))
+    coded = dealt(listed, "_cell", -(-cells // CELLS_A_TASK)).withColumn("word_id", rank * cells + F.col("_cell"))
 
     def renumber(pairs: pa.Table, rows: pa.Table) -> pa.Table:
         ids = np.zeros(pairs.num_rows, np.int64)
@@ -133,7 +141,8 @@ def matrix(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame,
 
     rows = local.drop("words", "n_words")
     kept = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes if c not in ("gaps", "counts"))
-    joined = coded.select("shard", "place", "word_id").groupBy("shard").cogroup(rows.groupBy("shard")).applyInArrow(renumber, f"{kept}, counts array<int>, indices array<long>")
+    pairs, rows = (dealt(x, "shard", groups) for x in (coded.select("shard", "place", "word_id"), rows))
+    joined = pairs.groupBy("shard").cogroup(rows.groupBy("shard")).applyInArrow(renumber, f"{kept}, counts array<int>, indices array<long>")
     return coded.select("word", "word_id").distinct(), joined
 
 
